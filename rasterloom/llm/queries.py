@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language_id, license_scan, near_dedup, packing, secret_scan, sharding, toxicity
+from . import decontaminate, exact_dedup, katz, language_id, license_scan, near_dedup, packing, secret_scan, sharding, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,6 +56,11 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = katz.score(table(spark, sf_dir, "documents"), ~held_out(5, 1))
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned = secret_scan.scan(table(spark, sf_dir, "documents"))
     base = F.filter("found", lambda x: x["rank"] < len(secret_scan.BASE))
@@ -73,6 +78,7 @@ QUERIES: dict[str, Query] = {
     "op6_toxicity": op6_toxicity,
     "op7_packing": op7_packing,
     "op8_sharding": op8_sharding,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_secret_scan": op10_secret_scan,
 }
 
