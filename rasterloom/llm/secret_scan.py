@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .shared import new_path, stage_table
 
 #: Most unseen blobs whose ids are broadcast; beyond it the join shuffles.
-BROADCAST_BLOBS = 200_000
+BROADCAST_BLOBS = 20_000
 
 
 @dataclass(frozen=True)
