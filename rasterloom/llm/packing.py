@@ -48,7 +48,7 @@ def tokenize(docs: DataFrame, id_col: str, text_col: str, path: str | None, end:
     schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("part", T.LongType()), T.StructField("before", T.LongType()), T.StructField("n", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("width", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path or default_path())
+        encoder = Encoder.shared(path or default_path())
         tail = b"" if end is None else np.array([end], encoder.dtype).tobytes()
         width, part, before = np.dtype(encoder.dtype).itemsize, TaskContext.get().partitionId(), 0
         for whole in batches:

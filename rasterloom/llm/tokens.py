@@ -10,14 +10,18 @@ that isn't built this way, goes through the whole tokenizer.
 from __future__ import annotations
 
 import json
+import sys
+import types
 from collections.abc import Iterable
 
 import numpy as np
 import regex
 from tokenizers import Tokenizer
 
-#: Chunks kept at once; the memo starts anew beyond it (some 100 MB).
-MEMO = 400_000
+#: Chunks kept at once; the memo starts anew beyond it (some 150 MB).
+MEMO = 700_000
+#: Signs that a pattern for runs of neither letters nor digits takes whole.
+_SIGNS = ",.!?;:|)"
 _PLAIN = regex.compile(r"[!-~À-ÖØ-öø-ÿŒœ]+")
 
 
@@ -61,15 +65,26 @@ class Encoder:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.full.encode_batch(texts, add_special_tokens=False)]
 
     def _learn(self, chunks: list[bytes]) -> None:
-        texts = [c.decode() for c in chunks]
-        plain = [bool(_PLAIN.fullmatch(t)) and "<|" not in t for t in texts]
-        easy = [k for k, p in enumerate(plain) if p]
-        if easy:
-            pieces, counts = [], []
-            for k in easy:
-                found = self.pattern.findall(texts[k].lower())
+        texts, easy, pieces, counts = b" ".join(chunks).decode().split(" "), [], [], []
+        for k, t in enumerate(texts):
+            # letters, perhaps with signs behind them, are one or two pieces whatever the pattern finds elsewhere
+            core = t.rstrip(_SIGNS)
+            if core.isalpha() and (core.isascii() or _PLAIN.fullmatch(core)):
+                pieces.append(core.lower())
+                if len(core) < len(t):
+                    pieces.append(t[len(core) :])
+                    counts.append(2)
+                else:
+                    counts.append(1)
+            elif _PLAIN.fullmatch(t) and "<|" not in t:
+                found = self.pattern.findall(t.lower())
                 pieces += found
                 counts.append(len(found))
+            else:
+                continue
+            easy.append(k)
+        hard = sorted(set(range(len(texts))).difference(easy))
+        if easy:
             lines = [" ".join(pieces[i : i + 512]) for i in range(0, len(pieces), 512)]
             ids = np.concatenate([np.array(e.ids, self.dtype) for e in self.bare.encode_batch_fast(lines, add_special_tokens=False)])
             stops = np.flatnonzero(self.ends[ids]) + 1
@@ -79,11 +94,19 @@ class Encoder:
                 for k, a, b in zip(easy, cut[:-1].tolist(), cut[1:].tolist(), strict=True):
                     self.memo[chunks[k]] = raw[a:b]
             else:
-                plain = [False] * len(texts)
-        hard = [k for k, p in enumerate(plain) if not p]
+                hard = list(range(len(texts)))
         for k, got in zip(hard, self._whole([texts[k] for k in hard]), strict=True):
             self.memo[chunks[k]] = got
 
+    @classmethod
+    def shared(cls, path: str) -> Encoder:
+        """This process's encoder of a file: its memo serves all tasks that the worker runs one after the other."""
+        held = sys.modules.setdefault("_rasterloom_worker", types.ModuleType("_rasterloom_worker")).__dict__
+        key = ("encoder", path)
+        if key not in held:
+            held[key] = cls(path)
+        return held[key]
+
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """The ids of each text; a null text has none."""
         texts = [t or "" for t in texts]
