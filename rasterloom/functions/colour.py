@@ -54,7 +54,8 @@ def entry(cmap: Column, index: Column) -> Column:
 
 def channels(cmap: Column) -> tuple[Column, Column, Column]:
     """The palette as three arrays."""
-    return tuple(F.transform(cmap, lambda c, n=n: c[n]) for n in ("r", "g", "b"))
+    one = lambda n: F.transform(cmap, lambda c: c[n])
+    return one("r"), one("g"), one("b")
 
 
 def add(cmap: Column, r: int, g: int, b: int, depth: int) -> Column:

@@ -7,14 +7,19 @@ images are better served by ``kernels``, which the tests hold equal to these.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from .coder import TYPICAL
 from .kernels import NEIGHBOURS
 
-_LINE = Window.partitionBy("img_id", "y").orderBy("x")
-_COLUMN = Window.partitionBy("img_id", "x").orderBy("y")
+
+def _line() -> WindowSpec:
+    return Window.partitionBy("img_id", "y").orderBy("x")
+
+
+def _column() -> WindowSpec:
+    return Window.partitionBy("img_id", "x").orderBy("y")
 
 
 def threshold(px: DataFrame, t: int, value: str = "v") -> DataFrame:
@@ -87,10 +92,10 @@ def contexts(px: DataFrame, bit: str = "bit") -> DataFrame:
 
     def part(dy: int) -> Column:
         dxs = [dx for y, dx in NEIGHBOURS if y == dy]
-        return sum((shifted(bit, -dx, _LINE) * (1 << len(dxs) - 1 - i) for i, dx in enumerate(dxs)), F.lit(0))
+        return sum((shifted(bit, -dx, _line()) * (1 << len(dxs) - 1 - i) for i, dx in enumerate(dxs)), F.lit(0))
 
     across = px.select("img_id", "y", "x", bit, part(0).alias("here"), part(-1).alias("one"), part(-2).alias("two"))
-    ctx = shifted("two", 2, _COLUMN) * (1 << 11) + shifted("one", 1, _COLUMN) * (1 << 4) + F.col("here")
+    ctx = shifted("two", 2, _column()) * (1 << 11) + shifted("one", 1, _column()) * (1 << 4) + F.col("here")
     return across.select("img_id", "y", "x", ctx.cast("int").alias("ctx"), bit)
 
 
@@ -107,8 +112,8 @@ def context_histogram(px: DataFrame, bit: str = "bit", with_typical: bool = Fals
 def upscale(px: DataFrame, factor: int, value: str = "v") -> DataFrame:
     """Linear interpolation to ``factor`` times the size, rounded down; the last line and column repeat."""
     v = F.col(value)
-    right = px.withColumn("r", F.coalesce(F.lead(v).over(_LINE), v))
-    all_four = right.withColumn("b", F.coalesce(F.lead(v).over(_COLUMN), v)).withColumn("c", F.coalesce(F.lead("r").over(_COLUMN), F.col("r")))
+    right = px.withColumn("r", F.coalesce(F.lead(v).over(_line()), v))
+    all_four = right.withColumn("b", F.coalesce(F.lead(v).over(_column()), v)).withColumn("c", F.coalesce(F.lead("r").over(_column()), F.col("r")))
     made = F.array(
         *[
             F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.expr(f"({(factor - i) * (factor - j)} * {value} + {(factor - i) * j} * r + {i * (factor - j)} * b + {i * j} * c) div {factor * factor}").alias("g"))
@@ -122,24 +127,24 @@ def upscale(px: DataFrame, factor: int, value: str = "v") -> DataFrame:
 
 def filter_sub(px: DataFrame, value: str = "v") -> DataFrame:
     """PNG filter 1: the difference to the left, modulo 256."""
-    return px.withColumn("f", F.pmod(F.col(value) - F.coalesce(F.lag(value).over(_LINE), F.lit(0)), F.lit(256)).cast("long"))
+    return px.withColumn("f", F.pmod(F.col(value) - F.coalesce(F.lag(value).over(_line()), F.lit(0)), F.lit(256)).cast("long"))
 
 
 def filter_up(px: DataFrame, value: str = "v") -> DataFrame:
     """PNG filter 2: the difference to the line above."""
-    return px.withColumn("f", F.pmod(F.col(value) - F.coalesce(F.lag(value).over(_COLUMN), F.lit(0)), F.lit(256)).cast("long"))
+    return px.withColumn("f", F.pmod(F.col(value) - F.coalesce(F.lag(value).over(_column()), F.lit(0)), F.lit(256)).cast("long"))
 
 
 def filter_average(px: DataFrame, value: str = "v") -> DataFrame:
     """PNG filter 3: the difference to the mean of left and above."""
-    pair = F.coalesce(F.lag(value).over(_LINE), F.lit(0)) + F.coalesce(F.lag(value).over(_COLUMN), F.lit(0))
+    pair = F.coalesce(F.lag(value).over(_line()), F.lit(0)) + F.coalesce(F.lag(value).over(_column()), F.lit(0))
     return px.withColumn("f", F.pmod(F.col(value) - F.floor(pair / 2), F.lit(256)).cast("long"))
 
 
 def filter_paeth(px: DataFrame, value: str = "v") -> DataFrame:
     """PNG filter 4: the difference to whichever of left, above and corner is nearest to left + above - corner."""
-    near = px.withColumn("a", F.coalesce(F.lag(value).over(_LINE), F.lit(0))).withColumn("b", F.coalesce(F.lag(value).over(_COLUMN), F.lit(0)))
-    near = near.withColumn("c", F.coalesce(F.lag("a").over(_COLUMN), F.lit(0)))
+    near = px.withColumn("a", F.coalesce(F.lag(value).over(_line()), F.lit(0))).withColumn("b", F.coalesce(F.lag(value).over(_column()), F.lit(0)))
+    near = near.withColumn("c", F.coalesce(F.lag("a").over(_column()), F.lit(0)))
     pa, pb, pc = F.abs(F.col("b") - F.col("c")), F.abs(F.col("a") - F.col("c")), F.abs(F.col("a") + F.col("b") - 2 * F.col("c"))
     guess = F.when((pa <= pb) & (pa <= pc), F.col("a")).when(pb <= pc, F.col("b")).otherwise(F.col("c"))
     return near.withColumn("f", F.pmod(F.col(value) - guess, F.lit(256)).cast("long")).drop("a", "b", "c")
@@ -147,13 +152,13 @@ def filter_paeth(px: DataFrame, value: str = "v") -> DataFrame:
 
 def unfilter_sub(px: DataFrame, filtered: str = "f") -> DataFrame:
     """Undo filter 1: running sums along the line, modulo 256."""
-    so_far = _LINE.rowsBetween(Window.unboundedPreceding, 0)
+    so_far = _line().rowsBetween(Window.unboundedPreceding, 0)
     return px.withColumn("v", (F.sum(filtered).over(so_far) % 256).cast("long"))
 
 
 def unfilter_up(px: DataFrame, filtered: str = "f") -> DataFrame:
     """Undo filter 2: running sums down the column, modulo 256."""
-    so_far = _COLUMN.rowsBetween(Window.unboundedPreceding, 0)
+    so_far = _column().rowsBetween(Window.unboundedPreceding, 0)
     return px.withColumn("v", (F.sum(filtered).over(so_far) % 256).cast("long"))
 
 
