@@ -8,9 +8,10 @@
    hub, the member that shares most buckets, so a group of n copies costs n comparisons.
 4. The joint likelihood of two sketches and the known set sizes estimates the similarity;
    pairs far below the threshold are dropped, all others are verified on their full sets.
-5. Components of the verified links are formed. Where members of one bucket are still
-   apart, all their pairs across components are estimated and verified as well, so a
-   link is lost only if no band agrees: (1 - s^4)^32, about 5e-6 at similarity 0.75.
+5. Components of the verified links are formed. Where a family of texts that buckets
+   connect still has several, its sets are compared across components, block by block, so
+   a link is lost only if no chain of bands connects it: for one pair (1 - s^4)^32, about
+   5e-6 at similarity 0.75.
 """
 
 from __future__ import annotations
@@ -36,6 +37,10 @@ ESTIMATE = 0.55
 #: Most ids that are broadcast to fetch texts; beyond it the join shuffles.
 BROADCAST_IDS = 500_000
 _MEMO = 300_000
+#: Shingles whose sets a verifying task keeps.
+CACHED = 3_000_000
+#: Members and shingles of a block, and the columns of a slice of its membership matrix.
+BLOCK_MEMBERS, BLOCK_SHINGLES, SLICE = 400, 400_000, 4096
 
 
 def _mixes() -> tuple[np.ndarray, np.ndarray]:
@@ -156,20 +161,37 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, threshold: int) ->
     held = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, last, kept = Shingler(words), None, None
+        shingles, made, size = Shingler(words), {}, 0
+
+        def of(key: int, text: pa.Scalar) -> np.ndarray:
+            nonlocal size
+            if key not in made:
+                if size > CACHED:
+                    made.clear()
+                    size = 0
+                made[key] = shingles(text.as_py())
+                size += len(made[key])
+            return made[key]
+
         for batch in batches:
-            keep = []
-            for i, a in enumerate(batch.column("a").to_pylist()):
-                if a != last:
-                    last, kept = a, shingles(batch.column("ta")[i].as_py())
-                other = shingles(batch.column("tb")[i].as_py())
-                both = len(np.intersect1d(kept, other, assume_unique=True))
-                keep.append(100 * both >= threshold * (len(kept) + len(other) - both))
+            keep, ta, tb = [], batch.column("ta"), batch.column("tb")
+            for i, (a, b) in enumerate(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)):
+                one, other = of(a, ta[i]), of(b, tb[i])
+                both = _common(one, other)
+                keep.append(100 * both >= threshold * (len(one) + len(other) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return held.mapInArrow(run, "a bigint, b bigint")
 
 
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.searchsorted(b, a)
+    return int((b[np.minimum(at, len(b) - 1)] == a).sum()) if len(b) else 0
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
     """One row per input row: id, n_shingles, component_id (smallest id reachable), kept.
 
@@ -197,7 +219,7 @@ def _links(reps: DataFrame, rows: DataFrame, id_col: str, text_col: str, words:
     inside = stage_table(spread.join(full, "key").select("key", "id", "size"), "buckets")
     weight = inside.groupBy("id").agg(F.sum("size").alias("weight"))
     hubs = inside.join(weight, "id").groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("less"), "id")).alias("hub")).select("key", F.col("hub.id").alias("a"))
-    starred = inside.join(hubs, "key").where("id != a").select("a", F.col("id").alias("b")).distinct()
+    starred = stage_table(inside.join(hubs, "key").where("id != a").select("a", F.col("id").alias("b")).distinct(), "starred", "snappy")
     near = stage_table(_estimated(starred, reps), "candidates", "snappy")
     ids = inside.select("id").distinct()
     count = ids.count()
@@ -205,17 +227,72 @@ def _links(reps: DataFrame, rows: DataFrame, id_col: str, text_col: str, words:
     texts = stage_table(wanted.join(F.broadcast(ids) if count <= BROADCAST_IDS else ids, "id", "left_semi").dropDuplicates(["id"]), "texts")
     links = stage_table(_verified(near, texts, words, threshold), "links", "snappy")
     roots = stage_table(components(links), "roots", "snappy")
-    parted = inside.join(roots, inside.id == roots.node, "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-    open_keys = parted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("key")
-    apart = parted.join(open_keys, "key", "left_semi").join(reps.select("id", "n", "bands"), "id")
-    apart = stage_table(apart, "apart")
-    left, right = (apart.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "root", "n", "bands")]) for s in ("a", "b"))
-    # a pair counts in the first band it shares, so it appears once
-    shared = F.filter(F.arrays_zip(F.col("bands_a").alias("p"), F.col("bands_b").alias("q")), lambda x: x["p"] == x["q"])
-    sized = (100 * F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")) & (F.col("root_a") != F.col("root_b")) & (F.col("id_a") < F.col("id_b"))
-    crossing = left.join(right, "key").where(sized & (F.get(shared, F.lit(0))["p"] == F.col("key"))).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
-    more = stage_table(_estimated(crossing.join(starred, ["a", "b"], "left_anti"), reps), "crossing", "snappy")
-    return links.unionByName(_verified(more, texts, words, threshold))
+    return links.unionByName(_crossing(starred, roots, reps.select("id", "n"), texts, words, threshold))
+
+
+def _crossing(starred: DataFrame, roots: DataFrame, sizes: DataFrame, texts: DataFrame, words: int, threshold: int) -> DataFrame:
+    """Links between the components found so far, within what buckets hold together; in blocks, so no pair is a row.
+
+    A family (connected by buckets alone) is dealt into blocks: a component large enough has
+    blocks of its own, the others share blocks. Each pair of blocks that isn't inside one
+    component is a task group, which compares all its sets at once by matrix products and
+    returns only links that join components, fewer than it has members.
+    """
+    family = stage_table(components(starred), "families", "snappy").select(F.col("node").alias("id"), F.col("root").alias("family"))
+    held = family.join(roots, family.id == roots.node, "left").select("family", "id", F.coalesce("root", "id").alias("root"))
+    apart = held.groupBy("family").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("family")
+    held = stage_table(held.join(apart, "family", "left_semi").join(sizes, "id"), "apart", "snappy")
+    load = F.col("n") / BLOCK_SHINGLES + 1 / BLOCK_MEMBERS
+    by_root = held.groupBy("family", "root").agg(F.sum(load).alias("load")).withColumn("own", F.col("load") >= 1)
+    pool = by_root.where("not own").groupBy("family").agg(F.sum("load").alias("pooled"))
+    dealt = by_root.join(pool, "family", "left").select("family", "root", "own", F.ceil(F.when(F.col("own"), F.col("load")).otherwise(F.col("pooled"))).alias("parts"))
+    # small components are dealt whole
+    part = F.pmod(F.when(F.col("own"), F.xxhash64("id")).otherwise(F.xxhash64("root")), F.col("parts"))
+    placed = held.join(dealt, ["family", "root"]).select("family", "id", "root", F.when(F.col("own"), F.col("root")).alias("whole"), part.alias("part"))
+    block = F.concat_ws(":", F.coalesce(F.col("whole").cast("string"), F.lit("-")), F.col("part").cast("string"))
+    placed = stage_table(placed.withColumn("block", block), "placed", "snappy")
+    blocks = placed.select("family", "block", "whole").distinct()
+    left, right = (blocks.select("family", F.col("block").alias(f"b{k}"), F.col("whole").alias(f"w{k}")) for k in (1, 2))
+    pairs = left.join(right, "family").where((F.col("b1") <= F.col("b2")) & F.coalesce(F.col("w1") != F.col("w2"), F.lit(True)))
+    pairs = pairs.select("family", F.xxhash64("family", "b1", "b2").alias("pair"), F.explode(F.array_distinct(F.array("b1", "b2"))).alias("block"))
+    rows = pairs.join(placed, ["family", "block"]).select("pair", "id", "root").join(texts, "id")
+
+    def run(table: pa.Table) -> pa.Table:
+        shingles = Shingler(words)
+        ids, roots_of = table.column("id").to_numpy(), table.column("root").to_numpy().copy()
+        found = []
+        for i, near in _alike([shingles(t.as_py()) for t in table.column("text")], threshold):
+            for j in near:
+                if roots_of[i] != roots_of[j]:
+                    found.append((ids[i], ids[j]))
+                    roots_of[roots_of == roots_of[j]] = roots_of[i]
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
+
+    return rows.groupBy("pair").applyInArrow(run, "a bigint, b bigint")
+
+
+def _alike(sets: list[np.ndarray], threshold: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each set, the later ones that are similar enough; common shingles are counted by products of slices of the membership matrix."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times[place] > 1
+    owner, place = owner[shared], place[shared]
+    column = np.unique(place, return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, SLICE):
+        a, b = np.searchsorted(column, (low, low + SLICE))
+        part = np.zeros((len(sets), SLICE), np.float32)
+        part[owner[a:b], column[a:b] - low] = 1
+        both += part @ part.T
+    for i in range(len(sets)):
+        common = both[i].astype(np.int64)
+        near = (100 * common >= threshold * (sizes[i] + sizes - common)) & (sizes > 0)
+        near[: i + 1] = False
+        if near.any():
+            yield i, np.flatnonzero(near)
 
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
