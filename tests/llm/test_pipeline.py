@@ -1,0 +1,33 @@
+from brute import exact, near_classes
+
+import corpus_pipeline as cp
+from rasterloom.llm import decontaminate, queries, toxicity
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_stages_against_brute_force(spark):
+    """Each stage keeps what its plain twin keeps of its own input."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = lambda df: {r.doc_id: r.text for r in df.collect()}
+    stages = dict(cp.STAGES)
+    assert list(stages) == ["toxicity", "exact_dedup", "near_dedup", "decontamination", "packing"]
+    model = toxicity.train(docs, spark.read.parquet(f"{SF}/labels.parquet"), ~queries.held_out(3, 1))
+    clean = stages["toxicity"](spark, docs, SF)
+    assert clean.columns == docs.columns
+    assert texts(clean) == {d: t for d, t in texts(docs).items() if model.score(t) < 0.7}
+    single = stages["exact_dedup"](spark, clean, SF)
+    assert single.columns == docs.columns and set(texts(single)) == {k for k, _, _ in exact(texts(clean)).values()}
+    apart = stages["near_dedup"](spark, single, SF)
+    assert apart.columns == docs.columns and set(texts(apart)) == {r for _, r in near_classes(texts(single)).values()}
+    fresh = stages["decontamination"](spark, apart, SF)
+    items = [decontaminate.normalise(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    assert fresh.columns == docs.columns and set(texts(fresh)) == {d for d, t in texts(apart).items() if not any(i in decontaminate.normalise(t) for i in items)}
+    packed = stages["packing"](spark, fresh, SF)
+    assert {r.doc_id for r in packed.collect()} == set(texts(fresh))
+
+
+def test_run(spark):
+    rows = cp.run(spark, SF)
+    assert set(rows.columns) == {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"} and rows.count() > 100
+    assert cp.ORACLE_SQL is None
