@@ -34,12 +34,12 @@ BITS = 18
 MOST_FREQUENT = (1 << BITS) - 2
 #: Highest count that is discounted.
 LOW = 5
-BLOCK_DOCS, BLOCK_BYTES = 2000, 3_000_000
+BLOCK_DOCS, BLOCK_BYTES = 2000, 2_000_000
 #: Tokens a partition of pairs gets on average.
-PART_TOKENS = 4_000_000
+PART_TOKENS = 2_000_000
 SLICES = 16
 NONE = np.uint32(0xFFFFFFFF)
-_MEMO = 400_000
+_MEMO = 250_000
 _RECORD = "kind int, part bigint, block bigint, data array<binary>"
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 END = xxhash.xxh3_64_intdigest(b"")
@@ -112,14 +112,16 @@ class Unigrams:
 def _blocks(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[list[list]]:
     """Columns of blocks of documents; a block ends after BLOCK_DOCS rows or BLOCK_BYTES of text."""
     held, size = [[] for _ in columns], 0
-    for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
-            for column, value in zip(held, row, strict=True):
-                column.append(value)
-            size += len(row[columns.index("text")] or "")
-            if len(held[0]) >= BLOCK_DOCS or size >= BLOCK_BYTES:
-                yield held
-                held, size = [[] for _ in columns], 0
+    for whole in batches:
+        for at in range(0, whole.num_rows, 200):
+            batch = whole.slice(at, 200)
+            for row in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+                for column, value in zip(held, row, strict=True):
+                    column.append(value)
+                size += len(row[columns.index("text")] or "")
+                if len(held[0]) >= BLOCK_DOCS or size >= BLOCK_BYTES:
+                    yield held
+                    held, size = [[] for _ in columns], 0
     if held[0]:
         yield held
 
@@ -146,10 +148,10 @@ def count_words(texts: DataFrame) -> DataFrame:
 
         for (block,) in _blocks(batches, ["text"]):
             waiting.append(hasher(block)[0])
-            if sum(map(len, waiting)) > 3_000_000:
+            if sum(map(len, waiting)) > 1_500_000:
                 hashes, counts = settle()
                 waiting = []
-                if len(hashes) > 2_000_000:
+                if len(hashes) > 1_000_000:
                     yield out()
                     hashes, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         if waiting:
