@@ -26,7 +26,7 @@ from .shared import stage_table
 
 EDITS = 0.1
 SEGMENT = 8
-WALKS, ROUNDS, BITS = 2, 32, 4
+WALKS, ROUNDS, BITS = 2, 32, 3
 #: Items shorter than this, normalised, are matched exactly.
 SHORTEST = 24
 #: Items held by a task at once: more are taken in blocks, each a pass over the documents.

