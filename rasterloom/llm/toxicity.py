@@ -49,8 +49,8 @@ PATTERNS = {
 FIT_ROWS, FIT_BYTES = 12_000, 40_000_000
 #: Lengths, in bytes, of the word beginnings that are mined.
 HEADS = (4, 5, 6, 7)
-#: Chance, over all that is tried, that any mined voter is a fluke; most mined voters.
-FLUKE, MOST_MINED = 0.02, 400
+#: Flukes expected among all mined voters; most mined voters.
+FLUKE, MOST_MINED = 0.1, 400
 THRESHOLD = 0.7
 
 
@@ -174,7 +174,7 @@ def label_model(votes: np.ndarray, known: np.ndarray, rounds: int = 25) -> tuple
     return q, np.column_stack([rates, share])
 
 
-def regress(votes: np.ndarray, target: np.ndarray, ridge: float = 0.3, rounds: int = 40) -> tuple[np.ndarray, float]:
+def regress(votes: np.ndarray, target: np.ndarray, ridge: float = 0.05, rounds: int = 40) -> tuple[np.ndarray, float]:
     """Logistic regression on soft targets, by damped Newton steps."""
     x = np.column_stack([votes, np.ones(len(votes))])
     w, keep = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
