@@ -8,8 +8,9 @@ item-sized window that this occurrence implies, at the word start next to it. Ea
 is embedded by CGK random walks (a shared random bit for each step and character says
 whether the walk moves on), which turns few edits into few differing positions;
 ``ROUNDS`` samples of ``BITS`` positions are the LSH keys, and a window that shares a key
-with the item is verified by its exact edit distance (infix alignment, so a window that is
-off by some characters still finds the passage whole).
+with the item is verified: its 4-grams must allow the edits (each edit changes four at most), then its
+exact edit distance counts (infix alignment, so a window that is off by some characters
+still finds the passage whole).
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from .shared import stage_table
 EDITS = 0.1
 SEGMENT = 8
 WALKS, ROUNDS, BITS = 2, 32, 3
+#: Length of a walk, in lengths of the item; a step moves on every other time.
+STEPS = 1.8
 #: Items shorter than this, normalised, are matched exactly.
 SHORTEST = 24
 #: Items held by a task at once: more are taken in blocks, each a pass over the documents.
@@ -63,13 +66,20 @@ def infix_distance(item: bytes, window: bytes) -> int:
     return best
 
 
+def _grams(text: np.ndarray) -> np.ndarray:
+    """16-bit hashes of the 4-grams of a text, one for each place."""
+    t = text.astype(np.uint32)
+    return (t[:-3] | t[1:-2] << 8 | t[2:-1] << 16 | t[3:] << 24) * np.uint32(0x9E3779B1) >> np.uint32(16) if len(t) > 3 else np.zeros(0, np.uint32)
+
+
 class Finder:
     """Finds a block of items in texts."""
 
     def __init__(self, items: list[tuple[int, bytes]], edits: float = EDITS, seed: int = 11):
-        self.items = [(k, t) for k, t in items if len(t) >= SEGMENT]
+        # by length, so windows that are embedded together need much the same steps
+        self.items = sorted(((k, t) for k, t in items if len(t) >= SEGMENT), key=lambda x: (len(x[1]), x))
         self.edits = [int(edits * len(t)) if len(t) >= SHORTEST else 0 for _, t in self.items]
-        keys, whose, offsets = [], [], []
+        keys, whose, offsets, lengths = [], [], [], []
         for i, (_, t) in enumerate(self.items):
             parts = self.edits[i] + 1
             size = len(t) // parts
@@ -78,39 +88,52 @@ class Finder:
                 keys.append(int.from_bytes(t[at : at + SEGMENT], "little"))
                 whose.append(i)
                 offsets.append(at)
+                lengths.append(size)
         order = np.argsort(np.array(keys, np.uint64), kind="stable") if keys else np.zeros(0, int)
-        self.keys, self.whose, self.offsets = (np.array(x, d)[order] for x, d in ((keys, np.uint64), (whose, np.int64), (offsets, np.int64)))
+        self.keys, self.whose, self.offsets, self.lengths = (np.array(x, d)[order] for x, d in ((keys, np.uint64), (whose, np.int64), (offsets, np.int64), (lengths, np.int64)))
         self.bits = max(16, int(np.ceil(np.log2(max(len(keys), 1) * 64))))
         self.maybe = np.zeros(1 << self.bits, bool)
         self.maybe[self._slot(self.keys)] = True
         self.longest = max((len(t) for _, t in self.items), default=0)
         rng = np.random.default_rng(seed)
-        steps = 2 * self.longest
+        steps = int(STEPS * self.longest) + 2
         self.moves = rng.integers(0, 2, (WALKS, steps, 256), dtype=np.uint8)
         # positions are drawn as shares of the item's own walk, so short items are sampled over their length
-        self.draws = rng.random((WALKS, ROUNDS, BITS))
+        self.draws = rng.random((WALKS, ROUNDS, BITS)) * STEPS
         self.sizes = np.array([len(t) for _, t in self.items], np.int64)
-        self.signs = self._signatures(np.frombuffer(b"".join(t for _, t in self.items) or b" ", np.uint8), np.cumsum(self.sizes) - self.sizes, np.arange(len(self.items))) if self.items else None
+        gap = b"\0" * (self.longest + SEGMENT)
+        self.text = np.frombuffer(gap.join([t for _, t in self.items] + [b""]), np.uint8)
+        self.places = np.cumsum(self.sizes + len(gap)) - self.sizes - len(gap)
+        self.grams = [_grams(np.frombuffer(t, np.uint8)) for _, t in self.items]
+        self.marks = np.zeros(1 << 16, bool)
+        self.signs = self._signatures(self.text, self.places, np.arange(len(self.items))) if self.items else None
 
     def _slot(self, x: np.ndarray) -> np.ndarray:
         return ((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
+    def _held(self, item: int, window: np.ndarray) -> int:
+        """How many of the item's 4-grams the window has; hashes that collide only add to it."""
+        there = _grams(window)
+        self.marks[there] = True
+        out = int(self.marks[self.grams[item]].sum())
+        self.marks[there] = False
+        return out
+
     def _signatures(self, text: np.ndarray, starts: np.ndarray, items: np.ndarray) -> np.ndarray:
         """LSH keys (window, walk * ROUNDS + round) of item-sized windows."""
         out = np.zeros((len(starts), WALKS * ROUNDS), np.uint64)
         sizes = self.sizes[items]
-        stops = np.minimum(starts + sizes, len(text))
         for walk in range(WALKS):
-            steps = 2 * int(sizes.max())
-            at, seen = starts.copy(), np.zeros((steps, len(starts)), np.uint8)
+            steps = int(sizes.max() * STEPS) + 1
+            at, seen = starts.astype(np.int64), np.zeros((steps, len(starts)), np.uint8)
             for s in range(steps):
-                c = np.where(at < stops, text[np.minimum(at, len(text) - 1)], 0).astype(np.uint8)
+                c = text[at]
                 seen[s] = c
                 at += self.moves[walk, s][c]
             for r in range(ROUNDS):
                 key = np.full(len(starts), walk * ROUNDS + r + 1, np.uint64)
                 for b in range(BITS):
-                    key = key * np.uint64(256) + seen[(self.draws[walk, r, b] * 2 * sizes).astype(np.int64), np.arange(len(starts))]
+                    key = key * np.uint64(256) + seen[(self.draws[walk, r, b] * sizes).astype(np.int64), np.arange(len(starts))]
                 out[:, walk * ROUNDS + r] = key
         return out
 
@@ -130,6 +153,12 @@ class Finder:
             return []
         spot = np.repeat(hits, times)
         entry = np.repeat(low, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        for more in range(SEGMENT, int(self.lengths[entry].max())):
+            longer = self.lengths[entry] > more
+            same = ~longer | (text[np.minimum(spot + more, len(text) - 1)] == self.text[np.minimum(self.places[self.whose[entry]] + self.offsets[entry] + more, len(self.text) - 1)])
+            spot, entry = spot[same], entry[same]
+            if not len(entry):
+                return []
         item, start = self.whose[entry], spot - self.offsets[entry]
         edges = np.flatnonzero((text[1:] != 32) & ((text[:-1] == 32) | (text[:-1] == 0)) & (text[1:] != 0)) + 1
         near = np.searchsorted(edges, start)
@@ -154,6 +183,8 @@ class Finder:
                 if (had := best.get((d, k))) and had[0] == 0:
                     continue
                 window = joined[a:b]
+                if self._held(k, text[a:b]) < len(body) - 3 - 4 * limit:
+                    continue
                 exact = window.find(body)
                 edits, place = (0, a + exact - int(begins[d])) if exact >= 0 else (infix_distance(body, window), p - int(begins[d]))
                 if edits <= limit and (not had or (edits, place) < had):
