@@ -27,6 +27,8 @@ LENGTH = 4096
 END = 2
 #: Texts encoded at once, and the bytes after which a batch is cut short.
 BATCH_ROWS, BATCH_BYTES = 256, 2_000_000
+#: Most partitions (one offset each) that are broadcast; beyond it the join shuffles.
+MOST_PARTS = 500_000
 
 
 def _slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
@@ -75,7 +77,8 @@ def pack(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col
     totals = tokens.groupBy("part").agg(F.sum("n").alias("total"))
     first = F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = stage_table(totals.select("part", first.alias("first")), "offsets", "snappy")
-    placed = tokens.join(F.broadcast(offsets), "part").select("id", (F.col("first") + F.col("before")).alias("place"), "n", "ids", "width")
+    small = offsets.count() <= MOST_PARTS
+    placed = tokens.join(F.broadcast(offsets) if small else offsets, "part").select("id", (F.col("first") + F.col("before")).alias("place"), "n", "ids", "width")
     fields = [T.StructField(id_col, tokens.schema["id"].dataType)] + [T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]
     schema = T.StructType(fields + [T.StructField("ids", T.ArrayType(T.IntegerType()))] * with_ids)
 

@@ -18,8 +18,8 @@ from .shared import stage_table
 
 FIRST_DIGITS = 4
 KEY_DIGITS = 32
-#: Rows a slot window sorts at once, and most windows in a shard (bounds the broadcast offsets).
-SLOT_ROWS, MOST_BUCKETS = 50_000, 4096
+#: Rows a slot window sorts, most windows in a shard, and most offsets that are broadcast (beyond it they are joined by shuffle).
+SLOT_ROWS, MOST_BUCKETS, MOST_OFFSETS = 50_000, 4096, 100_000
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -147,11 +147,11 @@ def assign(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: s
     shard = F.lit(0)
     for cut in cuts:
         shard = shard + (F.col("key") >= F.lit(cut)).cast("int")
-    buckets = min(MOST_BUCKETS, max(1, rows // (shards * SLOT_ROWS) + 1) * 4)
+    buckets = min(MOST_BUCKETS, (rows // (shards * SLOT_ROWS) + 1) * 4)
     placed = sized.select("*", shard.cast("int").alias("shard"), F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int").alias("bucket"))
     counts = placed.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     inner = Window.partitionBy("shard", "bucket").orderBy("id", "key")
-    out = placed.withColumn("at", F.row_number().over(inner)).join(F.broadcast(offsets), ["shard", "bucket"])
+    out = placed.withColumn("at", F.row_number().over(inner)).join(F.broadcast(offsets) if shards * buckets <= MOST_OFFSETS else offsets, ["shard", "bucket"])
     return out.select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), "shard", (F.col("first") + F.col("at") - 1).cast("long").alias("slot"))
