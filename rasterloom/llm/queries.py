@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, katz, language_id, license_scan, near_dedup, packing, secret_scan, sharding, toxicity
+from . import decontaminate, exact_dedup, katz, language_id, license_scan, near_dedup, oracle, packing, secret_scan, sharding, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -83,6 +83,8 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_license_scan": oracle.licenses(),
+    "op10_secret_scan": oracle.secrets(),
     "op4_exact_dedup": r"""
         WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS points, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents)
         SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size, doc_id = first_value(doc_id) OVER w AS kept, text_sha256
