@@ -205,15 +205,17 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     first = made.where("n > 0").groupBy("whole").agg(F.min("id").alias("rep"))
     members = stage_table(made.select("id", "n", "whole").join(first, "whole", "left").select("id", "n", F.coalesce("rep", "id").alias("rep")), "members")
     chosen = members.where("n > 0 and id = rep").select("id").distinct()
-    reps = stage_table(made.where("n > 0").select("id", "n", "sketch", "bands").join(chosen, "id", "left_semi").dropDuplicates(["id"]), "reps")
-    links = _links(reps, rows, id_col, text_col, words, threshold)
+    once = made.groupBy("id").agg(F.count("*").alias("times")).where("times > 1").isEmpty()
+    single = (lambda df: df) if once else (lambda df: df.dropDuplicates(["id"]))
+    reps = stage_table(single(made.where("n > 0").select("id", "n", "sketch", "bands").join(chosen, "id", "left_semi")), "reps")
+    links = _links(reps, rows, id_col, text_col, words, threshold, single)
     roots = components(links)
     out = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component_id", F.coalesce("root", "rep"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
 
 
-def _links(reps: DataFrame, rows: DataFrame, id_col: str, text_col: str, words: int, threshold: int) -> DataFrame:
-    """Verified links that join what belongs together."""
+def _links(reps: DataFrame, rows: DataFrame, id_col: str, text_col: str, words: int, threshold: int, single) -> DataFrame:
+    """Verified links that join what belongs together; ``single`` drops rows that repeat an id."""
     spread = reps.select("id", F.explode("bands").alias("key"))
     full = spread.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     inside = stage_table(spread.join(full, "key").select("key", "id", "size"), "buckets")
@@ -224,7 +226,7 @@ def _links(reps: DataFrame, rows: DataFrame, id_col: str, text_col: str, words:
     ids = inside.select("id").distinct()
     count = ids.count()
     wanted = rows.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    texts = stage_table(wanted.join(F.broadcast(ids) if count <= BROADCAST_IDS else ids, "id", "left_semi").dropDuplicates(["id"]), "texts")
+    texts = stage_table(single(wanted.join(F.broadcast(ids) if count <= BROADCAST_IDS else ids, "id", "left_semi")), "texts")
     links = stage_table(_verified(near, texts, words, threshold), "links", "snappy")
     roots = stage_table(components(links), "roots", "snappy")
     return links.unionByName(_crossing(starred, roots, reps.select("id", "n"), texts, words, threshold))
@@ -242,10 +244,12 @@ def _crossing(starred: DataFrame, roots: DataFrame, sizes: DataFrame, texts: Dat
     held = family.join(roots, family.id == roots.node, "left").select("family", "id", F.coalesce("root", "id").alias("root"))
     apart = held.groupBy("family").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("family")
     held = stage_table(held.join(apart, "family", "left_semi").join(sizes, "id"), "apart", "snappy")
-    load = F.col("n") / BLOCK_SHINGLES + 1 / BLOCK_MEMBERS
-    by_root = held.groupBy("family", "root").agg(F.sum(load).alias("load")).withColumn("own", F.col("load") >= 1)
+    # whole numbers, so a recomputed sum deals alike
+    full = BLOCK_SHINGLES * BLOCK_MEMBERS
+    load = F.col("n") * BLOCK_MEMBERS + BLOCK_SHINGLES
+    by_root = held.groupBy("family", "root").agg(F.sum(load).alias("load")).withColumn("own", F.col("load") >= full)
     pool = by_root.where("not own").groupBy("family").agg(F.sum("load").alias("pooled"))
-    dealt = by_root.join(pool, "family", "left").select("family", "root", "own", F.ceil(F.when(F.col("own"), F.col("load")).otherwise(F.col("pooled"))).alias("parts"))
+    dealt = by_root.join(pool, "family", "left").select("family", "root", "own", F.ceil(F.when(F.col("own"), F.col("load")).otherwise(F.col("pooled")) / full).alias("parts"))
     # small components are dealt whole
     part = F.pmod(F.when(F.col("own"), F.xxhash64("id")).otherwise(F.xxhash64("root")), F.col("parts"))
     placed = held.join(dealt, ["family", "root"]).select("family", "id", "root", F.when(F.col("own"), F.col("root")).alias("whole"), part.alias("part"))
