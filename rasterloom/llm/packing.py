@@ -83,7 +83,8 @@ def pack(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col
     schema = T.StructType(fields + [T.StructField("ids", T.ArrayType(T.IntegerType()))] * with_ids)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        Encoder.forget()
+        for batch in (b for whole in batches for b in _slices(whole, "ids")):
             columns = batch.to_pydict()
             out = [[] for _ in schema.names]
             for key, place, n, raw, width in zip(*(columns[c] for c in ("id", "place", "n", "ids", "width")), strict=True):

@@ -18,8 +18,8 @@ import numpy as np
 import regex
 from tokenizers import Tokenizer
 
-#: Chunks kept at once; the memo starts anew beyond it (some 150 MB).
-MEMO = 700_000
+#: Chunks kept at once; the memo starts anew beyond it (some 60 MB).
+MEMO = 300_000
 #: Signs that a pattern for runs of neither letters nor digits takes whole.
 _SIGNS = ",.!?;:|)"
 _PLAIN = regex.compile(r"[!-~À-ÖØ-öø-ÿŒœ]+")
@@ -107,6 +107,12 @@ class Encoder:
             held[key] = cls(path)
         return held[key]
 
+    @staticmethod
+    def forget() -> None:
+        """Free this process's encoders."""
+        if held := sys.modules.get("_rasterloom_worker"):
+            held.__dict__.clear()
+
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """The ids of each text; a null text has none."""
         texts = [t or "" for t in texts]
