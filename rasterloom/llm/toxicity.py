@@ -46,7 +46,7 @@ PATTERNS = {
     "outcry": r"(?:!{2,}.{0,80}){3}",
 }
 
-FIT_ROWS, FIT_BYTES = 12_000, 40_000_000
+FIT_ROWS, FIT_BYTES = 8000, 24_000_000
 #: Lengths, in bytes, of the word beginnings that are mined.
 HEADS = (4, 5, 6, 7)
 #: Flukes expected among all mined voters; most mined voters.
@@ -115,12 +115,13 @@ def mine(texts: list[str], toxic: np.ndarray) -> list[bytes]:
     if not 0 < rate < 1:
         return []
     seen, bad, held = Counter(), Counter(), []
-    for text, y in zip(texts, toxic, strict=True):
+    for text in (t for t, y in zip(texts, toxic, strict=True) if y):
         own = {m for w in words(text) for m in marks(w)}
-        seen.update(own)
-        if y:
-            bad.update(own)
-            held.append(own)
+        bad.update(own)
+        held.append(own)
+    # only marks of toxic texts are tried, so only they are counted
+    for text in texts:
+        seen.update({m for w in words(text) for m in marks(w) if m in bad})
     tried = Counter(seen.values())
     at_least, total = {}, 0
     for n in sorted(tried, reverse=True):
