@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import drop_table, stage_table
+from .shared import drop_table, stage_table, trim
 
 BITS = 18
 #: Words that have a number, one number being kept for the start of a text.
@@ -157,6 +157,8 @@ def count_words(texts: DataFrame) -> DataFrame:
         if waiting:
             hashes, counts = settle()
         yield out()
+        del waiting, hashes, counts, hasher
+        trim()
 
     return texts.select("text").mapInArrow(run, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
 
@@ -217,6 +219,8 @@ def _spread(rows: DataFrame, uni: Unigrams, parts: int) -> DataFrame:
                     n = [np.bincount(d, minlength=len(sizes)).astype(np.uint32) for d in (key_doc[i], rare_doc[j])]
                     out.append((1, p, block, (flag, n[0], key[i].astype(np.uint32), (key[i] >> np.uint64(32)).astype(np.uint8), n[1], rare_h[j], rare_ctx[j])))
             yield _records(out)
+        del hasher
+        trim()
 
     return rows.mapInArrow(run, _RECORD)
 
@@ -228,6 +232,7 @@ def _count_pairs(spread: DataFrame, uni: Unigrams) -> DataFrame:
     """For each partition of pairs: kind 1 sums by document for each block, kind 2 sums by context, kind 3 the pairs' counts; kind 0 goes through."""
 
     def run(whole: pa.Table) -> pa.Table:
+        trim()
         kinds = whole.column("kind")
         heads, table = (whole.filter(pc.equal(kinds, k)).select(["kind", "part", "block", "data"]) for k in (0, 1))
         if not table.num_rows:
@@ -304,6 +309,7 @@ def _context_sums(counted: DataFrame) -> DataFrame:
     """ctx, low (LOW + 1 counts of counts), mass (unigram probability of the seen continuations)."""
 
     def run(table: pa.Table) -> pa.Table:
+        trim()
         sums: dict[str, np.ndarray] = {}
         for ctx, low, mass in table.column("data").to_pylist():
             at = np.frombuffer(ctx, np.uint32)
@@ -366,7 +372,7 @@ def score(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.coalesce(usable, F.lit(False)).alias("train"))
     uni = unigrams(rows.where("train"))
     parts = max(1, -(-uni.total // PART_TOKENS))
-    counted = stage_table(_count_pairs(_spread(rows, uni, parts), uni), "counted")
+    counted = stage_table(_count_pairs(_spread(rows, uni, parts), uni), "counted", by="kind")
     alpha, d = backoff(_context_sums(counted).toPandas(), uni)
     out = _summed(counted, uni, alpha, d)
     return out.withColumn("train_tokens", F.lit(uni.total).cast("long")).withColumnRenamed("id", id_col)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import stage_table
+from .shared import stage_table, trim
 from .tokens import Encoder, default_path
 
 LENGTH = 4096
@@ -84,6 +84,7 @@ def pack(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         Encoder.forget()
+        trim()
         for batch in (b for whole in batches for b in _slices(whole, "ids")):
             columns = batch.to_pydict()
             out = [[] for _ in schema.names]

@@ -6,6 +6,7 @@ back, so a lost executor costs a re-read, never a recomputation of the stage.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -31,14 +32,28 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stage_table(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` to the shared folder and return a reader of the written table."""
+def stage_table(df: DataFrame, name: str, codec: str = "zstd", by: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder, in a folder for each value of ``by``, and return a reader of the written table."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
+    writer = df.write.option("compression", codec)
+    (writer.partitionBy(by) if by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def trim() -> None:
+    """Give memory that a Python worker has freed back to the system; workers live on from task to task."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Remove one folder through the file system that owns it."""
     jvm = spark.sparkContext._jvm
@@ -48,9 +63,8 @@ def delete_path(spark: SparkSession, path: str) -> None:
 
 def drop_table(df: DataFrame) -> None:
     """Delete a table made by ``stage_table``; its readers are invalid afterwards."""
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/rasterloom-" in folder:
-            delete_path(df.sparkSession, folder)
+    for folder in {re.sub(r"(/rasterloom-[^/]+)/.*", r"\1", f) for f in df.inputFiles() if "/rasterloom-" in f}:
+        delete_path(df.sparkSession, folder)
 
 
 def release(spark: SparkSession) -> int:
