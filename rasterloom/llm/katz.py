@@ -4,8 +4,8 @@ Order two over one: P(w | v) = d(c) c(v, w) / (c(v) + 1) where (v, w) was seen,
 alpha(v) P(w), with P(w) itself discounted and backed off to unseen words. alpha(v) is
 what the seen continuations leave over, divided by the unigram mass of the unseen ones;
 the one pseudo-count keeps it positive where no count is low enough for a discount.
-Words outside the ``MOST_FREQUENT`` most frequent are predicted by their exact counts
-like any other, but aren't contexts: after them the model is the unigram.
+Every training word is a context, at any size of the input; only a caller that lowers
+``MOST_FREQUENT`` gets a model whose rarer words aren't.
 
 How it scales: frequent words get 18-bit numbers from a bounded broadcast table. Tasks
 pack the word pairs of a block of documents into byte columns, one record for each of P
@@ -13,7 +13,11 @@ partitions (a hash of the pair, P grows with the tokens), so Spark moves a few l
 records rather than a row for each token. A pair of two very frequent words is no hot
 key beyond that: it is split into as many records as there are blocks. Each partition
 counts its pairs, stores them as its part of the model, and answers the blocks with sums
-for each document; the rest (discounts, alpha of at most 2^18 contexts) is bounded.
+for each document; the discounts and the numbered contexts' alpha are bounded. Contexts
+without a number go by their 64-bit hash: a pair of such a context and a numbered word is
+counted where the context's hash belongs, a pair with another such word where that word's
+hash belongs (its count is known there). Both send what the context's alpha needs, and the
+places that need alpha, to the partition of the context's hash, which answers the blocks.
 """
 
 from __future__ import annotations
@@ -30,8 +34,10 @@ from pyspark.sql import functions as F
 from .shared import drop_table, stage_table, trim
 
 BITS = 18
-#: Words that have a number, one number being kept for the start of a text.
-MOST_FREQUENT = (1 << BITS) - 2
+#: Words that have a number, one number being kept for the start of a text and one for all other contexts.
+NUMBERED = (1 << BITS) - 2
+#: Words that are contexts: all. Below NUMBERED, only so many of the most frequent (whole counts) are.
+MOST_FREQUENT = (1 << 63) - 1
 #: Highest count that is discounted.
 LOW = 5
 BLOCK_DOCS, BLOCK_BYTES = 2000, 2_000_000
@@ -85,7 +91,7 @@ def discounts(of: np.ndarray) -> np.ndarray:
 class Unigrams:
     """Numbers and counts of frequent words, totals, and the unigram's probabilities."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int, distinct: int, docs: int, of: np.ndarray):
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int, distinct: int, docs: int, of: np.ndarray, every: bool = True):
         order = np.argsort(hashes)
         self.hashes, self.counts, self.total, self.distinct, self.docs = hashes[order], counts[order], total, distinct, docs
         self.discount = discounts(of)
@@ -95,6 +101,9 @@ class Unigrams:
         self.left = (1 - self.scale * kept / total) if total else 1.0
         self.unseen = self.left / max(of[1], 1)
         self.start = len(self.hashes)
+        #: The context number that stands for all words without one.
+        self.rare = self.start + 1
+        self.every = every
 
     def numbers(self, h: np.ndarray) -> np.ndarray:
         """The word's number, or NONE."""
@@ -173,12 +182,16 @@ def unigrams(texts: DataFrame) -> Unigrams:
         if c <= LOW + 1:
             of[c] = n
     # the whole counts, from above, whose words all have room
-    fits = by_count.c[by_count.n.cumsum() <= MOST_FREQUENT]
+    fits = by_count.c[by_count.n.cumsum() <= min(MOST_FREQUENT, NUMBERED)]
     top = table.where(F.col("c") >= int(fits.min())).toPandas() if len(fits) else table.limit(0).toPandas()
     end = np.uint64(END).astype(np.int64)
     docs = table.where(F.col("h") == int(end)).agg(F.sum("c")).first()[0] or 0
     drop_table(table)
-    return Unigrams(top.h.to_numpy(np.int64).view(np.uint64), top.c.to_numpy(np.int64), total, distinct, int(docs), of)
+    return Unigrams(top.h.to_numpy(np.int64).view(np.uint64), top.c.to_numpy(np.int64), total, distinct, int(docs), of, MOST_FREQUENT >= NUMBERED)
+
+
+def _part_of(h: np.ndarray, parts: int) -> np.ndarray:
+    return ((h * _GOLD) >> np.uint64(33)) % np.uint64(parts)
 
 
 def _spread(rows: DataFrame, uni: Unigrams, parts: int) -> DataFrame:
@@ -195,6 +208,8 @@ def _spread(rows: DataFrame, uni: Unigrams, parts: int) -> DataFrame:
             w = uni.numbers(h)
             ctx = np.empty_like(w)
             ctx[1:] = w[:-1]
+            if uni.every:
+                ctx[ctx == NONE] = uni.rare
             ctx[np.cumsum(sizes) - sizes] = uni.start if uni.docs else NONE
             often = w != NONE
             c = np.where(often, uni.counts[np.minimum(w, max(len(uni.counts) - 1, 0))] if len(uni.counts) else 0, 0)
@@ -205,19 +220,23 @@ def _spread(rows: DataFrame, uni: Unigrams, parts: int) -> DataFrame:
             flag = np.array([bool(t) for t in train], np.uint8)
             key_ids = np.array([0 if i is None else i for i in ids], np.int64)
             out = [(0, block % parts, block, (key_ids, np.array([i is None for i in ids], np.uint8), flag, sizes, base, known.astype(np.int64), score))]
-            pair = often & ~alone
+            before = np.roll(h, 1)
+            after = often & (ctx == uni.rare)
+            pair = often & ~alone & ~after
             key = ctx[pair].astype(np.uint64) << np.uint64(BITS) | w[pair]
-            where = ((key * _GOLD) >> np.uint64(33)) % np.uint64(parts)
             rare = ~often
-            rare_where = ((h[rare] * _GOLD) >> np.uint64(33)) % np.uint64(parts)
-            key_doc, rare_doc, rare_h, rare_ctx = doc[pair], doc[rare], h[rare], ctx[rare]
-            a, b = np.argsort(where, kind="stable"), np.argsort(rare_where, kind="stable")
-            a_cut, b_cut = (np.searchsorted(x, np.arange(parts + 1)) for x in (where[a], rare_where[b]))
+            key_doc, rare_doc, rare_h, rare_ctx, rare_v = doc[pair], doc[rare], h[rare], ctx[rare], before[rare]
+            after_doc, after_v, after_w = doc[after], before[after], w[after]
+            orders, cuts = [], []
+            for where in (_part_of(key, parts), _part_of(rare_h, parts), _part_of(after_v, parts)):
+                orders.append(np.argsort(where, kind="stable"))
+                cuts.append(np.searchsorted(where[orders[-1]], np.arange(parts + 1)))
             for p in range(parts):
-                i, j = a[a_cut[p] : a_cut[p + 1]], b[b_cut[p] : b_cut[p + 1]]
-                if len(i) or len(j):
-                    n = [np.bincount(d, minlength=len(sizes)).astype(np.uint32) for d in (key_doc[i], rare_doc[j])]
-                    out.append((1, p, block, (flag, n[0], key[i].astype(np.uint32), (key[i] >> np.uint64(32)).astype(np.uint8), n[1], rare_h[j], rare_ctx[j])))
+                i, j, k = (order[cut[p] : cut[p + 1]] for order, cut in zip(orders, cuts, strict=True))
+                if len(i) or len(j) or len(k):
+                    n = [np.bincount(d, minlength=len(sizes)).astype(np.uint32) for d in (key_doc[i], rare_doc[j], after_doc[k])]
+                    both = j[rare_ctx[j] == uni.rare]
+                    out.append((1, p, block, (flag, n[0], key[i].astype(np.uint32), (key[i] >> np.uint64(32)).astype(np.uint8), n[1], rare_h[j], rare_ctx[j], rare_v[both], n[2], after_v[k], after_w[k])))
             yield _records(out)
         del hasher
         trim()
@@ -225,11 +244,11 @@ def _spread(rows: DataFrame, uni: Unigrams, parts: int) -> DataFrame:
     return rows.mapInArrow(run, _RECORD)
 
 
-_KINDS = ("u1", "u4", "u4", "u1", "u4", "u8", "u4")
+_KINDS = ("u1", "u4", "u4", "u1", "u4", "u8", "u4", "u8", "u4", "u8", "u4")
 
 
-def _count_pairs(spread: DataFrame, uni: Unigrams) -> DataFrame:
-    """For each partition of pairs: kind 1 sums by document for each block, kind 2 sums by context, kind 3 the pairs' counts; kind 0 goes through."""
+def _count_pairs(spread: DataFrame, uni: Unigrams, parts: int) -> DataFrame:
+    """For each partition of pairs: kind 1 sums by document for each block, kind 2 sums by numbered context, kind 3 the pairs' counts, kind 4 what other contexts' partitions need; kind 0 goes through."""
 
     def run(whole: pa.Table) -> pa.Table:
         trim()
@@ -247,14 +266,19 @@ def _count_pairs(spread: DataFrame, uni: Unigrams) -> DataFrame:
         key_doc = np.repeat(np.arange(docs, dtype=np.int32), np.concatenate([d[1] for d in data]))
         rare_doc = np.repeat(np.arange(docs, dtype=np.int32), np.concatenate([d[4] for d in data]))
         key = np.concatenate([d[2] for d in data]).astype(np.uint64) | np.concatenate([d[3] for d in data]).astype(np.uint64) << np.uint64(32)
-        h, h_ctx = np.concatenate([d[5] for d in data]), np.concatenate([d[6] for d in data])
-        contexts = np.concatenate((uni.counts, [uni.docs])).astype(float)
+        h, h_ctx, h_v = (np.concatenate([d[k] for d in data]) for k in (5, 6, 7))
+        after_doc = np.repeat(np.arange(docs, dtype=np.int32), np.concatenate([d[8] for d in data]))
+        after_v, after_w = (np.concatenate([d[k] for d in data]) for k in (9, 10))
+        # of the others, the count is divided out where it is known
+        contexts = np.concatenate((uni.counts, [uni.docs, 0])).astype(float)
         score, base, known, lows = np.zeros(docs), np.zeros(docs), np.zeros(docs, np.int64), np.zeros((LOW, docs))
-        sums = np.zeros((LOW + 2, uni.start + 1))
+        sums = np.zeros((LOW + 2, uni.rare + 1))
         lost_doc, lost_ctx = [], []
+        # of contexts without a number: seen pairs' context, count and word's probability; the places that need alpha
+        told, asked = [], []
 
-        def pairs(ctx: np.ndarray, doc: np.ndarray, name: np.ndarray, wc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """Counts of the distinct names; adds to the sums of documents and contexts."""
+        def pairs(ctx: np.ndarray, doc: np.ndarray, name: np.ndarray, wc: np.ndarray, v: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+            """Counts of the distinct names; adds to the sums of documents and contexts. ``v``: hashes of contexts without a number."""
             nonlocal score
             distinct, one, place = np.unique(name, return_index=True, return_inverse=True)
             c = np.bincount(place, train[doc], len(distinct)).astype(np.int64)
@@ -264,13 +288,17 @@ def _count_pairs(spread: DataFrame, uni: Unigrams) -> DataFrame:
             for r in range(1, LOW + 1):
                 lows[r - 1] += np.bincount(doc[own == r], minlength=docs)
             score += np.bincount(doc[~seen], np.log10(uni.p(wc[~seen])), docs)
-            lost_doc.append(doc[~seen])
-            lost_ctx.append(ctx[~seen])
             there = one[c > 0]
             held = c[c > 0]
             for r in range(1, LOW + 2):
-                sums[r - 1] += np.bincount(ctx[there[held == r]], minlength=uni.start + 1)
-            sums[LOW + 1] += np.bincount(ctx[there], uni.p(wc[there]), uni.start + 1)
+                sums[r - 1] += np.bincount(ctx[there[held == r]], minlength=uni.rare + 1)
+            if v is None:
+                lost_doc.append(doc[~seen])
+                lost_ctx.append(ctx[~seen])
+                sums[LOW + 1] += np.bincount(ctx[there], uni.p(wc[there]), uni.rare + 1)
+            else:
+                told.append((v[there], np.minimum(held, LOW + 1).astype(np.uint8), uni.p(wc[there])))
+                asked.append((doc[~seen], v[~seen]))
             return distinct[c > 0], held
 
         ctx, w = (key >> np.uint64(BITS)).astype(np.int64), (key & np.uint64((1 << BITS) - 1)).astype(np.int64)
@@ -282,9 +310,20 @@ def _count_pairs(spread: DataFrame, uni: Unigrams) -> DataFrame:
         known += np.bincount(rare_doc[c > 0], minlength=docs)
         alone = h_ctx == NONE
         score += np.bincount(rare_doc[alone], np.log10(uni.p(c[alone])), docs)
-        after = ~alone
+        both = h_ctx == uni.rare
+        after = ~alone & ~both
         mixed = h_ctx[after].astype(np.uint64) << np.uint64(40) | place[after].astype(np.uint64)
         rare_names, rare_counts = pairs(h_ctx[after].astype(np.int64), rare_doc[after], mixed, c[after])
+        # two words without numbers; a word without a number before one with it
+        others = np.unique(np.concatenate((h_v, after_v)))
+        mixed = np.searchsorted(others, h_v).astype(np.uint64) << np.uint64(32) | place[both].astype(np.uint64)
+        two_names, two_counts = pairs(h_ctx[both].astype(np.int64), rare_doc[both], mixed, c[both], h_v)
+        mixed = np.searchsorted(others, after_v).astype(np.uint64) << np.uint64(32) | after_w.astype(np.uint64)
+        after_names, after_counts = pairs(np.full(len(after_v), uni.rare), after_doc, mixed, uni.counts[after_w] if len(after_w) else np.zeros(0, np.int64), after_v)
+        if uni.every:
+            # every word but the last stands before another
+            inner = h != np.uint64(END)
+            score -= np.bincount(rare_doc[inner], np.log10(c[inner] + 1), docs)
         lost_doc, lost_ctx = np.concatenate(lost_doc), np.concatenate(lost_ctx)
         order = np.argsort(lost_doc, kind="stable")
         lost_doc, lost_ctx = lost_doc[order], lost_ctx[order]
@@ -293,18 +332,58 @@ def _count_pairs(spread: DataFrame, uni: Unigrams) -> DataFrame:
             low, high = np.searchsorted(lost_doc, (at, at + n))
             span = slice(at, at + n)
             out.append((1, part, b, (score[span], base[span], known[span].astype(np.uint32), lows[:, span].astype(np.uint32), np.bincount(lost_doc[low:high] - at, minlength=n).astype(np.uint32), lost_ctx[low:high].astype(np.uint32))))
+        seen_v, seen_r, seen_p = (np.concatenate(x) for x in zip(*told, strict=True))
+        ask_doc, ask_v = (np.concatenate(x) for x in zip(*asked, strict=True))
+        ask_at = np.searchsorted(first, ask_doc, side="right") - 1
+        ask_block, ask_doc = np.array(blocks, np.int64)[ask_at], (ask_doc - first[ask_at]).astype(np.uint32)
+        orders, cuts = [], []
+        for where in (_part_of(seen_v, parts), _part_of(ask_v, parts)):
+            orders.append(np.argsort(where, kind="stable"))
+            cuts.append(np.searchsorted(where[orders[-1]], np.arange(parts + 1)))
+        for p in range(parts):
+            i, j = (order[cut[p] : cut[p + 1]] for order, cut in zip(orders, cuts, strict=True))
+            if len(i) or len(j):
+                out.append((4, p, part, (seen_v[i], seen_r[i], seen_p[i], ask_block[j], ask_doc[j], ask_v[j])))
         used = np.flatnonzero(sums.any(0))
         for s in range(SLICES):
             mine = used[used % SLICES == s]
             if len(mine):
                 out.append((2, s, part, (mine.astype(np.uint32), sums[: LOW + 1, mine].astype(np.uint32), sums[LOW + 1, mine])))
         rare_ctx, rare_word = (rare_names >> np.uint64(40)).astype(np.uint32), words[(rare_names & np.uint64((1 << 40) - 1)).astype(np.int64)]
-        out.append((3, part, part, (np.diff(names, prepend=np.uint64(0)), counts.astype(np.uint32), rare_ctx, rare_word, rare_counts.astype(np.uint32))))
+        two, two_w, next_, next_w = (x for names_of in (two_names, after_names) for x in (others[(names_of >> np.uint64(32)).astype(np.int64)], names_of & np.uint64(0xFFFFFFFF)))
+        more = (two, words[two_w.astype(np.int64)], two_counts.astype(np.uint32), next_, next_w.astype(np.uint32), after_counts.astype(np.uint32))
+        out.append((3, part, part, (np.diff(names, prepend=np.uint64(0)), counts.astype(np.uint32), rare_ctx, rare_word, rare_counts.astype(np.uint32), *more)))
         return pa.concat_tables([heads, pa.Table.from_batches([_records(out)])], promote_options="permissive")
 
     return spread.groupBy("part").applyInArrow(run, _RECORD)
 
 
+def _other_contexts(counted: DataFrame) -> DataFrame:
+    """Kind 5, for each block and partition of contexts without a number: the places that need alpha, the context's counts of counts and -log10 of what its seen words leave."""
+
+    def run(table: pa.Table) -> pa.Table:
+        trim()
+        data = [[np.frombuffer(x, k) for x, k in zip(d, ("u8", "u1", "f8", "i8", "u4", "u8"), strict=True)] for d in table.column("data").to_pylist()]
+        part = table.column("part")[0].as_py()
+        v, r, p, block, doc, ask = (np.concatenate(x) for x in zip(*data, strict=True))
+        del data
+        names, which = np.unique(ask, return_inverse=True)
+        at = np.minimum(np.searchsorted(names, v), max(len(names) - 1, 0))
+        mine = names[at] == v if len(names) else np.zeros(len(v), bool)
+        at, r, p = at[mine], r[mine], p[mine]
+        low = np.stack([np.bincount(at[r == k], minlength=len(names)) for k in range(1, LOW + 1)]).astype(np.uint32)
+        left = -np.log10(np.maximum(1 - np.bincount(at, p, len(names)), 1e-12))
+        order = np.argsort(block, kind="stable")
+        block, doc, which = block[order], doc[order], which[order]
+        of, cut = np.unique(block, return_index=True)
+        out = []
+        for b, i, j in zip(of.tolist(), cut.tolist(), [*cut[1:].tolist(), len(block)], strict=True):
+            out.append((5, part, b, (doc[i:j], low[:, which[i:j]], left[which[i:j]])))
+        return pa.Table.from_batches([_records(out)])
+
+    return counted.where("kind = 4").groupBy("part").applyInArrow(run, _RECORD)
+
+
 def _context_sums(counted: DataFrame) -> DataFrame:
     """ctx, low (LOW + 1 counts of counts), mass (unigram probability of the seen continuations)."""
 
@@ -326,19 +405,21 @@ def _context_sums(counted: DataFrame) -> DataFrame:
 
 
 def backoff(sums, uni: Unigrams) -> tuple[np.ndarray, np.ndarray]:
-    """alpha of each context, and the pairs' discounts, from the rows of ``_context_sums``."""
+    """alpha of each numbered context, and the discounts of all pairs, from the rows of ``_context_sums``."""
     contexts = np.concatenate((uni.counts, [uni.docs])).astype(float)
-    low, mass = np.zeros((uni.start + 1, LOW + 1)), np.zeros(uni.start + 1)
+    low, mass = np.zeros((uni.rare + 1, LOW + 1)), np.zeros(uni.rare + 1)
     if len(sums):
         at = sums["ctx"].to_numpy()
         low[at], mass[at] = np.stack(sums["low"].to_numpy()), sums["mass"].to_numpy()
     d = discounts(np.concatenate(([0], low.sum(0))))
+    low, mass = low[: uni.rare], mass[: uni.rare]
     spared = 1 + low[:, :LOW] @ ((1 - d[1:]) * np.arange(1, LOW + 1))
     return spared / (contexts + 1) / np.maximum(1 - mass, 1e-12), d
 
 
-def _summed(counted: DataFrame, uni: Unigrams, alpha: np.ndarray, d: np.ndarray) -> DataFrame:
+def _summed(answers: DataFrame, uni: Unigrams, alpha: np.ndarray, d: np.ndarray) -> DataFrame:
     """One row for each document, block by block."""
+    spared = (1 - d[1:]) * np.arange(1, LOW + 1)
     log_alpha, log_d, log_total = np.log10(alpha), np.log10(d[1:]), np.log10(uni.total + 0.5 * (uni.distinct + 1))
     names = ["id", "train", "n_tokens", "n_known", "base_score", "score"]
 
@@ -355,10 +436,13 @@ def _summed(counted: DataFrame, uni: Unigrams, alpha: np.ndarray, d: np.ndarray)
                 score += log_d @ np.frombuffer(x[3], "u4").reshape(LOW, -1)
                 doc = np.repeat(np.arange(len(ids)), np.frombuffer(x[4], "u4"))
                 score += np.bincount(doc, log_alpha[np.frombuffer(x[5], "u4")], len(ids))
+            elif kind == 5:
+                low = np.frombuffer(x[1], "u4").reshape(LOW, -1)
+                score += np.bincount(np.frombuffer(x[0], "u4"), np.log10(1 + spared @ low) + np.frombuffer(x[2], "f8"), len(ids))
         base -= sizes * log_total
         return pa.table([pa.array(ids, pa.int64(), mask=null.astype(bool)), pa.array(train.astype(bool)), pa.array(sizes), pa.array(known), pa.array(base), pa.array(score)], names=names)
 
-    return counted.where("kind < 2").groupBy("block").applyInArrow(run, "id bigint, train boolean, n_tokens bigint, n_known bigint, base_score double, score double")
+    return answers.groupBy("block").applyInArrow(run, "id bigint, train boolean, n_tokens bigint, n_known bigint, base_score double, score double")
 
 
 def score(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -372,7 +456,10 @@ def score(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.coalesce(usable, F.lit(False)).alias("train"))
     uni = unigrams(rows.where("train"))
     parts = max(1, -(-uni.total // PART_TOKENS))
-    counted = stage_table(_count_pairs(_spread(rows, uni, parts), uni), "counted", by="kind")
+    counted = stage_table(_count_pairs(_spread(rows, uni, parts), uni, parts), "counted", by="kind")
     alpha, d = backoff(_context_sums(counted).toPandas(), uni)
-    out = _summed(counted, uni, alpha, d)
+    answers = counted.where("kind < 2")
+    if uni.every:
+        answers = answers.unionByName(_other_contexts(counted))
+    out = _summed(answers, uni, alpha, d)
     return out.withColumn("train_tokens", F.lit(uni.total).cast("long")).withColumnRenamed("id", id_col)

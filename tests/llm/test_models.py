@@ -347,6 +347,28 @@ def test_katz(table, corpus, monkeypatch, most, part):
         assert r.base_score == pytest.approx(base, abs=1e-6) and r.score == pytest.approx(score, abs=1e-6)
 
 
+@pytest.mark.parametrize("numbered,part", [(40, 500), (0, 2000)])
+def test_katz_contexts_without_numbers(table, corpus, monkeypatch, numbered, part):
+    """How many words have numbers doesn't change the model."""
+    monkeypatch.setattr(katz, "NUMBERED", numbered)
+    monkeypatch.setattr(katz, "PART_TOKENS", part)
+    docs = {d: t for d, t in corpus.items() if t is None or len(t) < 10_000}
+    train = {d: zlib.crc32(str(d).encode()) % 5 != 1 for d in docs}
+    want, _ = _katz_twin(docs, train, math.inf)
+    for r in katz.score(table(docs).repartition(3), ~queries.held_out(5, 1)).collect():
+        assert (r.n_tokens, r.n_known, r.base_score, r.score) == pytest.approx(want[r.doc_id], abs=1e-6)
+
+
+def test_katz_many_words(table):
+    """More words than have numbers: a pair of rare words counts like any other."""
+    docs = {d: " ".join(f"w{k}" for k in range(1000 * d, 1000 * d + 1000)) for d in range(270)}
+    docs |= {300: "w5 w6 w7 w100 w6", 301: "w269998 w269999 nowhere w3"}
+    train = {d: d < 300 for d in docs}
+    want, _ = _katz_twin(docs, train, math.inf)
+    got = {r.doc_id: r.score for r in katz.score(table(docs), F.col("doc_id") < 300).collect()}
+    assert got == {d: pytest.approx(w[3], abs=1e-5) for d, w in want.items()}
+
+
 def test_katz_edges(table, corpus):
     assert katz.score(table(corpus, empty=True), F.lit(True)).collect() == []
     got = katz.score(table({1: "a b", 2: None}), F.lit(False)).collect()
