@@ -3,10 +3,12 @@
 Every word 2-gram of a text is joined by its hash to the positions it has in the
 templates. A hit votes for the diagonal ``word position - template position``; votes
 are summed by (document, template, diagonal), diagonals that lie within ``SLACK`` words
-of each other are merged (a word more or less inside a notice shifts its tail), and a
-merged span stands when enough of the template's 2-grams voted. Short phrases must
-stand whole on one diagonal, which makes them exact. The hash join is followed by a
-comparison of the words, so colliding hashes never vote.
+of each other are merged (a word more or less inside a notice shifts its tail). A
+merged run with enough votes is then verified: what counts is its longest chain of
+2-grams that follow each other both in the text and in the template, with steps of
+``SLACK`` diagonals at most, so no place of the template counts twice or out of order.
+Short phrases must stand whole on one diagonal, which makes them exact. The hash join is
+followed by a comparison of the words, so colliding hashes never vote.
 """
 
 from __future__ import annotations
@@ -70,19 +72,36 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phras
     pairs = F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))).alias("b"))
     each = words.select("id", F.posexplode(pairs).alias("pos", "p")).select("id", "pos", F.col("p.a").alias("a"), F.col("p.b").alias("b"))
     votes = each.withColumn("h", F.xxhash64("a", "b")).join(F.broadcast(grams), "h").where("a = t1 and b = t2")
-    by = votes.groupBy("id", "label", "whole", "grams", (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(F.countDistinct("tpos").alias("hits"))
+    by = votes.groupBy("id", "label", "whole", "grams", (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(F.collect_set("tpos").alias("places")).withColumn("hits", F.size("places"))
     return _merged(by)
 
 
+def _chain(hits: Column, grams: Column) -> Column:
+    """Votes of the longest chain, from the ``hits`` (pos, tpos) of a run in order."""
+
+    def step(state: Column, hit: Column) -> Column:
+        shift = lambda s: F.abs(hit["pos"] - hit["tpos"] - s["pos"] + s["tpos"])
+        before = F.filter(state["near"], lambda s: (s["pos"] < hit["pos"]) & (s["tpos"] < hit["tpos"]) & (shift(s) <= SLACK))
+        n = F.coalesce(F.array_max(F.transform(before, lambda s: s["n"])), F.lit(0)) + 1
+        # what lies further back can't be followed any more
+        near = F.filter(state["near"], lambda s: s["pos"] >= hit["pos"] - grams - SLACK)
+        return F.struct(F.greatest(state["best"], n).alias("best"), F.concat(near, F.array(F.struct(n.alias("n"), hit["pos"].alias("pos"), hit["tpos"].alias("tpos")))).alias("near"))
+
+    none = F.struct(F.lit(0).alias("best"), F.array().cast("array<struct<n:int,pos:int,tpos:int>>").alias("near"))
+    return F.aggregate(hits, none, step, lambda state: state["best"])
+
+
 def _merged(by: DataFrame) -> DataFrame:
-    """Whole phrases from full diagonals; notices from runs of neighbouring diagonals with enough votes."""
+    """Whole phrases from full diagonals; notices from runs of neighbouring diagonals with enough votes in a chain."""
     whole = by.where("whole and hits = grams").select("id", "label", "whole", F.col("diagonal").cast("long").alias("start"), (F.col("grams") + 1).cast("long").alias("length"), F.lit(1.0).alias("coverage"))
     line = Window.partitionBy("id", "label").orderBy("diagonal")
     gap = F.col("diagonal") - F.lag("diagonal").over(line)
     runs = by.where("not whole").withColumn("first", F.coalesce((gap > SLACK).cast("int"), F.lit(1)))
     runs = runs.withColumn("run", F.sum("first").over(line))
-    found = runs.groupBy("id", "label", "whole", "grams", "run").agg(F.sum("hits").alias("hits"), F.max_by("diagonal", F.struct("hits", -F.col("diagonal"))).alias("start"))
-    part = F.least(F.col("hits") / F.col("grams"), F.lit(1.0))
+    at = F.transform("places", lambda t: F.struct((F.col("diagonal") + t).alias("pos"), t.alias("tpos")))
+    found = runs.groupBy("id", "label", "whole", "grams", "run").agg(F.sum("hits").alias("hits"), F.max_by("diagonal", F.struct("hits", -F.col("diagonal"))).alias("start"), F.flatten(F.collect_list(at)).alias("at"))
+    found = found.where(F.col("hits") / F.col("grams") >= COVERAGE).withColumn("chained", _chain(F.array_sort("at"), F.col("grams")))
+    part = F.col("chained") / F.col("grams")
     found = found.where(part >= COVERAGE).select("id", "label", "whole", F.greatest(F.col("start"), F.lit(0)).cast("long").alias("start"), (F.col("grams") + 1).cast("long").alias("length"), part.alias("coverage"))
     return whole.unionByName(found)
 
