@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -231,16 +231,23 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     return found
 
 
+def _key(id_col: str, text_col: str) -> Column:
+    """What findings are joined back by: the id, or the text of a row without one."""
+    return F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("\0"), F.sha2(F.coalesce(text_col, F.lit("")), 256)))
+
+
 def report(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", edits: float = EDITS) -> DataFrame:
-    """One row per input row: id, contaminated, items (sorted ids found), least_edits (null without a find)."""
-    found = stage_table(matches(docs, items, id_col, text_col, item_col, item_text, edits), "matches", "snappy")
-    told = found.groupBy(id_col).agg(F.array_sort(F.collect_set(item_col)).alias("items"), F.min("edits").alias("least_edits"))
-    out = docs.select(id_col).join(told, id_col, "left")
+    """One row per input row: id, contaminated, items (sorted ids found), least_edits (null without a find). Rows without an id are answered by their text."""
+    keyed = docs.select(id_col, _key(id_col, text_col).alias("__key"), F.col(text_col).alias("text"))
+    found = stage_table(matches(keyed, items, "__key", "text", item_col, item_text, edits), "matches", "snappy")
+    told = found.groupBy("__key").agg(F.array_sort(F.collect_set(item_col)).alias("items"), F.min("edits").alias("least_edits"))
+    out = keyed.select(id_col, "__key").join(told, "__key", "left")
     none = F.array().cast(told.schema["items"].dataType)
     return out.select(id_col, F.col("items").isNotNull().alias("contaminated"), F.coalesce("items", none).alias("items"), "least_edits")
 
 
 def survivors(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", edits: float = EDITS) -> DataFrame:
-    """The rows of ``docs`` in which no item is found, with all their columns."""
-    hit = stage_table(matches(docs, items, id_col, text_col, item_col, item_text, edits).select(F.col(id_col).alias("__id")).distinct(), "hit", "snappy")
-    return docs.join(hit, docs[id_col].eqNullSafe(hit["__id"]), "left_anti")
+    """The rows of ``docs`` in which no item is found, with all their columns; rows without an id go by their text."""
+    keyed = docs.select(_key(id_col, text_col).alias("__key"), F.col(text_col).alias("text"))
+    hit = stage_table(matches(keyed, items, "__key", "text", item_col, item_text, edits).select("__key").distinct(), "hit", "snappy")
+    return docs.join(hit, _key(id_col, text_col) == hit["__key"], "left_anti")

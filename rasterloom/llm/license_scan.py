@@ -112,7 +112,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
     Base figures count whole phrases only; ``labels`` adds the notices; ``score`` is the
     best coverage (1 for a whole phrase, 0 without any). Texts that are null, empty or
     without words give zeros, null places and empty labels. Ids are taken as unique; rows
-    that repeat an id share their spans.
+    that repeat an id, or have none, share their spans.
     """
     found = spans(docs, id_col, text_col, phrases, notices)
     base = lambda c: F.when(F.col("whole"), F.col(c))
@@ -121,6 +121,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
         F.array_join(F.array_sort(F.collect_set(base("label"))), ",").alias("base_labels"), F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"), F.max("coverage").alias("score"),
     )
     rows = docs.select(F.col(id_col).alias("id"), F.size(words_of(F.col(text_col))).cast("long").alias("n_words"))
-    out = rows.join(told, "id", "left")
+    told = told.withColumnRenamed("id", "of")
+    out = rows.join(told, F.col("id").eqNullSafe(F.col("of")), "left")
     zero, none = F.lit(0).cast("long"), F.lit("")
     return out.select(F.col("id").alias(id_col), "n_words", F.coalesce("n_base", zero).alias("n_base"), "first_word", "last_word", F.coalesce("base_labels", none).alias("base_labels"), F.coalesce("labels", none).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"))

@@ -300,7 +300,7 @@ def _alike(sets: list[np.ndarray], threshold: int) -> Iterator[tuple[int, np.nda
 
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that stay: one for each component, the one with the smallest id."""
-    kept = classes(docs, id_col, text_col, words, threshold).where("kept").select(F.col(id_col).alias("__id")).distinct()
+    """The rows of ``docs`` that stay: one for each component, the one with the smallest id; rows without an id are in none and all stay."""
+    kept = classes(docs, id_col, text_col, words, threshold).where(F.col("kept") | F.col(id_col).isNull()).select(F.col(id_col).alias("__id")).distinct()
     kept = stage_table(kept, "kept", "snappy")
-    return docs.join(kept, docs[id_col] == kept["__id"], "left_semi")
+    return docs.join(kept, docs[id_col].eqNullSafe(kept["__id"]), "left_semi")

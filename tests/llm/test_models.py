@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from rasterloom.llm import components, decontaminate, katz, language_id, near_dedup, packing, queries, toxicity
+from rasterloom.llm import components, decontaminate, katz, language_id, license_scan, near_dedup, packing, queries, toxicity
 from rasterloom.llm.tokens import Encoder, default_path
 
 SF = "/root/testdata/sf0.01"
@@ -38,6 +38,18 @@ def test_near_edges(table):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_dedup.classes(twice).collect()) == [(7, 2, 7), (7, 2, 7), (9, 0, 9), (9, 0, 9)]
 
 
+def test_rows_without_ids(table, spark):
+    """They lose neither the row nor its findings."""
+    docs = table({1: "a b c d e f", 2: ITEMS[1]}).unionByName(table({None: "a b c d e f"})).unionByName(table({None: ITEMS[1]}))
+    key = lambda rows: sorted((r.doc_id is None, r.text) for r in rows)
+    assert key(near_dedup.survivors(docs).collect()) == key(docs.collect())
+    assert key(decontaminate.survivors(docs, _items(spark)).collect()) == [(False, "a b c d e f"), (True, "a b c d e f")]
+    got = decontaminate.report(docs, _items(spark)).collect()
+    assert sorted((r.doc_id is None, r["items"]) for r in got) == [(False, []), (False, [1]), (True, []), (True, [1])]
+    told = license_scan.scan(table({None: "all rights reserved", 3: "none"})).collect()
+    assert {r.doc_id: r.labels for r in told} == {None: "reserved", 3: ""}
+
+
 def test_near_hot_group(table):
     """A large group of near copies of one text, which aren't all near to each other."""
     rng = random.Random(1)
