@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _SCALE = 1_000_000
+#: Keeps the choice apart from others made by a plain hash of the key.
+_SALT = "bounded"
 
 
 def bounded(rows: DataFrame, key: str, text: str, most_rows: int, most_bytes: int) -> pd.DataFrame:
@@ -18,5 +20,5 @@ def bounded(rows: DataFrame, key: str, text: str, most_rows: int, most_bytes: in
     n, held = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
     share = min(1.0, most_rows / max(n, 1), most_bytes / max(held, 1))
     if share < 1:
-        rows = rows.where(F.pmod(F.xxhash64(F.col(key)), F.lit(_SCALE)) < int(share * _SCALE))
+        rows = rows.where(F.pmod(F.xxhash64(F.col(key), F.lit(_SALT)), F.lit(_SCALE)) < int(share * _SCALE))
     return rows.toPandas().sort_values(key).reset_index(drop=True)

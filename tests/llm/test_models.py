@@ -149,6 +149,16 @@ def test_toxicity(table):
     assert bare.score("nice words") < 0.5 < bare.score("you idiot, a worthless idiot and scum")
 
 
+def test_toxicity_sample_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "fit", lambda sample: sample)
+    docs = spark.range(8000).select(F.col("id").alias("doc_id"), F.lit("x" * 100).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).alias("toxic"))
+    few = toxicity.train(docs, labels, F.col("doc_id") % 3 != 1, most_rows=1000)
+    assert 850 <= len(few) <= 1150
+    short = toxicity.train(docs, labels, F.col("doc_id") % 3 != 1, most_rows=1000, most_bytes=40_000)
+    assert 300 <= len(short) <= 500
+
+
 def test_label_model_weighs_copies_of_a_voter():
     rng = np.random.default_rng(0)
     y = rng.random(3000) < 0.2
