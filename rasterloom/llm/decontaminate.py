@@ -8,8 +8,8 @@ item-sized window that this occurrence implies, at the word start next to it. Ea
 is embedded by CGK random walks (a shared random bit for each step and character says
 whether the walk moves on), which turns few edits into few differing positions;
 ``ROUNDS`` samples of ``BITS`` positions are the LSH keys, and a window that shares a key
-with the item is verified: its 4-grams must allow the edits (each edit changes four at most), then its
-exact edit distance counts (infix alignment, so a window that is off by some characters
+with the item is verified. Before it is embedded, its 4-grams must allow the edits (each
+edit changes four at most); after, its exact edit distance counts (infix alignment, so a window that is off by some characters
 still finds the passage whole).
 """
 
@@ -27,7 +27,8 @@ from .shared import stage_table
 
 EDITS = 0.1
 SEGMENT = 8
-WALKS, ROUNDS, BITS = 2, 32, 3
+#: So many keys, and so short, that 0.99 of the seeded windows at EDITS share one; tests hold it.
+WALKS, ROUNDS, BITS = 2, 64, 2
 #: Length of a walk, in lengths of the item; a step moves on every other time.
 STEPS = 1.8
 #: Items shorter than this, normalised, are matched exactly.
@@ -79,18 +80,22 @@ class Finder:
         # by length, so windows that are embedded together need much the same steps
         self.items = sorted(((k, t) for k, t in items if len(t) >= SEGMENT), key=lambda x: (len(x[1]), x))
         self.edits = [int(edits * len(t)) if len(t) >= SHORTEST else 0 for _, t in self.items]
-        keys, whose, offsets, lengths = [], [], [], []
+        keys, whose, offsets, lengths, widths = [], [], [], [], set()
         for i, (_, t) in enumerate(self.items):
             parts = self.edits[i] + 1
             size = len(t) // parts
+            # a segment shorter than SEGMENT is its own seed, so segments stay disjoint
+            width = min(SEGMENT, size)
+            widths.add(width)
             for p in range(parts):
                 at = p * size
-                keys.append(int.from_bytes(t[at : at + SEGMENT], "little"))
+                keys.append(int.from_bytes(t[at : at + width], "little"))
                 whose.append(i)
                 offsets.append(at)
                 lengths.append(size)
         order = np.argsort(np.array(keys, np.uint64), kind="stable") if keys else np.zeros(0, int)
         self.keys, self.whose, self.offsets, self.lengths = (np.array(x, d)[order] for x, d in ((keys, np.uint64), (whose, np.int64), (offsets, np.int64), (lengths, np.int64)))
+        self.widths = sorted(widths)
         self.bits = max(16, int(np.ceil(np.log2(max(len(keys), 1) * 64))))
         self.maybe = np.zeros(1 << self.bits, bool)
         self.maybe[self._slot(self.keys)] = True
@@ -111,9 +116,8 @@ class Finder:
     def _slot(self, x: np.ndarray) -> np.ndarray:
         return ((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
-    def _held(self, item: int, window: np.ndarray) -> int:
-        """How many of the item's 4-grams the window has; hashes that collide only add to it."""
-        there = _grams(window)
+    def _held(self, item: int, there: np.ndarray) -> int:
+        """How many of the item's 4-grams are among those of a window; hashes that collide only add to it."""
         self.marks[there] = True
         out = int(self.marks[self.grams[item]].sum())
         self.marks[there] = False
@@ -146,13 +150,20 @@ class Finder:
         text = np.frombuffer(joined, np.uint8)
         begins = np.cumsum([len(gap)] + [len(t) + len(gap) for t in texts[:-1]])
         grams = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(text, 8)).view("<u8").ravel() if len(text) >= 8 else np.zeros(0, np.uint64)
-        hits = np.flatnonzero(self.maybe[self._slot(grams)])
-        low, high = np.searchsorted(self.keys, grams[hits], "left"), np.searchsorted(self.keys, grams[hits], "right")
-        times = high - low
-        if not times.sum():
+        spots, entries = [], []
+        for width in self.widths:
+            # a key's unused bytes are 0, which no text has
+            seeds = grams if width == SEGMENT else grams & np.uint64((1 << 8 * width) - 1)
+            hits = np.flatnonzero(self.maybe[self._slot(seeds)])
+            low, high = np.searchsorted(self.keys, seeds[hits], "left"), np.searchsorted(self.keys, seeds[hits], "right")
+            times = high - low
+            spots.append(np.repeat(hits, times))
+            entries.append(np.repeat(low, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times))
+            fits = np.minimum(self.lengths[entries[-1]], SEGMENT) == width
+            spots[-1], entries[-1] = spots[-1][fits], entries[-1][fits]
+        spot, entry = np.concatenate(spots), np.concatenate(entries)
+        if not len(entry):
             return []
-        spot = np.repeat(hits, times)
-        entry = np.repeat(low, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
         for more in range(SEGMENT, int(self.lengths[entry].max())):
             longer = self.lengths[entry] > more
             same = ~longer | (text[np.minimum(spot + more, len(text) - 1)] == self.text[np.minimum(self.places[self.whose[entry]] + self.offsets[entry] + more, len(self.text) - 1)])
@@ -168,6 +179,14 @@ class Finder:
         start = np.where(np.abs(snapped - start) <= slack, snapped, start)
         pairs = np.unique(np.stack([item, np.maximum(start, 0)]), axis=1)
         item, start = pairs
+        of = np.searchsorted(begins, start + self.sizes[item] // 2, "right") - 1
+        item, start, of = item[of >= 0], start[of >= 0], of[of >= 0]
+        limits, ends = np.array(self.edits)[item], begins + np.array([len(t) for t in texts])
+        lows, highs = np.maximum(start - 2 * limits, begins[of]), np.minimum(start + self.sizes[item] + 2 * limits, ends[of])
+        # the 4-grams first: they lose nothing, and leave few windows to embed
+        least, four = self.sizes[item] - 3 - 4 * limits, _grams(text)
+        able = [self._held(k, four[a : max(b - 3, a)]) >= n for k, a, b, n in zip(item.tolist(), lows.tolist(), highs.tolist(), least.tolist(), strict=True)]
+        item, start = item[able], start[able]
         best: dict[tuple[int, int], tuple[int, int]] = {}
         for at in range(0, len(item), 20_000):
             i, s = item[at : at + 20_000], start[at : at + 20_000]
@@ -175,16 +194,12 @@ class Finder:
             for k, p in zip(i[same].tolist(), s[same].tolist(), strict=True):
                 name, body = self.items[k]
                 d = int(np.searchsorted(begins, p + len(body) // 2, "right")) - 1
-                if d < 0:
-                    continue
                 limit = self.edits[k]
                 a = max(p - 2 * limit, int(begins[d]))
                 b = min(p + len(body) + 2 * limit, int(begins[d]) + len(texts[d]))
                 if (had := best.get((d, k))) and had[0] == 0:
                     continue
                 window = joined[a:b]
-                if self._held(k, text[a:b]) < len(body) - 3 - 4 * limit:
-                    continue
                 exact = window.find(body)
                 edits, place = (0, a + exact - int(begins[d])) if exact >= 0 else (infix_distance(body, window), p - int(begins[d]))
                 if edits <= limit and (not had or (edits, place) < had):

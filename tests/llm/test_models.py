@@ -232,6 +232,41 @@ def test_recall_under_edits():
     assert all(want[d] == k for d, k in found)
 
 
+def test_recall_at_the_bound():
+    """Of passages with edits of a whole tenth, 0.99 are found."""
+    rng = random.Random(6)
+    items = [(i, decontaminate.normalise("".join(rng.choice("abcdefghij klmnop") for _ in range(n)))) for i, n in enumerate([80, 100, 150, 250, 380] * 6)]
+    texts, want = [], []
+    for _ in range(15):
+        for i, t in items:
+            w = bytearray(t)
+            for _ in range(int(0.1 * len(t))):
+                k = rng.randrange(len(w))
+                op = rng.randrange(3)
+                if op == 0:
+                    del w[k]
+                elif op == 1:
+                    w[k] = ord(rng.choice("qrstuv"))
+                else:
+                    w.insert(k, ord(rng.choice("qrstuv")))
+            pad = bytes(rng.choice(b"uvwxyz ") for _ in range(200))
+            texts.append(decontaminate.normalise((pad + b" " + bytes(w) + b" " + pad).decode()))
+            want.append(i)
+    limit = {i: int(0.1 * len(t)) for i, t in items}
+    near = {(d, i) for d, i in enumerate(want) if edit_distance_infix(dict(items)[i], texts[d]) <= limit[i]}
+    found = {(d, k) for d, k, _, _ in decontaminate.Finder(items).find(texts)}
+    assert len(near) >= 400 and len(found & near) >= 0.99 * len(near)
+
+
+@pytest.mark.parametrize("size", [30, 31])
+def test_segments_shorter_than_a_seed(size):
+    item = b"abcdefghijklmnopqrstuvwxyz01234"[:size]
+    text = bytearray(b"before " + item + b" after")
+    for at in (7, 14, 21):  # the first byte of all segments but one
+        text[7 + at] = ord("9")
+    assert [(k, e) for _, k, _, e in decontaminate.Finder([(1, item)]).find([bytes(text)])] == [(1, 3)]
+
+
 def test_op5_finds_whole_items(spark):
     items = {r.item_id: r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
