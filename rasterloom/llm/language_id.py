@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .sampling import bounded
+from .sampling import bounded_by
 
 BUCKETS, SIZE = 1 << 16, 12
 #: Bounds of the fitting sample.
@@ -129,9 +129,9 @@ def fit(sample: pd.DataFrame, seed: int = 7) -> LanguageModel:
 
 
 def train(docs: DataFrame, usable: Column, key: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_rows: int = FIT_ROWS, most_bytes: int = FIT_BYTES) -> LanguageModel:
-    """Fit on a bounded sample of the rows that are ``usable`` and have a language and a text."""
+    """Fit on a bounded sample, dealt over the languages, of the rows that are ``usable`` and have a language and a text."""
     rows = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    return fit(bounded(rows.select(key, F.col(text_col).alias("text"), F.col(lang_col).alias("lang")), key, "text", most_rows, most_bytes))
+    return fit(bounded_by(rows.select(key, F.col(text_col).alias("text"), F.col(lang_col).alias("lang")), "lang", key, "text", most_rows, most_bytes))
 
 
 def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

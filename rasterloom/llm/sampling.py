@@ -11,6 +11,28 @@ _SCALE = 1_000_000
 _SALT = "bounded"
 
 
+def level(sizes: list[int], most: float) -> float:
+    """The cap under which ``sizes``, each cut to it, sum to ``most``; infinite where they are within it."""
+    if sum(sizes) <= most:
+        return float("inf")
+    for i, size in enumerate(ordered := sorted(sizes)):
+        if size * (len(ordered) - i) >= most:
+            return most / (len(ordered) - i)
+        most -= size
+    return float("inf")
+
+
+def bounded_by(rows: DataFrame, by: str, key: str, text: str, most_rows: int, most_bytes: int) -> pd.DataFrame:
+    """As ``bounded``, with equal bounds for each value of ``by``; what small groups leave over goes to the others."""
+    held = rows.groupBy(by).agg(F.count("*").alias("n"), F.sum(F.octet_length(text)).alias("size")).collect()
+    top, wide = level([r["n"] for r in held], most_rows), level([r["size"] for r in held], most_bytes)
+    shares = [(r[by], min(1.0, top / r["n"], wide / max(r["size"], 1))) for r in held]
+    if any(s < 1 for _, s in shares):
+        table = rows.sparkSession.createDataFrame([(v, int(s * _SCALE)) for v, s in shares], f"`{by}` {rows.schema[by].dataType.simpleString()}, __most int")
+        rows = rows.join(F.broadcast(table), by).where(F.pmod(F.xxhash64(F.col(key), F.lit(_SALT)), F.lit(_SCALE)) < F.col("__most")).select(rows.columns)
+    return rows.toPandas().sort_values(key).reset_index(drop=True)
+
+
 def bounded(rows: DataFrame, key: str, text: str, most_rows: int, most_bytes: int) -> pd.DataFrame:
     """About ``most_rows`` rows or ``most_bytes`` of text at most, whichever is less, chosen by the hash of ``key``.
 

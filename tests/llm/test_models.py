@@ -117,6 +117,15 @@ def test_language_edges(table):
     assert language_id.predict(table(docs, empty=True), model).collect() == []
 
 
+def test_language_sample_holds_rare_languages(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "fit", lambda sample: sample)
+    lang = F.when(F.col("id") % 2000 == 7, "rare").when(F.col("id") % 3 == 0, "de").otherwise("en")
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("x" * 50).alias("text"), lang.alias("lang"))
+    got = Counter(language_id.train(docs, F.lit(True), most_rows=500)["lang"])
+    assert got["rare"] == 10 and all(170 <= got[k] <= 320 for k in ("de", "en"))
+    assert 100 <= len(language_id.train(docs, F.lit(True), most_rows=500, most_bytes=7500)) <= 200
+
+
 # toxicity
 
 
