@@ -6,12 +6,16 @@
 2. Texts with one set are one class and go on as its smallest id.
 3. Bands of registers are hashed into buckets. A bucket's members are compared with one
    hub, the member that shares most buckets, so a group of n copies costs n comparisons.
-4. The joint likelihood of two sketches and the known set sizes estimates the similarity;
-   pairs far below the threshold are dropped, all others are verified on their full sets.
-5. Components of the verified links are formed. Where a family of texts that buckets
-   connect still has several, its sets are compared across components, block by block, so
-   a link is lost only if no chain of bands connects it: for one pair (1 - s^4)^32, about
-   5e-6 at similarity 0.75.
+   Components are formed, and buckets that still span several take another hub, until a
+   round finds nothing.
+4. What such buckets still hold apart is compared by a bounded join: shingles are ordered
+   by how many of these texts have them, and a pair that is similar enough has its first
+   common shingle near the front of both, with enough left behind it. Pairs of one
+   component are not formed, and a pair must share a band.
+5. Each pair of 3 and 4 goes through the joint likelihood of two sketches and the known set
+   sizes; pairs far below the threshold are dropped, all others are verified on their full
+   sets. A link is lost only if no band is shared: (1 - s^4)^32, about 5e-6 at similarity
+   0.75.
 """
 
 from __future__ import annotations
@@ -21,11 +25,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import stage_table
+from .shared import fresh, stage_table
 
 WORDS = 5
 #: Similarity in hundredths.
@@ -34,13 +38,13 @@ REGISTERS, ROWS = 128, 4
 BASE, RATE, TOP = 1.001, 20.0, 65534
 #: A pair is verified if its estimate is at least this; five standard errors below the threshold.
 ESTIMATE = 0.55
-#: Most ids that are broadcast to fetch texts; beyond it the join shuffles.
-BROADCAST_IDS = 500_000
+#: Most ids that are broadcast to fetch texts or to drop rows (some 30 MB); beyond it the join shuffles.
+BROADCAST_IDS = 1_000_000
+#: Most rounds of hubs; the bounded join takes what they leave.
+ROUNDS = 6
 _MEMO = 300_000
 #: Shingles whose sets a verifying task keeps.
 CACHED = 3_000_000
-#: Members and shingles of a block, and the columns of a slice of its membership matrix.
-BLOCK_MEMBERS, BLOCK_SHINGLES, SLICE = 400, 400_000, 4096
 
 
 def _mixes() -> tuple[np.ndarray, np.ndarray]:
@@ -115,9 +119,8 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np
     return score.argmax(1) / 100
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """id, n (set size), whole (128-bit hash of the set), sketch, bands (one key for each)."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+def signatures(rows: DataFrame, words: int) -> DataFrame:
+    """Of rows (id, text): id, n (set size), whole (128-bit hash of the set), sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(words)
@@ -127,19 +130,21 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataF
                 sets = [shingles(t) for t in batch.column("text").to_pylist()]
                 full = [s for s in sets if len(s)]
                 made = iter(sketch(full) if full else [])
-                names, keys, kept = [], [], []
-                for s in sets:
-                    names.append(xxhash.xxh3_128_digest(s.tobytes()))
-                    k = next(made) if len(s) else None
-                    kept.append(None if k is None else k.tobytes())
-                    keys.append(None if k is None else [xxhash.xxh3_64_intdigest(k[i : i + ROWS].tobytes(), i) - (1 << 63) for i in range(0, REGISTERS, ROWS)])
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.binary()), pa.array(kept, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "n", "whole", "sketch", "bands"])
+                kept = [next(made).tobytes() if len(s) else None for s in sets]
+                names = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.binary()), pa.array(kept, pa.binary())], names=["id", "n", "whole", "sketch"])
+
+    return rows.select("id", "text").mapInArrow(run, "id bigint, n bigint, whole binary, sketch binary")
+
 
-    return rows.mapInArrow(run, "id bigint, n bigint, whole binary, sketch binary, bands array<bigint>")
+def _bands(sketch: Column) -> Column:
+    """One key for each band of a sketch."""
+    wide = 2 * ROWS
+    return F.array(*[F.xxhash64(F.substring(sketch, 1 + wide * k, wide), F.lit(k)) for k in range(REGISTERS // ROWS)])
 
 
 def _estimated(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Of distinct pairs (a, b), those whose sketches don't rule them out."""
+    """Of distinct pairs (a, b), those that share a band and whose sketches don't rule them out."""
     of = lambda c: reps.select(F.col("id").alias(c), F.col("sketch").alias(f"s{c}"), F.col("n").alias(f"n{c}"))
     held = pairs.join(of("a"), "a").join(of("b"), "b")
 
@@ -149,8 +154,9 @@ def _estimated(pairs: DataFrame, reps: DataFrame) -> DataFrame:
                 batch = whole.slice(at, 2000)
                 a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("sa", "sb"))
                 na, nb = (batch.column(c).to_numpy().astype(float) for c in ("na", "nb"))
-                keep = pa.array(estimate(a, b, na, nb) >= ESTIMATE)
-                yield batch.select(["a", "b"]).filter(keep)
+                keep = (a == b).reshape(len(a), -1, ROWS).all(2).any(1)
+                keep[keep] = estimate(a[keep], b[keep], na[keep], nb[keep]) >= ESTIMATE
+                yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     return held.select("a", "b", "sa", "sb", "na", "nb").mapInArrow(run, "a bigint, b bigint")
 
@@ -163,8 +169,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, threshold: int) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, made, size = Shingler(words), {}, 0
 
-        def of(key: int, text: pa.Scalar) -> np.ndarray:
+        def of(text: pa.Scalar) -> np.ndarray:
             nonlocal size
+            key = xxhash.xxh3_128_digest(text.as_buffer())
             if key not in made:
                 if size > CACHED:
                     made.clear()
@@ -175,8 +182,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, threshold: int) ->
 
         for batch in batches:
             keep, ta, tb = [], batch.column("ta"), batch.column("tb")
-            for i, (a, b) in enumerate(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)):
-                one, other = of(a, ta[i]), of(b, tb[i])
+            for i in range(batch.num_rows):
+                one, other = of(ta[i]), of(tb[i])
                 both = _common(one, other)
                 keep.append(100 * both >= threshold * (len(one) + len(other) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -197,110 +204,101 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
 
     Two texts are linked when 100 * common shingles >= threshold * united shingles. A text
     of fewer than ``words`` words is one shingle; null, empty and blank texts have none and
-    are linked with nothing. Ids are integers; rows that repeat an id and text are one
-    node. An empty table gives no rows. Other columns are ignored.
+    are linked with nothing. Ids are integers; rows that repeat an id are one document,
+    which has the links of all its texts. A row without an id is in no component
+    (component_id null) and kept. An empty table gives no rows. Other columns are ignored.
     """
-    rows = docs.select(F.col(id_col), F.col(text_col))
-    made = stage_table(signatures(rows, id_col, text_col, words), "signatures")
-    first = made.where("n > 0").groupBy("whole").agg(F.min("id").alias("rep"))
-    members = stage_table(made.select("id", "n", "whole").join(first, "whole", "left").select("id", "n", F.coalesce("rep", "id").alias("rep")), "members")
-    chosen = members.where("n > 0 and id = rep").select("id").distinct()
-    once = made.groupBy("id").agg(F.count("*").alias("times")).where("times > 1").isEmpty()
-    single = (lambda df: df) if once else (lambda df: df.dropDuplicates(["id"]))
-    reps = stage_table(single(made.where("n > 0").select("id", "n", "sketch", "bands").join(chosen, "id", "left_semi")), "reps")
-    links = _links(reps, rows, id_col, text_col, words, threshold, single)
-    roots = components(links)
-    out = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component_id", F.coalesce("root", "rep"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
-
-
-def _links(reps: DataFrame, rows: DataFrame, id_col: str, text_col: str, words: int, threshold: int, single) -> DataFrame:
-    """Verified links that join what belongs together; ``single`` drops rows that repeat an id."""
-    spread = reps.select("id", F.explode("bands").alias("key"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    made = stage_table(signatures(rows, words), "signatures")
+    # equal sets have equal sizes and sketches, so any of them will do
+    sets = made.where("n > 0 and id is not null").groupBy("whole").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    reps = stage_table(sets, "reps")
+    roots = components(_links(reps, rows, words, threshold).unionByName(_other_texts(made)))
+    rep = F.when(F.col("id").isNotNull(), F.coalesce("rep", "id"))
+    out = made.select("id", "n", "whole").join(reps.select("whole", F.col("id").alias("rep")), "whole", "left").select("id", "n", rep.alias("rep"))
+    out = out.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component_id", F.coalesce("root", "rep"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _other_texts(made: DataFrame) -> DataFrame:
+    """Links between the sets of ids that have several: the smallest id of each set of theirs."""
+    again = made.where("id is not null and n > 0").groupBy("id").agg(F.min("whole").alias("x"), F.max("whole").alias("y")).where("x != y").select("id")
+    whole = made.join(again, "id", "left_semi").select("whole").distinct()
+    return made.where("id is not null").join(whole, "whole", "left_semi").groupBy("whole").agg(F.min("id").alias("a"), F.collect_set("id").alias("b")).select("a", F.explode("b").alias("b"))
+
+
+def _links(reps: DataFrame, rows: DataFrame, words: int, threshold: int) -> DataFrame:
+    """Links that join what belongs together: of each component found by hubs a star, and what crosses these."""
+    spread = reps.select("id", F.explode(_bands(F.col("sketch"))).alias("key"))
     full = spread.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     inside = stage_table(spread.join(full, "key").select("key", "id", "size"), "buckets")
     weight = inside.groupBy("id").agg(F.sum("size").alias("weight"))
-    hubs = inside.join(weight, "id").groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("less"), "id")).alias("hub")).select("key", F.col("hub.id").alias("a"))
-    starred = stage_table(inside.join(hubs, "key").where("id != a").select("a", F.col("id").alias("b")).distinct(), "starred", "snappy")
-    near = stage_table(_estimated(starred, reps), "candidates", "snappy")
     ids = inside.select("id").distinct()
-    count = ids.count()
-    wanted = rows.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    texts = stage_table(single(wanted.join(F.broadcast(ids) if count <= BROADCAST_IDS else ids, "id", "left_semi")), "texts")
-    links = stage_table(_verified(near, texts, words, threshold), "links", "snappy")
-    roots = stage_table(components(links), "roots", "snappy")
-    return links.unionByName(_crossing(starred, roots, reps.select("id", "n"), texts, words, threshold))
-
-
-def _crossing(starred: DataFrame, roots: DataFrame, sizes: DataFrame, texts: DataFrame, words: int, threshold: int) -> DataFrame:
-    """Links between the components found so far, within what buckets hold together; in blocks, so no pair is a row.
-
-    A family (connected by buckets alone) is dealt into blocks: a component large enough has
-    blocks of its own, the others share blocks. Each pair of blocks that isn't inside one
-    component is a task group, which compares all its sets at once by matrix products and
-    returns only links that join components, fewer than it has members.
+    texts = stage_table(rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi"), "texts")
+    live = inside.join(weight, "id").select("key", "id", "weight", F.col("id").alias("root"))
+    links = roots = None
+    for _ in range(ROUNDS):
+        live = stage_table(live, "live", "snappy")
+        hubs = live.groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("less"), "id", "root")).alias("hub"))
+        met = live.join(hubs, "key").where("root != hub.root").select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct()
+        near = stage_table(_estimated(met, reps), "candidates", "snappy")
+        found = stage_table(_verified(near, texts, words, threshold), "links", "snappy")
+        links = found if links is None else links.unionByName(found)
+        last = found.isEmpty()
+        if roots is None or not last:
+            roots = stage_table(components(links), "roots", "snappy")
+        rest = live.join(hubs.select("key", F.col("hub.id").alias("hub")), "key").where("id != hub").drop("root", "hub")
+        rest = rest.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        apart = rest.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("key")
+        live = rest.join(apart, "key", "left_semi").select("key", "id", "weight", "root")
+        if last:
+            break
+    met = _crossing(stage_table(live.select("id", "root").distinct(), "apart", "snappy"), texts, words, threshold)
+    crossing = _verified(stage_table(_estimated(met, reps), "candidates", "snappy"), texts, words, threshold)
+    return crossing.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+
+
+def _crossing(apart: DataFrame, texts: DataFrame, words: int, threshold: int) -> DataFrame:
+    """Pairs (a, b) of different components among the texts of ``apart`` (id, root) that may be similar enough; loses none that are.
+
+    The common shingles of a pair that is similar enough are at least
+    threshold * (na + nb) / (100 + threshold). In an order of all shingles that both texts
+    keep, none of them stands before the first, so both have as many from there on.
     """
-    family = stage_table(components(starred), "families", "snappy").select(F.col("node").alias("id"), F.col("root").alias("family"))
-    held = family.join(roots, family.id == roots.node, "left").select("family", "id", F.coalesce("root", "id").alias("root"))
-    apart = held.groupBy("family").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("family")
-    held = stage_table(held.join(apart, "family", "left_semi").join(sizes, "id"), "apart", "snappy")
-    # whole numbers, so a recomputed sum deals alike
-    full = BLOCK_SHINGLES * BLOCK_MEMBERS
-    load = F.col("n") * BLOCK_MEMBERS + BLOCK_SHINGLES
-    by_root = held.groupBy("family", "root").agg(F.sum(load).alias("load")).withColumn("own", F.col("load") >= full)
-    pool = by_root.where("not own").groupBy("family").agg(F.sum("load").alias("pooled"))
-    dealt = by_root.join(pool, "family", "left").select("family", "root", "own", F.ceil(F.when(F.col("own"), F.col("load")).otherwise(F.col("pooled")) / full).alias("parts"))
-    # small components are dealt whole
-    part = F.pmod(F.when(F.col("own"), F.xxhash64("id")).otherwise(F.xxhash64("root")), F.col("parts"))
-    placed = held.join(dealt, ["family", "root"]).select("family", "id", "root", F.when(F.col("own"), F.col("root")).alias("whole"), part.alias("part"))
-    block = F.concat_ws(":", F.coalesce(F.col("whole").cast("string"), F.lit("-")), F.col("part").cast("string"))
-    placed = stage_table(placed.withColumn("block", block), "placed", "snappy")
-    blocks = placed.select("family", "block", "whole").distinct()
-    left, right = (blocks.select("family", F.col("block").alias(f"b{k}"), F.col("whole").alias(f"w{k}")) for k in (1, 2))
-    pairs = left.join(right, "family").where((F.col("b1") <= F.col("b2")) & F.coalesce(F.col("w1") != F.col("w2"), F.lit(True)))
-    pairs = pairs.select("family", F.xxhash64("family", "b1", "b2").alias("pair"), F.explode(F.array_distinct(F.array("b1", "b2"))).alias("block"))
-    rows = pairs.join(placed, ["family", "block"]).select("pair", "id", "root").join(texts, "id")
-
-    def run(table: pa.Table) -> pa.Table:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(words)
-        ids, roots_of = table.column("id").to_numpy(), table.column("root").to_numpy().copy()
-        found = []
-        for i, near in _alike([shingles(t.as_py()) for t in table.column("text")], threshold):
-            for j in near:
-                if roots_of[i] != roots_of[j]:
-                    found.append((ids[i], ids[j]))
-                    roots_of[roots_of == roots_of[j]] = roots_of[i]
-        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
-
-    return rows.groupBy("pair").applyInArrow(run, "a bigint, b bigint")
-
-
-def _alike(sets: list[np.ndarray], threshold: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For each set, the later ones that are similar enough; common shingles are counted by products of slices of the membership matrix."""
-    sizes = np.array([len(s) for s in sets], np.int64)
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    _, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = times[place] > 1
-    owner, place = owner[shared], place[shared]
-    column = np.unique(place, return_inverse=True)[1]
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    both = np.zeros((len(sets), len(sets)), np.float32)
-    for low in range(0, int(column[-1]) + 1 if len(column) else 0, SLICE):
-        a, b = np.searchsorted(column, (low, low + SLICE))
-        part = np.zeros((len(sets), SLICE), np.float32)
-        part[owner[a:b], column[a:b] - low] = 1
-        both += part @ part.T
-    for i in range(len(sets)):
-        common = both[i].astype(np.int64)
-        near = (100 * common >= threshold * (sizes[i] + sizes - common)) & (sizes > 0)
-        near[: i + 1] = False
-        if near.any():
-            yield i, np.flatnonzero(near)
+        for batch in batches:
+            for key, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                own = shingles(text)
+                if n := len(own):
+                    name = xxhash.xxh3_64_intdigest(text) - (1 << 63)
+                    yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(np.full(n, key)), pa.array(np.full(n, name)), pa.array(np.full(n, n))], names=["h", "id", "name", "n"])
+
+    held = texts.join(apart, "id", "left_semi").select("id", "text").distinct().mapInArrow(run, "h bigint, id bigint, name bigint, n bigint")
+    held = stage_table(held, "shingles")
+    often = held.groupBy("h").agg(F.count("*").alias("f")).where("f > 1")
+    own = Window.partitionBy("id", "name")
+    # shingles of one text only come first, and need no row
+    at = (F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("f", "h")) - 1).alias("at")
+    placed = held.join(often, "h").select("h", "id", "n", at).where((F.col("n") - F.col("at")) * 100 >= threshold * F.col("n"))
+    placed = stage_table(placed.join(apart, "id"), "prefixes", "snappy")
+    # of the components that meet at a shingle the largest isn't compared with itself
+    most = placed.groupBy("h", "root").agg(F.count("*").alias("size")).groupBy("h").agg(F.max_by("root", F.struct("size", "root")).alias("most"), F.count("*").alias("roots"))
+    placed = placed.join(most.where("roots > 1"), "h").withColumn("major", F.col("root") == F.col("most"))
+    short = placed.where((F.col("n") - F.col("at")) * (100 + threshold) >= 2 * threshold * F.col("n")).select("h", F.col("major").cast("int").alias("lane"), *[F.col(c).alias(f"{c}1") for c in ("id", "root", "n", "at")])
+    long = placed.select("h", F.explode(F.when(F.col("major"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("lane"), *[F.col(c).alias(f"{c}2") for c in ("id", "root", "n", "at")])
+    left = F.least(F.col("n1") - F.col("at1"), F.col("n2") - F.col("at2"))
+    order = (F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("id1") < F.col("id2")))
+    fits = (F.col("root1") != F.col("root2")) & order & (left * (100 + threshold) >= threshold * (F.col("n1") + F.col("n2")))
+    both = short.alias("s").join(long.alias("l"), (F.col("s.h") == F.col("l.h")) & (F.col("s.lane") == F.col("l.lane")) & fits)
+    return both.select(F.col("id1").alias("a"), F.col("id2").alias("b")).distinct()
 
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that stay: one for each component, the one with the smallest id; rows without an id are in none and all stay."""
-    kept = classes(docs, id_col, text_col, words, threshold).where(F.col("kept") | F.col(id_col).isNull()).select(F.col(id_col).alias("__id")).distinct()
-    kept = stage_table(kept, "kept", "snappy")
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["__id"]), "left_semi")
+    name = fresh(docs, "dropped")
+    gone = classes(docs, id_col, text_col, words, threshold).where("not kept").select(F.col(id_col).alias(name)).distinct()
+    gone = stage_table(gone, "dropped", "snappy")
+    small = gone.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if small else gone, docs[id_col].cast("long") == gone[name], "left_anti")

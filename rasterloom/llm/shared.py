@@ -17,9 +17,11 @@ _made: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; where it is unset (tests), a temporary folder."""
+    """The session's ``spark.checkpoint.dir``; where it is unset in local mode (tests), a temporary folder."""
     path = spark.conf.get(_KEY, None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {_KEY} to a folder that all executors see")
         path = "file://" + tempfile.mkdtemp(prefix="rasterloom-")
         spark.conf.set(_KEY, path)
     return path.rstrip("/")
@@ -41,6 +43,14 @@ def stage_table(df: DataFrame, name: str, codec: str = "zstd", by: str | None =
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while stem in taken:
+        stem += "_"
+    return stem
+
+
 def trim() -> None:
     """Give memory that a Python worker has freed back to the system; workers live on from task to task."""
     import ctypes

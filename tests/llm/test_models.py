@@ -50,17 +50,61 @@ def test_rows_without_ids(table, spark):
     assert {r.doc_id: r.labels for r in told} == {None: "reserved", 3: ""}
 
 
-def test_near_hot_group(table):
-    """A large group of near copies of one text, which aren't all near to each other."""
-    rng = random.Random(1)
+def _family(rng, n):
+    """Near copies of one text, not all near to each other, and texts that share most of another but are too far apart."""
     base, docs = [f"w{k}" for k in range(120)], {}
-    for i in range(150):
+    for i in range(n):
         w = list(base)
         for _ in range(3 if i else 0):
             w[rng.randrange(len(w))] = f"e{i}{rng.random()}"
-        docs[i * 3 % 151] = " ".join(w)
+        docs[i * 3 % (n + 1)] = " ".join(w)
+    passage = [f"p{k}" for k in range(80)]
+    for i in range(n):
+        own = [f"o{i}x{k}" for k in range(rng.randrange(8, 40))]
+        docs[1000 + i] = " ".join(passage + own)
+    for i in range(n // 3):  # chains: each like the next only
+        docs[2000 + i] = " ".join([f"c{k}" for k in range(6 * i, 6 * i + 100)])
+    return docs
+
+
+@pytest.mark.parametrize("rounds,most", [(6, 1_000_000), (1, 0)])
+def test_near_hot_group(table, monkeypatch, rounds, most):
+    """Large groups, by hubs and by the bounded join behind them, with ids broadcast and shuffled."""
+    monkeypatch.setattr(near_dedup, "ROUNDS", rounds)
+    monkeypatch.setattr(near_dedup, "BROADCAST_IDS", most)
+    docs = _family(random.Random(1), 150)
     want = near_classes(docs)
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.classes(table(docs)).collect()} == want
+    got = near_dedup.classes(table(docs)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+    assert {r.doc_id for r in near_dedup.survivors(table(docs)).collect()} == {d for _, d in want.values()}
+
+
+@pytest.mark.parametrize("threshold", [60, 75, 90])
+def test_near_bounded_join_loses_nothing(spark, threshold):
+    """Every similar pair of different components comes out; of texts that share a passage and are too far apart, few others do."""
+    docs = _family(random.Random(4), 60)
+    sets = {d: set(near_dedup.Shingler()(t).tolist()) for d, t in docs.items()}
+    texts = spark.createDataFrame(list(docs.items()), "id bigint, text string")
+    roots = {d: d % 3 if d < 1000 else d for d in docs}
+    apart = spark.createDataFrame(list(roots.items()), "id bigint, root bigint")
+    got = [(min(r), max(r)) for r in near_dedup._crossing(apart, texts, 5, threshold).collect()]
+    near = {(a, b) for a in docs for b in docs if a < b and roots[a] != roots[b] and 100 * len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b])}
+    shared = lambda pairs: sum(1000 <= a < b < 2000 for a, b in pairs)
+    assert len(got) == len(set(got)) and near <= set(got) and shared(got) <= shared(near) + 60
+
+
+def test_near_one_id_with_several_texts(table):
+    """Such a document has the links of all its texts."""
+    long = lambda c, n=60: " ".join(f"{c}{k}" for k in range(n))
+    docs = table({5: long("a")}).unionByName(table({5: long("b"), 3: long("a", 58), 9: long("b", 58), 11: long("c")}))
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.classes(docs).collect())
+    assert got == [(3, 54, 3, True), (5, 56, 3, False), (5, 56, 3, False), (9, 54, 3, False), (11, 56, 11, True)]
+
+
+def test_near_clashing_columns(table):
+    docs = table({1: "a b c d e f", 2: "A b c d e f"}).withColumnsRenamed({"h": "dropped", "part": "root"}).withColumn("dropped_", F.lit(1))
+    kept = near_dedup.survivors(docs)
+    assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [1]
 
 
 def test_sketches():
