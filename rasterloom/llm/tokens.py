@@ -2,14 +2,17 @@
 
 A tokenizer that drops white space and never merges across it gives a text the ids of
 its chunks in order, so each distinct chunk is encoded once while it stays in the memo.
-Plain Latin chunks take a shortcut: they are split by the file's own pattern and their
-pieces go through the file's BPE model in one call. Everything else, and every file
-that isn't built this way, goes through the whole tokenizer.
+Plain Latin chunks take a shortcut: they are split by the file's own pattern, their bytes
+are spelt as the file's vocabulary spells them, and the pieces go through its BPE model
+in one call. Everything else, and every file that isn't built this way, goes through the
+whole tokenizer. The memo has two generations: chunks met since the last change, and those
+met before it, so frequent ones stay.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import sys
 import types
 from collections.abc import Iterable
@@ -18,12 +21,18 @@ import numpy as np
 import regex
 from tokenizers import Tokenizer
 
-#: Chunks kept at once; the memo starts anew beyond it (some 60 MB).
-MEMO = 300_000
+#: Chunks in a generation of the memo (some 40 MB).
+MEMO = 200_000
 #: Signs that a pattern for runs of neither letters nor digits takes whole.
-_SIGNS = ",.!?;:|)"
+_SIGNS = b",.!?;:|)"
+#: Pieces in a line that goes through the model.
+LINE = 512
 _PLAIN = regex.compile(r"[!-~À-ÖØ-öø-ÿŒœ]+")
 
+# How byte-level vocabularies spell bytes: what prints in Latin-1 as itself, the rest in order from U+0100.
+_PRINTS = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_SPELT = {b: chr(b) for b in _PRINTS} | {b: chr(0x100 + k) for k, b in enumerate(sorted(set(range(256)).difference(_PRINTS)))}
+
 
 def default_path() -> str:
     """Where the word tokenizer's file is."""
@@ -32,19 +41,28 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _spelt(piece: str) -> str:
+    """A piece as a byte-level vocabulary spells it."""
+    return piece if piece.isascii() else piece.encode().decode("latin-1").translate(_SPELT)
+
+
 class Encoder:
     """Encodes texts to little-endian ids of ``width`` bytes (2 where the vocabulary allows it)."""
 
     def __init__(self, path: str):
+        # a worker has one core, and forks
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.full = Tokenizer.from_file(path)
         self.dtype = "<u2" if self.full.get_vocab_size() <= 1 << 16 else "<u4"
         self.memo: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         self.pattern = self._pattern(spec)
         if self.pattern:
-            bare = spec | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, spec["pre_tokenizer"]["pretokenizers"][1]]}}
-            self.bare = Tokenizer.from_str(json.dumps(bare))
+            self.bare = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "WhitespaceSplit"}}))
+            if hasattr(self.bare.model, "_resize_cache"):  # each piece comes once
+                self.bare.model._resize_cache(0)
             self.ends = np.zeros(self.full.get_vocab_size(), bool)
             for piece, at in self.full.get_vocab().items():
                 self.ends[at] = piece.endswith(spec["model"]["end_of_word_suffix"])
@@ -64,39 +82,47 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.full.encode_batch(texts, add_special_tokens=False)]
 
+    def _pieces(self, lines: list[str], counts: np.ndarray) -> list[bytes] | None:
+        """Ids of chunks that are so many pieces each, from lines of spelt pieces; None if they don't come out piece by piece."""
+        ids = np.concatenate([np.array(e.ids, self.dtype) for e in self.bare.encode_batch_fast(lines, add_special_tokens=False)])
+        stops, last = np.flatnonzero(self.ends[ids]) + 1, np.cumsum(counts)
+        if len(stops) != last[-1] or stops[-1] != len(ids):
+            return None
+        cut = (stops[last - 1] * ids.itemsize).tolist()
+        raw = ids.tobytes()
+        return [raw[i:j] for i, j in zip([0, *cut[:-1]], cut, strict=True)]
+
     def _learn(self, chunks: list[bytes]) -> None:
-        texts, easy, pieces, counts = b" ".join(chunks).decode().split(" "), [], [], []
-        for k, t in enumerate(texts):
-            # letters, perhaps with signs behind them, are one or two pieces whatever the pattern finds elsewhere
-            core = t.rstrip(_SIGNS)
-            if core.isalpha() and (core.isascii() or _PLAIN.fullmatch(core)):
-                pieces.append(core.lower())
-                if len(core) < len(t):
-                    pieces.append(t[len(core) :])
-                    counts.append(2)
-                else:
-                    counts.append(1)
-            elif _PLAIN.fullmatch(t) and "<|" not in t:
-                found = self.pattern.findall(t.lower())
-                pieces += found
-                counts.append(len(found))
+        # letters, perhaps with a sign behind them, are one or two pieces whatever the pattern finds elsewhere
+        words = [c for c in chunks if c.isalpha()]
+        signed = [c for c in chunks if c[-1:] in _SIGNS and c[:-1].isalpha()]
+        odd = [c for c in chunks if not (c.isalpha() or c[-1:] in _SIGNS and c[:-1].isalpha())]
+        hard, easy, found = [], [], []
+        for c in odd:
+            t = c.decode()
+            if _PLAIN.fullmatch(t) and "<|" not in t:
+                easy.append(c)
+                # letters of any kind are one piece
+                found.append([t.lower()] if t.isalpha() else self.pattern.findall(t.lower()))
             else:
-                continue
-            easy.append(k)
-        hard = sorted(set(range(len(texts))).difference(easy))
-        if easy:
-            lines = [" ".join(pieces[i : i + 512]) for i in range(0, len(pieces), 512)]
-            ids = np.concatenate([np.array(e.ids, self.dtype) for e in self.bare.encode_batch_fast(lines, add_special_tokens=False)])
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) == len(pieces) and stops[-1] == len(ids):
-                cut = np.concatenate(([0], stops[np.cumsum(counts) - 1])) * ids.itemsize
-                raw = ids.tobytes()
-                for k, a, b in zip(easy, cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                    self.memo[chunks[k]] = raw[a:b]
-            else:
-                hard = list(range(len(texts)))
-        for k, got in zip(hard, self._whole([texts[k] for k in hard]), strict=True):
-            self.memo[chunks[k]] = got
+                hard.append(c)
+        lines = lambda texts: [" ".join(texts[i : i + LINE]) for i in range(0, len(texts), LINE)]
+        split = b" ".join(signed).decode().lower()
+        for sign in _SIGNS.decode():
+            split = split.replace(sign, " " + sign)
+        for group, texts, counts in (
+            (words, b" ".join(words).decode().lower().split(" "), np.ones(len(words), int)),
+            (signed, split.split(" "), np.full(len(signed), 2)),
+            (easy, [_spelt(x) for f in found for x in f], np.array([len(f) for f in found])),
+        ):
+            if group:
+                got = self._pieces(lines(texts), counts)
+                if got is None:
+                    hard += group
+                else:
+                    self.memo.update(zip(group, got, strict=True))
+        if hard:
+            self.memo.update(zip(hard, self._whole([c.decode() for c in hard]), strict=True))
 
     @classmethod
     def shared(cls, path: str) -> Encoder:
@@ -120,8 +146,11 @@ class Encoder:
             return self._whole(texts)
         split = [t.encode().split() for t in texts]
         if len(self.memo) > MEMO:
-            self.memo.clear()
+            self.memo, self.old = {}, self.memo
         new = set().union(*split).difference(self.memo)
+        if again := new & self.old.keys():
+            self.memo |= zip(again, map(self.old.__getitem__, again), strict=True)
+            new -= again
         if new:
             self._learn(list(new))
         get = self.memo.__getitem__
