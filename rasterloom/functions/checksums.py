@@ -1,10 +1,14 @@
-"""Adler-32 and CRC-32 of binaries, as column expressions, with the rules that join parts."""
+"""Adler-32 and CRC-32 of binaries, as columns, with the rules that join parts."""
 
+import zlib
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MODULUS = 65521
-_POLYNOMIAL = 0xEDB88320
+_POLYNOMIAL = 0x104C11DB7
 
 
 def crc32(data: Column) -> Column:
@@ -12,7 +16,17 @@ def crc32(data: Column) -> Column:
 
 
 def adler32(data: Column) -> Column:
-    """Adler-32: a = 1 + sum of the bytes, b = sum of all values of a, both modulo 65521; one pass over the bytes."""
+    """Adler-32 of each binary, in Arrow batches; null stays null."""
+    return _adler32(data)
+
+
+@F.pandas_udf(T.LongType())
+def _adler32(data: pd.Series) -> pd.Series:
+    return data.map(zlib.adler32, na_action="ignore").astype("Int64")
+
+
+def adler32_native(data: Column) -> Column:
+    """The same without Python: a = 1 + sum of the bytes, b = sum of all values of a, both modulo 65521. Slower, as each byte is an interpreted step."""
     digits = F.regexp_extract_all(F.hex(data), F.lit(".."), F.lit(0))
     start = F.struct(F.lit(1).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
 
@@ -32,27 +46,55 @@ def adler32_combine(first: Column, second: Column, second_length: Column) -> Col
     return (b * 65536 + a).cast("long")
 
 
-def _times(matrix: list[int], vector: int) -> int:
+# A CRC is the remainder of a polynomial over GF(2), its coefficients from x^0 in the top bit
+# down to x^31. Below, polynomials are integers with the coefficient of x^k in bit k.
+
+
+def _mirrored(crc: int) -> int:
+    return int(f"{crc:032b}"[::-1], 2)
+
+
+def _remainder(p: int) -> int:
+    while p >> 32:
+        p ^= _POLYNOMIAL << p.bit_length() - 33
+    return p
+
+
+def _product(p: int, q: int) -> int:
+    """p * q modulo the CRC's polynomial."""
     out = 0
-    for row in matrix:
-        if vector & 1:
-            out ^= row
-        vector >>= 1
-    return out
+    while q:
+        low = q & -q
+        out ^= p * low
+        q ^= low
+    return _remainder(out)
+
+
+def _power(bits: int) -> int:
+    """x^bits modulo the CRC's polynomial: halves of the exponent, squared."""
+    if bits < 32:
+        return 1 << bits
+    half = _power(bits // 2)
+    return _remainder(_product(half, half) << bits % 2)
 
 
 def crc32_shift(crc: int, length: int) -> int:
-    """``crc`` carried over ``length`` zero bytes, by squaring the one-bit step."""
-    step = [_POLYNOMIAL] + [1 << i for i in range(31)]
-    for _ in range(3):
-        step = [_times(step, row) for row in step]
-    while length:
-        if length & 1:
-            crc = _times(step, crc)
-        step, length = [_times(step, row) for row in step], length >> 1
-    return crc
+    """``crc`` carried over ``length`` zero bytes: times x^(8 * length)."""
+    return _mirrored(_product(_mirrored(crc), _power(8 * length)))
 
 
 def crc32_combine(first: int, second: int, second_length: int) -> int:
     """The CRC of two parts one after the other."""
     return crc32_shift(first, second_length) ^ second
+
+
+def crc32_combine_column(first: Column, second: Column, second_length: Column) -> Column:
+    """The same for columns, in Arrow batches; null where any of them is."""
+    return _crc32_combine(first.cast("long"), second.cast("long"), second_length.cast("long"))
+
+
+@F.pandas_udf(T.LongType())
+def _crc32_combine(first: pd.Series, second: pd.Series, length: pd.Series) -> pd.Series:
+    rows = pd.DataFrame({"a": first, "b": second, "n": length}).astype("Int64")
+    known = rows.dropna()
+    return pd.Series([crc32_combine(*map(int, r)) for r in known.itertuples(index=False)], known.index, "Int64").reindex(rows.index)

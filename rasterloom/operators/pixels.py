@@ -1,7 +1,8 @@
 """Per-pixel operators over the pixel table (img_id, y, x, v), in DataFrame expressions.
 
-Windows are partitioned by image and line or column, so no task holds more than a line
-or a column of an image; an equal partitioning of consecutive steps is reused. Megapixel
+Windows are over the lines and columns of an image. An operator that needs both deals its
+pixels by image once, which serves all its windows and groups; a task then sorts one image
+at a time, and may spill. One that needs lines or columns only is dealt by these. Megapixel
 images are better served by ``kernels``, which the tests hold equal to these.
 """
 
@@ -22,6 +23,11 @@ def _column() -> WindowSpec:
     return Window.partitionBy("img_id", "x").orderBy("y")
 
 
+def by_image(px: DataFrame) -> DataFrame:
+    """Dealt by image: the one exchange that windows over lines, columns and images share."""
+    return px.repartition("img_id")
+
+
 def threshold(px: DataFrame, t: int, value: str = "v") -> DataFrame:
     """``bit``: 1 where the value is below ``t``."""
     return px.select("img_id", "y", "x", (F.col(value) < t).cast("int").alias("bit"))
@@ -78,9 +84,9 @@ def set_pad_bits(ls: DataFrame, w: Column, d: Column, value: int) -> DataFrame:
 
 def typical(px: DataFrame, bit: str = "bit") -> DataFrame:
     """For each line: same (1 if it repeats the one before), change (the bit that is coded for it)."""
+    repeats = F.coalesce(F.lag(bit).over(_column()) == F.col(bit), F.lit(False))
+    same = by_image(px).withColumn("repeats", repeats).groupBy("img_id", "y").agg(F.bool_and("repeats").cast("int").alias("same"))
     above = Window.partitionBy("img_id").orderBy("y")
-    packed = lines(px, bit)
-    same = packed.withColumn("same", F.coalesce((F.col("words") == F.lag("words").over(above)).cast("int"), F.lit(0)))
     return same.select("img_id", "y", "same", F.col("same").bitwiseXOR(F.coalesce(F.lag("same").over(above), F.lit(0))).alias("change"))
 
 
@@ -94,25 +100,33 @@ def contexts(px: DataFrame, bit: str = "bit") -> DataFrame:
         dxs = [dx for y, dx in NEIGHBOURS if y == dy]
         return sum((shifted(bit, -dx, _line()) * (1 << len(dxs) - 1 - i) for i, dx in enumerate(dxs)), F.lit(0))
 
-    across = px.select("img_id", "y", "x", bit, part(0).alias("here"), part(-1).alias("one"), part(-2).alias("two"))
+    kept = [c for c in px.columns if c not in ("img_id", "y", "x", bit)]
+    px = px if kept else by_image(px)
+    across = px.select("img_id", "y", "x", bit, *kept, part(0).alias("here"), part(-1).alias("one"), part(-2).alias("two"))
     ctx = shifted("two", 2, _column()) * (1 << 11) + shifted("one", 1, _column()) * (1 << 4) + F.col("here")
-    return across.select("img_id", "y", "x", ctx.cast("int").alias("ctx"), bit)
+    return across.select("img_id", "y", "x", ctx.cast("int").alias("ctx"), bit, *kept)
 
 
 def context_histogram(px: DataFrame, bit: str = "bit", with_typical: bool = False) -> DataFrame:
     """How often each context meets each bit; ``with_typical`` leaves repeated lines out and counts the lines' own bits."""
-    ctx = contexts(px, bit)
-    if with_typical:
-        told = typical(px, bit)
-        ctx = ctx.join(told.where("same = 0").select("img_id", "y"), ["img_id", "y"], "left_semi").select("ctx", bit)
-        ctx = ctx.unionByName(told.select(F.lit(TYPICAL).alias("ctx"), F.col("change").alias(bit)))
-    return ctx.groupBy("ctx", bit).agg(F.count("*").alias("n"))
+    px = px.select("img_id", "y", "x", bit)
+    if not with_typical:
+        return contexts(px, bit).groupBy("ctx", bit).agg(F.count("*").alias("n"))
+    repeats = F.coalesce(F.lag(bit).over(_column()) == F.col(bit), F.lit(False))
+    # each pixel learns whether its line repeats, and the first of a line also speaks for the line
+    told = contexts(by_image(px).withColumn("repeats", repeats), bit)
+    told = told.withColumn("same", F.min(F.col("repeats").cast("int")).over(Window.partitionBy("img_id", "y")))
+    told = told.withColumn("before", F.coalesce(F.lag("same").over(_column()), F.lit(0))).withColumn("nth", F.row_number().over(_line()))
+    own = F.when(F.col("same") == 0, F.struct("ctx", F.col(bit).alias("b")))
+    line = F.when(F.col("nth") == 1, F.struct(F.lit(TYPICAL).alias("ctx"), F.col("same").bitwiseXOR(F.col("before")).alias("b")))
+    each = told.select(F.explode(F.array_compact(F.array(own, line))).alias("s"))
+    return each.groupBy(F.col("s.ctx").alias("ctx"), F.col("s.b").alias(bit)).agg(F.count("*").alias("n"))
 
 
 def upscale(px: DataFrame, factor: int, value: str = "v") -> DataFrame:
     """Linear interpolation to ``factor`` times the size, rounded down; the last line and column repeat."""
     v = F.col(value)
-    right = px.withColumn("r", F.coalesce(F.lead(v).over(_line()), v))
+    right = by_image(px).withColumn("r", F.coalesce(F.lead(v).over(_line()), v))
     all_four = right.withColumn("b", F.coalesce(F.lead(v).over(_column()), v)).withColumn("c", F.coalesce(F.lead("r").over(_column()), F.col("r")))
     made = F.array(
         *[
@@ -138,12 +152,12 @@ def filter_up(px: DataFrame, value: str = "v") -> DataFrame:
 def filter_average(px: DataFrame, value: str = "v") -> DataFrame:
     """PNG filter 3: the difference to the mean of left and above."""
     pair = F.coalesce(F.lag(value).over(_line()), F.lit(0)) + F.coalesce(F.lag(value).over(_column()), F.lit(0))
-    return px.withColumn("f", F.pmod(F.col(value) - F.floor(pair / 2), F.lit(256)).cast("long"))
+    return by_image(px).withColumn("f", F.pmod(F.col(value) - F.floor(pair / 2), F.lit(256)).cast("long"))
 
 
 def filter_paeth(px: DataFrame, value: str = "v") -> DataFrame:
     """PNG filter 4: the difference to whichever of left, above and corner is nearest to left + above - corner."""
-    near = px.withColumn("a", F.coalesce(F.lag(value).over(_line()), F.lit(0))).withColumn("b", F.coalesce(F.lag(value).over(_column()), F.lit(0)))
+    near = by_image(px).withColumn("a", F.coalesce(F.lag(value).over(_line()), F.lit(0))).withColumn("b", F.coalesce(F.lag(value).over(_column()), F.lit(0)))
     near = near.withColumn("c", F.coalesce(F.lag("a").over(_column()), F.lit(0)))
     pa, pb, pc = F.abs(F.col("b") - F.col("c")), F.abs(F.col("a") - F.col("c")), F.abs(F.col("a") + F.col("b") - 2 * F.col("c"))
     guess = F.when((pa <= pb) & (pa <= pc), F.col("a")).when(pb <= pc, F.col("b")).otherwise(F.col("c"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 
 from pyspark.sql import SparkSession
@@ -56,7 +57,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     pages = convert(spark, a.files, options)
     if a.o:
         pages = pages.persist()
-        write_pages(pages, a.o)
+        folders = [os.path.dirname(f if "://" in f else os.path.abspath(f)) for f in a.files]
+        write_pages(pages, a.o, root=os.path.commonprefix([f + "/" for f in folders]).rpartition("/")[0])
         failed = pages.where("error IS NOT NULL").select("img_id", "error").orderBy("img_id").take(20)
         pages.unpersist()
     else:

@@ -65,8 +65,8 @@ def encode_images(images: DataFrame, options: Options = Options()) -> DataFrame:
 
 
 def spread(files: DataFrame, parts: int) -> DataFrame:
-    """Deal files over ``parts`` tasks, large ones evenly: coding takes time by pixels, and images don't split."""
-    return files.repartitionByRange(parts, F.crc32("path"))
+    """Deal files over ``parts`` tasks by a hash of the path, so neighbours in a folder, often alike in size, part; an image doesn't split."""
+    return files.repartition(parts, F.xxhash64("path"))
 
 
 def convert(spark: SparkSession, path: str | list[str], options: Options = Options(), glob: str | None = None, parts: int | None = None) -> DataFrame:

@@ -6,6 +6,9 @@ image; other numeric columns stand for colours, samples and sizes.
 
 from __future__ import annotations
 
+import struct
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +16,8 @@ from pyspark.sql import functions as F
 
 from ..functions import checksums, colour, metadata
 from ..operators import coder, container, kernels, pixels
+from ..sources import png
+from ..sources.images import decode_images
 from ..sources.sniff import sniff
 
 CUT = 128
@@ -157,7 +162,8 @@ def palette_gray(spark, sf):
 
 
 def palette_has_color(spark, sf):
-    return palette_lookup(spark, sf).groupBy("img_id").agg(F.bool_or((F.col("r") != F.col("g")) | (F.col("r") != F.col("b"))).alias("has_colour"))
+    entries = F.array_sort(F.collect_set(F.struct("r", "g", "b")))
+    return palette_lookup(spark, sf).groupBy("img_id").agg(entries.alias("cmap")).select("img_id", colour.has_colour(F.col("cmap")).alias("has_colour"))
 
 
 def rgb_compose(spark, sf):
@@ -177,7 +183,8 @@ def strip16(spark, sf):
 
 
 def strip_alpha(spark, sf):
-    return _colours(spark, sf).withColumn("a", F.lit(7)).drop("a")
+    """Files of gray with an alpha that is theirs alone: reading leaves the gray."""
+    return _read(_files(spark, sf, lambda i, gray: _png(gray, alpha=True)))
 
 
 def png_filter_sub(spark, sf):
@@ -245,13 +252,109 @@ def crc32(spark, sf):
     return _table(spark, sf, "documents").select("doc_id", checksums.crc32(F.encode("text", "utf-8")).alias("crc"))
 
 
+def crc32_combine(spark, sf):
+    data = F.encode("text", "utf-8")
+    half = F.floor(F.octet_length(data) / 3).cast("int")
+    parts = _table(spark, sf, "documents").select("doc_id", F.substring(data, F.lit(1), half).alias("one"), F.substring(data, half + 1, F.octet_length(data)).alias("two"))
+    return parts.select("doc_id", checksums.crc32_combine_column(F.crc32("one"), F.crc32("two"), F.octet_length("two")).alias("crc"))
+
+
+def _png(gray: np.ndarray, turn: int = 0, interlace: bool = False, alpha: bool = False) -> bytes:
+    """A PNG file of a gray image, its lines filtered by all five kinds in turn."""
+    lines = bytearray()
+    for y0, dy, x0, dx in png.ADAM7 if interlace else [(0, 1, 0, 1)]:
+        part = gray[y0::dy, x0::dx].astype(np.int32)
+        if alpha:
+            part = np.stack([part, 255 - part], 2).reshape(len(part), -1)
+        step = 2 if alpha else 1
+        pad = np.pad(part, ((1, 0), (step, 0)))
+        left, above, corner = pad[1:, :-step], pad[:-1, step:], pad[:-1, :-step]
+        far = [np.abs(left + above - corner - x) for x in (left, above, corner)]
+        paeth = np.choose(np.argmin(far, 0), [left, above, corner])
+        guesses = (0 * part, left, above, (left + above) // 2, paeth)
+        for y in range(len(part)):
+            kind = (y + turn) % 5
+            lines += bytes([kind]) + ((part - guesses[kind])[y] % 256).astype(np.uint8).tobytes()
+    chunk = lambda name, body: struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
+    head = struct.pack(">IIBBBBB", gray.shape[1], gray.shape[0], 8, 4 if alpha else 0, 0, 0, int(interlace))
+    return png.SIGNATURE + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(bytes(lines))) + chunk(b"IEND", b"")
+
+
+def _gray(embedding: list[float]) -> np.ndarray:
+    return np.floor((np.array(embedding, np.float64) + 1) * 127.5).astype(np.uint8).reshape(8, 8)
+
+
+def _files(spark, sf, make) -> DataFrame:
+    """A file (path, content) for each embedding."""
+
+    def run(batches):
+        for batch in batches:
+            made = [make(i, _gray(e)) for i, e in zip(batch.column("vec_id").to_pylist(), batch.column("embedding").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id").cast(pa.string()), pa.array(made, pa.binary())], names=["path", "content"])
+
+    return _table(spark, sf, "embeddings").select("vec_id", "embedding").mapInArrow(run, "path string, content binary")
+
+
+def _read(files: DataFrame) -> DataFrame:
+    """The pixel table of decoded gray files."""
+    byte = lambda i: F.conv(F.hex(F.substring("data", i + 1, F.lit(1))), 16, 10).cast("long")
+    each = decode_images(files).select(F.col("img_id").cast("long").alias("img_id"), "w", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("w") * F.col("h") - 1), byte)).alias("i", "v"))
+    return each.select("img_id", F.expr("cast(i div w as int)").alias("y"), (F.col("i") % F.col("w")).alias("x"), "v")
+
+
+def png_read(spark, sf):
+    return _read(_files(spark, sf, lambda i, gray: _png(gray, turn=i)))
+
+
+def png_read_adam7(spark, sf):
+    return _read(_files(spark, sf, lambda i, gray: _png(gray, turn=i, interlace=True)))
+
+
+def pnm_read(spark, sf):
+    return _read(_files(spark, sf, lambda i, gray: b"P5\n# %d\n8 8\n255\n" % i + gray.tobytes()))
+
+
+def pnm_read_ascii(spark, sf):
+    return _read(_files(spark, sf, lambda i, gray: b"P2\n8 8\n255\n" + b"\n".join(b" ".join(b"%d" % v for v in line) for line in gray.tolist())))
+
+
+def pnm_read_bits(spark, sf):
+    """Bytes of the lines of bilevel files."""
+    files = _files(spark, sf, lambda i, gray: b"P4\n8 8\n" + kernels.pack(kernels.threshold(gray, CUT)))
+    byte = lambda y: F.conv(F.hex(F.substring("data", y + 1, F.lit(1))), 16, 10).cast("long")
+    return decode_images(files).select(F.col("img_id").cast("long").alias("img_id"), F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(7)), byte)).alias("y", "byte"))
+
+
+def container_layout(spark, sf):
+    """The segments of a file around bytes that stand for the code."""
+
+    def run(batches):
+        for batch in batches:
+            out = [container.wrap(8, 8, 300, 300, kernels.pack(kernels.threshold(_gray(e), CUT)), False, True).hex() for e in batch.column("embedding").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(out)], names=["img_id", "file"])
+
+    return _table(spark, sf, "embeddings").select("vec_id", "embedding").mapInArrow(run, "img_id bigint, file string")
+
+
+def set_pad_bits(spark, sf):
+    ls = pixels.set_pad_bits(pixels.lines(bit_pixels(spark, sf)), F.lit(8), F.lit(1), 1)
+    return ls.select("img_id", "y", F.element_at("words", 1).alias("word"))
+
+
+def path_name(spark, sf):
+    return _table(spark, sf, "part").select("p_partkey", metadata.path_name(F.concat("p_type", F.when(F.col("p_partkey") % 2 == 0, "/").otherwise("")), F.col("p_name")).alias("path"))
+
+
+def rfc1123(spark, sf):
+    return _table(spark, sf, "orders").select("o_orderkey", metadata.rfc1123(F.col("o_orderdate")).alias("date"))
+
+
 def _pages(spark, sf, typical: bool, full: bool) -> DataFrame:
     def run(batches):
         for batch in batches:
             out = []
             for e in batch.column("embedding").to_pylist():
-                gray = np.floor((np.array(e, np.float64) + 1) * 127.5).astype(np.uint8).reshape(8, 8)
-                bits = kernels.threshold(gray, CUT)
+                bits = kernels.threshold(_gray(e), CUT)
                 out.append(container.encode_image(bits, 300, 300, typical, full) if full is not None else coder.encode_bilevel(bits, typical))
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array([len(x) for x in out], pa.int64()), pa.array([x.hex() for x in out])], names=["img_id", "size", "code"])
 
@@ -279,7 +382,7 @@ QUERIES = {
     for f in (
         threshold, invert, invert_box, set_pixel, pack_rows, pack_words, tpgd, contexts, context_histogram, context_histogram_tpgd, scale2x, scale2x_threshold, scale4x, scale4x_threshold,
         palette_lookup, palette_gray, palette_has_color, rgb_compose, green_channel, weighted_gray, strip16, strip_alpha, png_filter_sub, png_filter_up, png_filter_average, png_filter_paeth,
-        png_unfilter_sub, png_unfilter_up, adam7_pass, ppm_to_ppi, resolution_scale, pad_mask, format_sniff, adler32, adler32_combine, crc32, encode_bilevel, encode_bilevel_tpgd, container_bytes, container_fragment,
+        png_unfilter_sub, png_unfilter_up, adam7_pass, ppm_to_ppi, resolution_scale, pad_mask, format_sniff, adler32, adler32_combine, crc32, crc32_combine, png_read, png_read_adam7, pnm_read, pnm_read_ascii, pnm_read_bits, container_layout, set_pad_bits, path_name, rfc1123, encode_bilevel, encode_bilevel_tpgd, container_bytes, container_fragment,
     )
 }
 
@@ -289,6 +392,15 @@ _ADLER_SQL = """
     e AS (SELECT doc_id, len(l) AS n, unnest(l) AS x, generate_subscripts(l, 1) - 1 AS i FROM d),
     s AS (SELECT doc_id, sum(('0x' || x)::BIGINT) AS a, sum((n - i) * ('0x' || x)::BIGINT) AS b FROM e GROUP BY doc_id)
     SELECT d.doc_id, (((len(l) + coalesce(s.b, 0)) % 65521) * 65536 + (1 + coalesce(s.a, 0)) % 65521)::BIGINT AS adler FROM d LEFT JOIN s USING (doc_id)"""
+# the table from its rule: eight steps of one bit for each byte
+_CRC_SQL = """
+    WITH t AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS tab FROM range(256) r(i)),
+    d AS (SELECT doc_id, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::BIGINT) AS l FROM documents)
+    SELECT doc_id, xor(list_reduce(list_prepend(4294967295::BIGINT, l), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) AS crc FROM d, t"""
+# signature, flags, page count; page information; generic region; end of page, end of file
+_LAYOUT_SQL = f"""WITH {_LINES_SQL}, c AS (SELECT img_id, string_agg(lpad(lower(hex(byte)), 2, '0'), '' ORDER BY y) AS code FROM l GROUP BY img_id)
+    SELECT img_id, '974a42320d0a1a0a0100000001' || '0000000030000100000013' || '00000008000000080000012c0000012c010000' || '0000000126000100000022' || '000000080000000800000000000000000000' || '03fffdff02fefefe' || code
+        || '0000000231000100000000' || '0000000333000100000000' AS file FROM c"""
 _SNIFF_SQL = """
     CASE WHEN n < 12 THEN NULL WHEN h[1:4] = '424D' THEN 'bmp' WHEN h[1:4] IN ('4949', '4D4D') THEN 'tiff' WHEN h[1:4] IN ('5031', '5032', '5033', '5034', '5035', '5036') THEN 'pnm'
     WHEN h[1:4] = 'FFD8' THEN 'jpeg' WHEN h[1:16] = '89504E470D0A1A0A' THEN 'png' WHEN h[1:12] IN ('474946383761', '474946383961') THEN 'gif'
@@ -317,7 +429,18 @@ ORACLE_SQL = {
     "green_channel": f"WITH {_COLOURS_SQL} SELECT l_orderkey, l_linenumber, g AS gray FROM rgb",
     "weighted_gray": f"WITH {_COLOURS_SQL} SELECT l_orderkey, l_linenumber, ((r + 2 * g + b) // 4)::BIGINT AS gray FROM rgb",
     "strip16": "SELECT l_orderkey, l_linenumber, ((l_partkey * 31 % 65536) // 256)::INT AS sample FROM lineitem",
-    "strip_alpha": f"WITH {_COLOURS_SQL} SELECT * FROM rgb",
+    "strip_alpha": f"WITH {PX} SELECT * FROM px",
+    "png_read": f"WITH {PX} SELECT * FROM px",
+    "png_read_adam7": f"WITH {PX} SELECT * FROM px",
+    "pnm_read": f"WITH {PX} SELECT * FROM px",
+    "pnm_read_ascii": f"WITH {PX} SELECT * FROM px",
+    "pnm_read_bits": f"WITH {_LINES_SQL} SELECT * FROM l",
+    "container_layout": _LAYOUT_SQL,
+    "crc32": _CRC_SQL,
+    "crc32_combine": _CRC_SQL,
+    "set_pad_bits": f"WITH {_LINES_SQL} SELECT img_id, y, byte * 16777216 + 16777215 AS word FROM l",
+    "path_name": "SELECT p_partkey, p_type || '/' || p_name AS path FROM part",
+    "rfc1123": "SELECT o_orderkey, day(o_orderdate) || strftime(o_orderdate, ' %b %Y %H:%M:%S +0000') AS date FROM orders",
     "png_filter_sub": f"WITH {PX} SELECT img_id, y, x, v, ((v - {_SUB} + 256) % 256)::BIGINT AS f FROM px",
     "png_filter_up": f"WITH {PX} SELECT img_id, y, x, v, ((v - {_UP} + 256) % 256)::BIGINT AS f FROM px",
     "png_filter_average": f"WITH {PX} SELECT img_id, y, x, v, ((v - ({_SUB} + {_UP}) // 2 + 256) % 256)::BIGINT AS f FROM px",

@@ -20,7 +20,7 @@ CRITICAL = {b"IHDR", b"PLTE", b"IDAT", b"IEND"}
 def chunks(data: bytes, warnings: list[str]):
     """(name, body) of each chunk up to IEND; a bad CRC ends the image if the chunk is critical, else drops the chunk."""
     if data[:8] != SIGNATURE:
-        raise ImageError("PNG file corrupted by ASCII conversion" if data[:4] == SIGNATURE[:4] else "not a PNG file")
+        raise ImageError("PNG signature damaged, as by a text-mode transfer" if data[:4] == SIGNATURE[:4] else "not a PNG file")
     at = 8
     while at < len(data):
         if at + 12 > len(data):
@@ -84,13 +84,13 @@ def _lines(raw: bytes, at: int, w: int, h: int, bits: int, warnings: list[str])
     """The unfiltered bytes of ``h`` lines from ``at`` on, and where they end."""
     size, bpp = -(-w * bits // 8), max(1, bits // 8)
     if at + h * (size + 1) > len(raw):
-        raise ImageError("Not enough image data")
+        raise ImageError("PNG image data ends before the last line")
     table = np.frombuffer(raw, np.uint8, h * (size + 1), at).reshape(h, size + 1)
     out, above = np.empty((h, size), np.uint8), np.zeros(size, np.uint8)
     for y in range(h):
         kind, line = int(table[y, 0]), table[y, 1:]
         if kind > 4:
-            warnings.append("Ignoring bad adaptive filter type")
+            warnings.append("line filter of an unknown kind taken as none")
         above = out[y] = line if kind == 0 or kind > 4 else unfilter(kind, line, above, bpp)
     return out, at + h * (size + 1)
 
@@ -120,7 +120,7 @@ def pixels_of(raw: bytes, w: int, h: int, depth: int, colour: int, interlace: in
                 lines, end = _lines(raw, end, pw, ph, depth * channels, warnings)
                 out[y0::dy, x0::dx] = _samples(lines, pw, depth, channels)
     if end < len(raw):
-        warnings.append("Extra compressed data")
+        warnings.append("bytes left over behind the last line")
     return out
 
 
@@ -162,29 +162,29 @@ def decode(data: bytes, compat: bool = False) -> Raster:
     body, xres, yres, ended, closed = bytearray(), 0, 0, False, False
     for name, part in chunks(data, warnings):
         if head is None and name != b"IHDR":
-            raise ImageError("Missing IHDR")
+            raise ImageError("PNG doesn't begin with its header")
         if name == b"IHDR":
             if head is not None:
-                raise ImageError("Out of place IHDR")
+                raise ImageError("PNG has a second header")
             head = check_header(part)
         elif name == b"PLTE":
             if palette is not None:
-                raise ImageError("Duplicate PLTE chunk")
+                raise ImageError("PNG has two palettes")
             if head[3] in (0, 4):
-                warnings.append("Ignoring PLTE chunk in grayscale PNG")
+                warnings.append("palette of a gray image not used")
             elif body:
-                warnings.append("Invalid PLTE after IDAT")
+                warnings.append("palette behind the image data not used")
             elif len(part) % 3 or len(part) > 768:
                 if head[3] == 3:
-                    raise ImageError("Invalid palette chunk")
-                warnings.append("Invalid palette chunk")
+                    raise ImageError("PNG palette of a wrong size")
+                warnings.append("palette of a wrong size not used")
             else:
                 palette = np.frombuffer(part, np.uint8).reshape(-1, 3)
         elif name == b"IDAT":
             if head[3] == 3 and palette is None:
-                raise ImageError("Missing PLTE before IDAT")
+                raise ImageError("indexed PNG without a palette")
             if closed:
-                warnings.append("Too many IDATs found")
+                warnings.append("image data behind other chunks not used")
             else:
                 body += part
         elif name == b"pHYs" and len(part) == 9:

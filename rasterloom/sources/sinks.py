@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from dataclasses import dataclass
 from urllib.parse import unquote
 
@@ -19,21 +21,36 @@ class Written(WriterCommitMessage):
 
 class _Writer(DataSourceWriter):
     def __init__(self, options: dict):
-        self.base, self.suffix = options["path"].rstrip("/"), options.get("suffix", ".jb2")
+        self.base, self.suffix, self.root = options["path"].rstrip("/"), options.get("suffix", ".jb2"), options.get("root", "")
+
+    def _name(self, img_id: str) -> str:
+        """The path of a page below the root, or the whole path without scheme and host."""
+        path = unquote(re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", img_id)).strip("/")
+        root = unquote(re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", self.root)).strip("/")
+        if root and not path.startswith(root + "/"):
+            raise ValueError(f"{img_id} doesn't lie below {self.root}")
+        parts = path[len(root) + 1 if root else 0 :].split("/")
+        if not all(parts) or ".." in parts:
+            raise ValueError(f"{img_id} names no file")
+        return "/".join(parts)
 
     def write(self, rows) -> Written:
         from pyarrow import fs
 
         system, base = fs.FileSystem.from_uri(self.base) if "://" in self.base or self.base.startswith("file:") else (fs.LocalFileSystem(), self.base)
-        system.create_dir(base, recursive=True)
-        files = size = 0
+        files, size, made = 0, 0, set()
         for row in rows:
             if row["code"] is None:
                 continue
-            name = unquote(row["img_id"]).rstrip("/").rsplit("/", 1)[-1]
-            # a retried task writes the same names again
-            with system.open_output_stream(f"{base}/{name}{self.suffix}") as out:
+            path = f"{base}/{self._name(row['img_id'])}{self.suffix}"
+            if (folder := path.rsplit("/", 1)[0]) not in made:
+                system.create_dir(folder, recursive=True)
+                made.add(folder)
+            # moved when whole; a retried task replaces it by the same bytes
+            part = f"{path}.{uuid.uuid4().hex}.part"
+            with system.open_output_stream(part) as out:
                 out.write(bytes(row["code"]))
+            system.move(part, path)
             files, size = files + 1, size + len(row["code"])
         return Written(files, size)
 
@@ -45,7 +62,7 @@ class _Writer(DataSourceWriter):
 
 
 class PageFiles(DataSource):
-    """``df.write.format("page_files").mode("append").option("path", …)``: img_id's last part names the file; rows in error are left out."""
+    """``df.write.format("page_files").mode("append").option("path", …)``: img_id below ``root`` names the file; rows in error are left out."""
 
     @classmethod
     def name(cls) -> str:
@@ -55,10 +72,14 @@ class PageFiles(DataSource):
         return _Writer(self.options)
 
 
-def write_pages(pages: DataFrame, path: str, suffix: str = ".jb2") -> None:
-    """One file for each page; the folder is local to all executors or a store pyarrow knows."""
+def write_pages(pages: DataFrame, path: str, suffix: str = ".jb2", root: str = "") -> None:
+    """One file for each page, in folders as below ``root`` (without it, as in the whole of img_id), so no two pages share a name.
+
+    The folder is one that all executors see, or in a store pyarrow knows. A page outside
+    ``root`` fails the write.
+    """
     pages.sparkSession.dataSource.register(PageFiles)
-    pages.select("img_id", "code").write.format("page_files").mode("append").option("path", path).option("suffix", suffix).save()
+    pages.select("img_id", "code").write.format("page_files").mode("append").option("path", path).option("suffix", suffix).option("root", root).save()
 
 
 def write_table(pages: DataFrame, path: str, mode: str = "errorifexists") -> None:

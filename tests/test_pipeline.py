@@ -64,13 +64,26 @@ def test_scan_pushes_length(spark, folder):
 
 def test_sinks(spark, folder, tmp_path):
     pages = convert(spark, str(folder[0]))
-    write_pages(pages, str(tmp_path / "pages"))
+    write_pages(pages, str(tmp_path / "pages"), root=str(folder[0]))
     got = _by_name(pages.collect())
     assert {p.name: p.read_bytes() for p in (tmp_path / "pages").iterdir()} == {f"{n}.jb2": bytes(r.code) for n, r in got.items() if r.code is not None}
     write_table(pages, str(tmp_path / "table"))
     assert spark.read.parquet(str(tmp_path / "table")).count() == 6
 
 
+def test_pages_of_one_name(spark, tmp_path):
+    """Pages that share a name keep their folders; one outside the root fails, as does a way out of the folder."""
+    pages = spark.createDataFrame([("file:///a/1/page%20x.png", bytearray(b"1")), ("file:/a/2/page.png", bytearray(b"2")), ("s3://b/a/3/page.png", bytearray(b"3")), ("/a/e.png", None)], "img_id string, code binary")
+    write_pages(pages, str(tmp_path / "below"), root="/a")
+    files = lambda d: {str(p.relative_to(d)): p.read_bytes() for p in d.rglob("*") if p.is_file()}
+    assert files(tmp_path / "below") == {"1/page x.png.jb2": b"1", "2/page.png.jb2": b"2", "3/page.png.jb2": b"3"}
+    write_pages(pages, str(tmp_path / "whole"), suffix="")
+    assert set(files(tmp_path / "whole")) == {"a/1/page x.png", "a/2/page.png", "a/3/page.png"}
+    for bad, root in (("/b/x.png", "/a"), ("/a/../x.png", "/a")):
+        with pytest.raises(Exception, match="doesn't lie below|names no file"):
+            write_pages(spark.createDataFrame([(bad, bytearray(b"x"))], "img_id string, code binary"), str(tmp_path / "bad"), root=root)
+
+
 def test_stream(spark, folder, tmp_path):
     d, bits, _ = folder
     (tmp_path / "in").mkdir()

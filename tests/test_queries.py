@@ -36,10 +36,14 @@ def test_checksums(spark):
     parts = [b"", b"a", b"Wikipedia", bytes(range(256)) * 300, b"\xff" * 70_000]
     rows = spark.createDataFrame([(i, j, bytearray(a), bytearray(b)) for i, a in enumerate(parts) for j, b in enumerate(parts)], "i int, j int, a binary, b binary")
     one, two = checksums.adler32(F.col("a")), checksums.adler32(F.col("b"))
-    for r in rows.select("i", "j", one.alias("x"), checksums.adler32_combine(one, two, F.octet_length("b").cast("long")).alias("y"), checksums.crc32(F.col("a")).alias("c")).collect():
+    size = F.octet_length("b").cast("long")
+    crc = checksums.crc32_combine_column(checksums.crc32(F.col("a")), checksums.crc32(F.col("b")), size)
+    for r in rows.select("i", "j", one.alias("x"), checksums.adler32_native(F.col("a")).alias("n"), checksums.adler32_combine(one, two, size).alias("y"), checksums.crc32(F.col("a")).alias("c"), crc.alias("d")).collect():
         a, b = parts[r.i], parts[r.j]
-        assert (r.x, r.y, r.c) == (zlib.adler32(a), zlib.adler32(a + b), zlib.crc32(a))
+        assert (r.x, r.n, r.y, r.c, r.d) == (zlib.adler32(a), zlib.adler32(a), zlib.adler32(a + b), zlib.crc32(a), zlib.crc32(a + b))
         assert checksums.crc32_combine(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
+    none = rows.limit(1).select(checksums.adler32(F.lit(None).cast("binary")).alias("x"), checksums.crc32_combine_column(F.lit(1), F.lit(None).cast("long"), F.lit(2)).alias("y")).first()
+    assert none.x is None and none.y is None
 
 
 def test_twins_without_sql(spark):
