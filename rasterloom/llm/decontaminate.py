@@ -2,15 +2,18 @@
 
 Items and documents are normalised (A-Z lower-cased, other ASCII than letters and digits
 as single spaces). An item of length L is found where some window of the document is
-within ``k = EDITS * L`` edits of it. Such a window holds at least one of the item's k + 1
-disjoint segments unchanged, so windows are looked at only where a segment stands: the
-item-sized window that this occurrence implies, at the word start next to it. Each window
-is embedded by CGK random walks (a shared random bit for each step and character says
-whether the walk moves on), which turns few edits into few differing positions;
-``ROUNDS`` samples of ``BITS`` positions are the LSH keys, and a window that shares a key
-with the item is verified. Before it is embedded, its 4-grams must allow the edits (each
-edit changes four at most); after, its exact edit distance counts (infix alignment, so a window that is off by some characters
-still finds the passage whole).
+within ``EDITS * L`` edits of it. Long items are cut into pieces of ``PIECE`` bytes or a
+little more (an item below twice that is one piece), one of which then has no more than
+its share k of the edits; walks part for good after many edits, so this is what keeps the
+recall at every length. A piece with k edits holds at least one of its k + 1 disjoint
+segments unchanged, so windows are looked at only where a segment stands: the piece-sized
+window that this occurrence implies, at the word start next to it. Each window is embedded
+by CGK random walks (a shared random bit for each step and character says whether the walk
+moves on), which turns few edits into few differing positions; ``ROUNDS`` samples of
+``BITS`` positions are the LSH keys. Before a window is embedded, its 4-grams must allow
+the edits (each edit changes four at most); a window that shares a key with its piece is
+verified by the exact edit distance of the whole item (infix alignment, so a window that
+is off by some characters still finds the passage whole).
 """
 
 from __future__ import annotations
@@ -29,8 +32,9 @@ EDITS = 0.1
 SEGMENT = 8
 #: So many keys, and so short, that 0.99 of the seeded windows at EDITS share one; tests hold it.
 WALKS, ROUNDS, BITS = 2, 64, 2
-#: Length of a walk, in lengths of the item; a step moves on every other time.
+#: Length of a walk, in lengths of the piece; a step moves on every other time.
 STEPS = 1.8
+PIECE = 128
 #: Items shorter than this, normalised, are matched exactly.
 SHORTEST = 24
 #: Items held by a task at once: more are taken in blocks, each a pass over the documents.
@@ -77,21 +81,29 @@ class Finder:
     """Finds a block of items in texts."""
 
     def __init__(self, items: list[tuple[int, bytes]], edits: float = EDITS, seed: int = 11):
+        self.items = sorted(((k, t) for k, t in items if len(t) >= SEGMENT), key=lambda x: (len(x[1]), x[1]))
+        self.whole: dict[bytes, list] = {}
+        for k, t in items:
+            if 0 < len(t) < SEGMENT:
+                self.whole.setdefault(t, []).append(k)
+        limit = lambda n, whole: int(edits * n) if whole >= SHORTEST else 0
+        self.edits = [limit(len(t), len(t)) for _, t in self.items]
         # by length, so windows that are embedded together need much the same steps
-        self.items = sorted(((k, t) for k, t in items if len(t) >= SEGMENT), key=lambda x: (len(x[1]), x))
-        self.edits = [int(edits * len(t)) if len(t) >= SHORTEST else 0 for _, t in self.items]
+        pieces = sorted((n, i, at) for i, (_, t) in enumerate(self.items) for at, n in _pieces(t))
+        self.sizes, self.of, self.at = (np.array([p[c] for p in pieces], np.int64) for c in range(3))
+        self.limits = np.array([limit(n, len(self.items[i][1])) for n, i, _ in pieces], np.int64)
+        body = [self.items[i][1][at : at + n] for n, i, at in pieces]
         keys, whose, offsets, lengths, widths = [], [], [], [], set()
-        for i, (_, t) in enumerate(self.items):
-            parts = self.edits[i] + 1
+        for j, t in enumerate(body):
+            parts = int(self.limits[j]) + 1
             size = len(t) // parts
             # a segment shorter than SEGMENT is its own seed, so segments stay disjoint
             width = min(SEGMENT, size)
             widths.add(width)
             for p in range(parts):
-                at = p * size
-                keys.append(int.from_bytes(t[at : at + width], "little"))
-                whose.append(i)
-                offsets.append(at)
+                keys.append(int.from_bytes(t[p * size : p * size + width], "little"))
+                whose.append(j)
+                offsets.append(p * size)
                 lengths.append(size)
         order = np.argsort(np.array(keys, np.uint64), kind="stable") if keys else np.zeros(0, int)
         self.keys, self.whose, self.offsets, self.lengths = (np.array(x, d)[order] for x, d in ((keys, np.uint64), (whose, np.int64), (offsets, np.int64), (lengths, np.int64)))
@@ -101,32 +113,31 @@ class Finder:
         self.maybe[self._slot(self.keys)] = True
         self.longest = max((len(t) for _, t in self.items), default=0)
         rng = np.random.default_rng(seed)
-        steps = int(STEPS * self.longest) + 2
+        steps = int(STEPS * max(self.sizes, default=0)) + 2
         self.moves = rng.integers(0, 2, (WALKS, steps, 256), dtype=np.uint8)
-        # positions are drawn as shares of the item's own walk, so short items are sampled over their length
+        # positions are drawn as shares of the piece's own walk, so short ones are sampled over their length
         self.draws = rng.random((WALKS, ROUNDS, BITS)) * STEPS
-        self.sizes = np.array([len(t) for _, t in self.items], np.int64)
         gap = b"\0" * (self.longest + SEGMENT)
-        self.text = np.frombuffer(gap.join([t for _, t in self.items] + [b""]), np.uint8)
+        self.text = np.frombuffer(gap.join([*body, b""]), np.uint8)
         self.places = np.cumsum(self.sizes + len(gap)) - self.sizes - len(gap)
-        self.grams = [_grams(np.frombuffer(t, np.uint8)) for _, t in self.items]
+        self.grams = [_grams(np.frombuffer(t, np.uint8)) for t in body]
         self.marks = np.zeros(1 << 16, bool)
-        self.signs = self._signatures(self.text, self.places, np.arange(len(self.items))) if self.items else None
+        self.signs = self._signatures(self.text, self.places, np.arange(len(body))) if body else None
 
     def _slot(self, x: np.ndarray) -> np.ndarray:
         return ((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
-    def _held(self, item: int, there: np.ndarray) -> int:
-        """How many of the item's 4-grams are among those of a window; hashes that collide only add to it."""
+    def _held(self, piece: int, there: np.ndarray) -> int:
+        """How many of the piece's 4-grams are among those of a window; hashes that collide only add to it."""
         self.marks[there] = True
-        out = int(self.marks[self.grams[item]].sum())
+        out = int(self.marks[self.grams[piece]].sum())
         self.marks[there] = False
         return out
 
-    def _signatures(self, text: np.ndarray, starts: np.ndarray, items: np.ndarray) -> np.ndarray:
-        """LSH keys (window, walk * ROUNDS + round) of item-sized windows."""
+    def _signatures(self, text: np.ndarray, starts: np.ndarray, pieces: np.ndarray) -> np.ndarray:
+        """LSH keys (window, walk * ROUNDS + round) of piece-sized windows."""
         out = np.zeros((len(starts), WALKS * ROUNDS), np.uint64)
-        sizes = self.sizes[items]
+        sizes = self.sizes[pieces]
         for walk in range(WALKS):
             steps = int(sizes.max() * STEPS) + 1
             at, seen = starts.astype(np.int64), np.zeros((steps, len(starts)), np.uint8)
@@ -143,8 +154,10 @@ class Finder:
 
     def find(self, texts: list[bytes]) -> list[tuple[int, int, int, int]]:
         """(text, item id, place, edits) of what is within its edits; of several places of an item in a text the best, then first."""
-        if not self.items:
-            return []
+        whole = [(d, k, 0, 0) for d, t in enumerate(texts) if len(t) < SEGMENT for k in self.whole.get(t, ())]
+        return whole + self._near(texts) if self.items else whole
+
+    def _near(self, texts: list[bytes]) -> list[tuple[int, int, int, int]]:
         gap = b"\0" * (self.longest + SEGMENT)
         joined = gap + gap.join(texts) + gap
         text = np.frombuffer(joined, np.uint8)
@@ -170,31 +183,30 @@ class Finder:
             spot, entry = spot[same], entry[same]
             if not len(entry):
                 return []
-        item, start = self.whose[entry], spot - self.offsets[entry]
+        piece, start = self.whose[entry], spot - self.offsets[entry]
         edges = np.flatnonzero((text[1:] != 32) & ((text[:-1] == 32) | (text[:-1] == 0)) & (text[1:] != 0)) + 1
         near = np.searchsorted(edges, start)
         after, before = edges[np.minimum(near, len(edges) - 1)], edges[np.maximum(near - 1, 0)]
         snapped = np.where(np.abs(after - start) <= np.abs(start - before), after, before)
-        slack = np.array(self.edits)[item]
-        start = np.where(np.abs(snapped - start) <= slack, snapped, start)
-        pairs = np.unique(np.stack([item, np.maximum(start, 0)]), axis=1)
-        item, start = pairs
-        of = np.searchsorted(begins, start + self.sizes[item] // 2, "right") - 1
-        item, start, of = item[of >= 0], start[of >= 0], of[of >= 0]
-        limits, ends = np.array(self.edits)[item], begins + np.array([len(t) for t in texts])
-        lows, highs = np.maximum(start - 2 * limits, begins[of]), np.minimum(start + self.sizes[item] + 2 * limits, ends[of])
+        start = np.where(np.abs(snapped - start) <= self.limits[piece], snapped, start)
+        piece, start = np.unique(np.stack([piece, np.maximum(start, 0)]), axis=1)
+        of = np.searchsorted(begins, start + self.sizes[piece] // 2, "right") - 1
+        piece, start, of = piece[of >= 0], start[of >= 0], of[of >= 0]
+        limits, ends = self.limits[piece], begins + np.array([len(t) for t in texts])
+        lows, highs = np.maximum(start - 2 * limits, begins[of]), np.minimum(start + self.sizes[piece] + 2 * limits, ends[of])
         # the 4-grams first: they lose nothing, and leave few windows to embed
-        least, four = self.sizes[item] - 3 - 4 * limits, _grams(text)
-        able = [self._held(k, four[a : max(b - 3, a)]) >= n for k, a, b, n in zip(item.tolist(), lows.tolist(), highs.tolist(), least.tolist(), strict=True)]
-        item, start = item[able], start[able]
+        least, four = self.sizes[piece] - 3 - 4 * limits, _grams(text)
+        able = [self._held(j, four[a : max(b - 3, a)]) >= n for j, a, b, n in zip(piece.tolist(), lows.tolist(), highs.tolist(), least.tolist(), strict=True)]
+        piece, start = piece[able], start[able]
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        for at in range(0, len(item), 20_000):
-            i, s = item[at : at + 20_000], start[at : at + 20_000]
-            same = (self._signatures(text, s, i) == self.signs[i]).any(1)
-            for k, p in zip(i[same].tolist(), s[same].tolist(), strict=True):
-                name, body = self.items[k]
+        for at in range(0, len(piece), 20_000):
+            j, s = piece[at : at + 20_000], start[at : at + 20_000]
+            same = (self._signatures(text, s, j) == self.signs[j]).any(1)
+            for k, p in sorted(set(zip(self.of[j[same]].tolist(), (s[same] - self.at[j[same]]).tolist(), strict=True))):
+                body, limit = self.items[k][1], self.edits[k]
                 d = int(np.searchsorted(begins, p + len(body) // 2, "right")) - 1
-                limit = self.edits[k]
+                if d < 0:
+                    continue
                 a = max(p - 2 * limit, int(begins[d]))
                 b = min(p + len(body) + 2 * limit, int(begins[d]) + len(texts[d]))
                 if (had := best.get((d, k))) and had[0] == 0:
@@ -202,9 +214,19 @@ class Finder:
                 window = joined[a:b]
                 exact = window.find(body)
                 edits, place = (0, a + exact - int(begins[d])) if exact >= 0 else (infix_distance(body, window), p - int(begins[d]))
-                if edits <= limit and (not had or (edits, place) < had):
+                if edits <= limit and (not had or (edits, max(place, 0)) < had):
                     best[(d, k)] = (edits, max(place, 0))
-        return [(d, self.items[k][0], place, edits) for (d, k), (edits, place) in sorted(best.items())]
+        return [(d, self.items[k][0], place, edits) for (d, k), (edits, place) in best.items()]
+
+
+def _pieces(item: bytes) -> list[tuple[int, int]]:
+    """(place, length) of an item's pieces, which begin at word starts where words allow it."""
+    cuts, least = [0], len(item) // max(1, len(item) // PIECE)
+    while len(item) - cuts[-1] >= 2 * least > 0:
+        at = cuts[-1] + least
+        space = item.find(b" ", at - 1, at + least // 2)
+        cuts.append(space + 1 if space >= 0 else at)
+    return [(a, b - a) for a, b in zip(cuts, [*cuts[1:], len(item)], strict=True)]
 
 
 def blocks(items: DataFrame, item_col: str, text_col: str) -> list[DataFrame]:
@@ -217,16 +239,18 @@ def blocks(items: DataFrame, item_col: str, text_col: str) -> list[DataFrame]:
 def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", edits: float = EDITS) -> DataFrame:
     """One row per (document, item) found: id, item id, place (in the normalised text), edits.
 
-    Null and empty texts match nothing, nor do items of fewer than 8 normalised bytes.
-    Items repeated under one id count once; repeated documents are each matched. Either
-    table may be empty.
+    Null and empty texts match nothing. Items of fewer than 24 normalised bytes match
+    exactly, those of fewer than 8 only texts that are nothing else. Items repeated under
+    one id count once; an item without an id is found under a null one. Of several places
+    of an item in a text the one with the fewest edits, then the first, is told. Repeated
+    documents are each matched. Either table may be empty.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     spark, kind = docs.sparkSession, items.schema[item_col].dataType
     schema = T.StructType([T.StructField(id_col, rows.schema["id"].dataType), T.StructField(item_col, kind), T.StructField("place", T.LongType()), T.StructField("edits", T.LongType())])
     found = None
     for block in blocks(items.where(F.col(item_text).isNotNull()).select(item_col, item_text), item_col, item_text):
-        held = spark.sparkContext.broadcast(sorted({(r[0], normalise(r[1])) for r in block.collect()}))
+        held = spark.sparkContext.broadcast(sorted({(r[0], normalise(r[1])) for r in block.collect()}, key=lambda x: (x[0] is not None, x)))
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             finder = Finder(held.value, edits)
@@ -252,13 +276,13 @@ def _key(id_col: str, text_col: str) -> Column:
 
 
 def report(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", edits: float = EDITS) -> DataFrame:
-    """One row per input row: id, contaminated, items (sorted ids found), least_edits (null without a find). Rows without an id are answered by their text."""
+    """One row per input row: id, contaminated, items (sorted ids found; one without an id isn't named), least_edits (null without a find). Rows without an id are answered by their text."""
     keyed = docs.select(id_col, _key(id_col, text_col).alias("__key"), F.col(text_col).alias("text"))
     found = stage_table(matches(keyed, items, "__key", "text", item_col, item_text, edits), "matches", "snappy")
     told = found.groupBy("__key").agg(F.array_sort(F.collect_set(item_col)).alias("items"), F.min("edits").alias("least_edits"))
     out = keyed.select(id_col, "__key").join(told, "__key", "left")
     none = F.array().cast(told.schema["items"].dataType)
-    return out.select(id_col, F.col("items").isNotNull().alias("contaminated"), F.coalesce("items", none).alias("items"), "least_edits")
+    return out.select(id_col, F.col("least_edits").isNotNull().alias("contaminated"), F.coalesce("items", none).alias("items"), "least_edits")
 
 
 def survivors(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", edits: float = EDITS) -> DataFrame:

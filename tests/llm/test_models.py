@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from rasterloom.llm import components, decontaminate, katz, language_id, license_scan, near_dedup, packing, queries, toxicity
+from rasterloom.llm import components, decontaminate, katz, language_id, license_scan, near_dedup, packing, queries, sampling, toxicity
 from rasterloom.llm.tokens import Encoder, default_path
 
 SF = "/root/testdata/sf0.01"
@@ -210,6 +210,18 @@ def test_toxicity_sample_is_bounded(spark, monkeypatch):
     assert 850 <= len(few) <= 1150
     short = toxicity.train(docs, labels, F.col("doc_id") % 3 != 1, most_rows=1000, most_bytes=40_000)
     assert 300 <= len(short) <= 500
+    half = toxicity.train(docs, labels.where("doc_id < 4000"), F.lit(True), most_rows=1000, free_rows=500)
+    free = half[half["label"] < 0]
+    assert 180 <= len(free) <= 340 and free["doc_id"].min() >= 4000 and 850 <= len(half) - len(free) <= 1150
+
+
+@pytest.mark.parametrize("rows,size", [(1e-9, 10**9), (10**9, 3)])
+def test_samples_are_never_empty(spark, rows, size):
+    """A share below any grid still draws a row, for each group."""
+    docs = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit("x" * 100).alias("text"), (F.col("id") % 3).cast("string").alias("lang"))
+    assert len(sampling.bounded(docs, "doc_id", "text", rows, size)) == 1
+    assert sorted(sampling.bounded_by(docs, "lang", "doc_id", "text", rows, size)["lang"]) == ["0", "1", "2"]
+    assert len(sampling.bounded(docs.where("false"), "doc_id", "text", rows, size)) == 0
 
 
 def test_label_model_weighs_copies_of_a_voter():
@@ -217,8 +229,31 @@ def test_label_model_weighs_copies_of_a_voter():
     y = rng.random(3000) < 0.2
     one = np.where(y, rng.random(3000) < 0.6, rng.random(3000) < 0.05)
     votes = np.column_stack([one, one, one, np.where(y, rng.random(3000) < 0.7, rng.random(3000) < 0.02)]).astype(float)
-    q, rates = toxicity.label_model(votes, y.astype(int))
-    assert rates[0, 2] < 0.5 < rates[3, 2] and abs(rates[3, 0] - 0.7) < 0.1 and ((q > 0.5) == y).mean() > 0.97
+    known = np.where(rng.random(3000) < 0.7, y.astype(int), -1)
+    q, rates, gold = toxicity.label_model(votes, known)
+    assert abs(rates[0, 2] - 1 / 3) < 0.05 and rates[3, 2] > 0.8 and abs(rates[3, 0] - 0.7) < 0.1 and gold[0] > 0.95 and gold[1] < 0.05
+    assert ((q > 0.5) == y)[known >= 0].mean() > 0.97 and ((q > 0.5) == y)[known < 0].mean() > 0.9
+
+
+def test_label_model_estimates_how_far_labels_are_right():
+    """A tenth of the given labels is wrong: many good voters tell so."""
+    rng = np.random.default_rng(1)
+    y = rng.random(4000) < 0.3
+    votes = np.column_stack([np.where(y, rng.random(4000) < 0.8, rng.random(4000) < 0.05) for _ in range(8)]).astype(float)
+    q, _, gold = toxicity.label_model(votes, np.where(rng.random(4000) < 0.1, ~y, y).astype(int))
+    assert abs(gold[0] - 0.9) < 0.04 and abs(gold[1] - 0.1) < 0.04 and ((q > 0.5) == y).mean() > 0.99
+
+
+def test_toxicity_score_is_the_classifier(table):
+    """The score by a plain sum over the voters that hit, found without the model's index."""
+    model = toxicity.fit(_toxic_sample(600, 3))
+    docs = dict(enumerate(_toxic_sample(80, 4)["text"])) | {200: None, 201: "", 202: "You are such an idiot!!! scum!! trash!!", 203: "word " * 5000}
+    for r in toxicity.score(table(docs), model).collect():
+        held = {w.lower() for w in regex.findall(rb"[A-Za-z\x80-\xff]+", (docs[r.doc_id] or "").encode())}
+        hit = {k for mark, of in model.by_mark.items() for k in of if any(w == mark[:-1] if mark.endswith(b"$") else w.startswith(mark) for w in held)}
+        hit |= {k for k, p in model.patterns if regex.search(p, docs[r.doc_id] or "")}
+        z = model.bias + sum(model.weights[k] for k in hit)
+        assert r.score == pytest.approx(1 / (1 + math.exp(-z))) and r.predicted == int(r.score >= 0.7) and set(r.voters) == {model.names[k] for k in hit}
 
 
 def test_op6(spark):
@@ -259,56 +294,67 @@ def test_decontaminate(spark, table, corpus):
     assert not any(r.contaminated for r in decontaminate.report(table(docs), _items(spark).where("false")).collect())
 
 
-def test_recall_under_edits():
-    """Edits of a tenth of the item are found nearly always."""
-    rng = random.Random(5)
-    letters = "abcdefghij klmnop"
-    items = [(i, decontaminate.normalise("".join(rng.choice(letters) for _ in range(150)))) for i in range(20)]
-    finder, texts, want = decontaminate.Finder(items), [], []
-    for _ in range(15):
-        for i, t in items:
-            w = bytearray(t)
-            for _ in range(int(0.07 * len(t))):
-                k = rng.randrange(len(w))
-                op = rng.randrange(3)
-                if op == 0:
-                    del w[k]
-                elif op == 1:
-                    w[k] = ord(rng.choice("qrstuv"))
-                else:
-                    w.insert(k, ord(rng.choice("qrstuv")))
-            pad = bytes(rng.choice(b"uvwxyz ") for _ in range(200))
-            texts.append(decontaminate.normalise((pad + b" " + bytes(w) + b" " + pad).decode()))
-            want.append(i)
-    found = {(d, k) for d, k, _, _ in finder.find(texts)}
-    assert sum((d, i) in found for d, i in enumerate(want)) >= 0.97 * len(want)
-    assert all(want[d] == k for d, k in found)
-
-
-def test_recall_at_the_bound():
-    """Of passages with edits of a whole tenth, 0.99 are found."""
+def _edited(rng, text, edits):
+    w = bytearray(text)
+    for _ in range(edits):
+        k = rng.randrange(len(w))
+        op = rng.randrange(3)
+        if op == 0:
+            del w[k]
+        elif op == 1:
+            w[k] = ord(rng.choice("qrstuv"))
+        else:
+            w.insert(k, ord(rng.choice("qrstuv")))
+    return bytes(w)
+
+
+@pytest.mark.parametrize("kind", ["letters", "words"])
+@pytest.mark.parametrize("sizes,copies", [((24, 40, 80), 12), ((150, 250, 400), 8), ((1000, 2000), 6)])
+def test_recall_at_the_bound(kind, sizes, copies):
+    """Of passages with edits of 7 and 10 %, 0.97 are found, at every length; nothing beyond the bound is."""
     rng = random.Random(6)
-    items = [(i, decontaminate.normalise("".join(rng.choice("abcdefghij klmnop") for _ in range(n)))) for i, n in enumerate([80, 100, 150, 250, 380] * 6)]
+    vocabulary = [w for r in ITEMS.values() for w in (r or "").split()]
+    text = lambda n: "".join(rng.choice("abcdefghij klmnop") for _ in range(n)) if kind == "letters" else " ".join(rng.choice(vocabulary) for _ in range(n))
+    items = [(i, decontaminate.normalise(text(n + 9))[:n].strip()) for i, n in enumerate(sizes * 6)]
     texts, want = [], []
-    for _ in range(15):
+    for _ in range(copies):
         for i, t in items:
-            w = bytearray(t)
-            for _ in range(int(0.1 * len(t))):
-                k = rng.randrange(len(w))
-                op = rng.randrange(3)
-                if op == 0:
-                    del w[k]
-                elif op == 1:
-                    w[k] = ord(rng.choice("qrstuv"))
-                else:
-                    w.insert(k, ord(rng.choice("qrstuv")))
             pad = bytes(rng.choice(b"uvwxyz ") for _ in range(200))
-            texts.append(decontaminate.normalise((pad + b" " + bytes(w) + b" " + pad).decode()))
+            texts.append(decontaminate.normalise((pad + b" " + _edited(rng, t, int(rng.choice([0.07, 0.1]) * len(t))) + b" " + pad).decode()))
             want.append(i)
     limit = {i: int(0.1 * len(t)) for i, t in items}
-    near = {(d, i) for d, i in enumerate(want) if edit_distance_infix(dict(items)[i], texts[d]) <= limit[i]}
-    found = {(d, k) for d, k, _, _ in decontaminate.Finder(items).find(texts)}
-    assert len(near) >= 400 and len(found & near) >= 0.99 * len(near)
+    near = {(d, i) for d, i in enumerate(want) if decontaminate.infix_distance(dict(items)[i], texts[d]) <= limit[i]}
+    got = decontaminate.Finder(items).find(texts)
+    found = {(d, k) for d, k, _, _ in got}
+    assert len(near) >= 0.85 * len(want) and len(found & near) >= 0.97 * len(near)
+    assert all(decontaminate.infix_distance(dict(items)[k], texts[d]) <= e <= limit[k] for d, k, _, e in got)
+
+
+def test_finder_against_brute_force():
+    """All pairs of items and texts, near and far, by the plain infix distance."""
+    rng = random.Random(8)
+    items = [(i, " ".join(rng.choice(["red", "green", "blue", "stone", "river", "cloud", "lamp"]) for _ in range(rng.randrange(1, 14))).encode()) for i in range(20)] + [(90, b"ab"), (91, b"")]
+    texts = [_edited(rng, dict(items)[rng.randrange(20)], rng.randrange(0, 4)) + b" tail" * rng.randrange(2) for _ in range(40)] + [b"ab", b"", b"ab c"]
+    texts = [decontaminate.normalise(t.decode()) for t in texts]
+    limit = lambda t: int(0.1 * len(t)) if len(t) >= 24 else 0
+    want = {(d, k) for d, x in enumerate(texts) for k, t in items if t and (edit_distance_infix(t, x) <= limit(t) if len(t) >= 8 else t == x)}
+    got = {(d, k) for d, k, _, _ in decontaminate.Finder(items).find(texts)}
+    assert got <= want and len(got) >= 0.98 * len(want) > 20 and (40, 90) in got
+
+
+def test_pieces():
+    rng = random.Random(1)
+    for n in (8, 127, 255, 300, 400, 5000):
+        item = decontaminate.normalise("".join(rng.choice("abcdefg hi") for _ in range(n)))
+        cut = decontaminate._pieces(item)
+        assert b"".join(item[a : a + k] for a, k in cut) == item and (len(item) < 256) == (len(cut) == 1) and all(2 * k >= decontaminate.PIECE or len(cut) == 1 for _, k in cut)
+
+
+def test_items_without_ids_and_repeated_rows(spark, table):
+    items = spark.createDataFrame([(None, ITEMS[2]), (1, ITEMS[1]), (1, ITEMS[1]), (6, "ab")], "item_id bigint, text string")
+    docs = table({1: ITEMS[1], 2: ITEMS[2], 3: "AB!", 4: "ab c", 5: ITEMS[1]})
+    got = sorted((r.doc_id, r.contaminated, r["items"]) for r in decontaminate.report(docs.unionByName(docs.where("doc_id = 1")), items).collect())
+    assert got == [(1, True, [1]), (1, True, [1]), (2, True, []), (3, True, [6]), (4, False, []), (5, True, [1])]
 
 
 @pytest.mark.parametrize("size", [30, 31])
@@ -442,19 +488,38 @@ def _katz_twin(docs, train, most):
     return {d: (len(tok[d]), sum(c[w] > 0 for w in tok[d]), sum(map(base, tok[d])), sum(math.log10(p(v, w)) for v, w in pairs[d])) for d in docs}, total
 
 
-@pytest.mark.parametrize("most,part", [(katz.MOST_FREQUENT, katz.PART_TOKENS), (40, 500), (0, 2000)])
-def test_katz(table, corpus, monkeypatch, most, part):
-    monkeypatch.setattr(katz, "MOST_FREQUENT", most)
+@pytest.mark.parametrize("often,part", [(2, 300), (16, 2_000_000)])
+def test_katz(table, corpus, monkeypatch, tmp_path, often, part):
+    """Against dictionaries, with pairs sent once and not; the stored model scores the same."""
+    monkeypatch.setattr(katz, "OFTEN", often)
     monkeypatch.setattr(katz, "PART_TOKENS", part)
     docs = {d: t for d, t in corpus.items() if t is None or len(t) < 10_000}
     train = {d: zlib.crc32(str(d).encode()) % 5 != 1 for d in docs}
-    want, total = _katz_twin(docs, train, most)
-    got = katz.score(table(docs).repartition(3), ~queries.held_out(5, 1)).collect()
-    assert len(got) == len(docs)
-    for r in got:
+    want, total = _katz_twin(docs, train, math.inf)
+    rows = table(docs).repartition(3)
+    got = katz.score(rows, ~queries.held_out(5, 1)).collect()
+    model = katz.train(rows, ~queries.held_out(5, 1), str(tmp_path / "model"))
+    new = katz.Model(model.spark, model.path).score(rows).collect()
+    assert len(got) == len(docs) == len(new)
+    for r in got + new:
         n, known, base, score = want[r.doc_id]
-        assert (r.n_tokens, r.n_known, r.train_tokens, r.train) == (n, known, total, train[r.doc_id])
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (n, known, total)
         assert r.base_score == pytest.approx(base, abs=1e-6) and r.score == pytest.approx(score, abs=1e-6)
+    assert all(r.train == train[r.doc_id] for r in got) and not any(r.train for r in new)
+
+
+def test_katz_records_grow_with_the_pairs(spark, corpus):
+    """Not with the product of blocks and partitions: no record without pairs, and nothing in one but its pairs."""
+    rng = random.Random(3)
+    text = lambda: " ".join(f"w{rng.randrange(50)}" for _ in range(40))
+    rows = spark.createDataFrame([(i, text(), True) for i in range(60)], "id bigint, text string, train boolean").repartition(20)
+    uni = katz.unigrams(rows)
+    sizes = []
+    for parts in (4, 4000):
+        made = katz._spread(rows, uni, parts).where("kind = 1").collect()
+        sizes.append(sum(len(x) for r in made for x in r.data))
+        assert len(made) <= 60 * 41
+    assert sizes[0] == sizes[1]
 
 
 @pytest.mark.parametrize("numbered,part", [(40, 500), (0, 2000)])
