@@ -25,17 +25,17 @@ def secrets() -> str:
 
 
 def licenses() -> str:
-    """Votes of word pairs by diagonal."""
+    """Whole phrases by full diagonals; notices by growing every chain of word pairs, hit by hit."""
     rows = [(label, True, text.split()) for text, label in license_scan.PHRASES.items()] + [(label, False, text.split()) for label, text in license_scan.NOTICES.items()]
     grams = ", ".join(f"({_literal(label)}, {str(whole).lower()}, {len(w) - 1}, {i}, {_literal(w[i])}, {_literal(w[i + 1])})" for label, whole, w in rows for i in range(len(w) - 1))
     return rf"""
-    WITH tpl(label, whole, grams, tpos, t1, t2) AS (VALUES {grams}),
+    WITH RECURSIVE tpl(label, whole, grams, tpos, t1, t2) AS (VALUES {grams}),
     d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
     p AS (SELECT doc_id, unnest(w[:-2]) AS a, unnest(w[2:]) AS b, unnest(range(len(w) - 1)) AS pos FROM d WHERE len(w) > 1),
     v AS (SELECT doc_id, label, whole, grams, pos - tpos AS diagonal, count(DISTINCT tpos) AS hits FROM p JOIN tpl ON a = t1 AND b = t2 GROUP BY ALL),
-    r AS (SELECT *, coalesce((diagonal - lag(diagonal) OVER w > {license_scan.SLACK})::INT, 1) AS first FROM v WHERE NOT whole WINDOW w AS (PARTITION BY doc_id, label ORDER BY diagonal)),
-    n AS (SELECT *, sum(first) OVER (PARTITION BY doc_id, label ORDER BY diagonal) AS run FROM r),
+    n AS (SELECT doc_id, label, grams, pos, tpos, pos - tpos AS shift FROM p JOIN tpl ON a = t1 AND b = t2 WHERE NOT whole QUALIFY count(DISTINCT tpos) OVER (PARTITION BY doc_id, label) / grams >= {license_scan.COVERAGE}),
+    c AS (SELECT *, 1 AS n FROM n UNION SELECT n.*, c.n + 1 FROM c JOIN n USING (doc_id, label) WHERE n.pos > c.pos AND n.tpos > c.tpos AND abs(n.shift - c.shift) <= {license_scan.SLACK}),
     f AS (SELECT doc_id, label, whole, diagonal AS start, 1.0::DOUBLE AS coverage FROM v WHERE whole AND hits = grams
-          UNION ALL SELECT doc_id, label, false, NULL, least(sum(hits) / max(grams), 1.0)::DOUBLE FROM n GROUP BY doc_id, label, run HAVING sum(hits) / max(grams) >= {license_scan.COVERAGE}),
+          UNION ALL SELECT doc_id, label, false, NULL, (max(n) / max(grams))::DOUBLE FROM c GROUP BY doc_id, label HAVING max(n) / max(grams) >= {license_scan.COVERAGE}),
     g AS (SELECT doc_id, count(*) FILTER (whole) AS n_base, min(start) AS first_word, max(start) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (whole) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(coverage) AS score FROM f GROUP BY doc_id)
     SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0::DOUBLE) AS score FROM d LEFT JOIN g USING (doc_id)"""

@@ -42,6 +42,21 @@ def licenses(text: str | None, phrases: dict) -> tuple:
     return len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels))
 
 
+def notices(text: str | None, templates: dict, slack: int, coverage: float) -> dict:
+    """label -> share of the template's word pairs in the longest chain that runs forward in both and shifts little from step to step."""
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    out = {}
+    for label, template in templates.items():
+        t = template.split()
+        hits = [(i, j) for i in range(len(w) - 1) for j in range(len(t) - 1) if w[i : i + 2] == t[j : j + 2]]
+        best: list = []
+        for k, (i, j) in enumerate(hits):
+            best.append(1 + max((best[m] for m in range(k) if hits[m][0] < i and hits[m][1] < j and abs((i - j) - (hits[m][0] - hits[m][1])) <= slack), default=0))
+        if best and max(best) / (len(t) - 1) >= coverage:
+            out[label] = max(best) / (len(t) - 1)
+    return out
+
+
 def secrets(text: str | None) -> list:
     found, t = [], text or ""
     for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t, re.I | re.A):

@@ -1,7 +1,12 @@
+import zlib
+
+import numpy as np
+import pytest
 from brute import exact, near_classes
 
 import corpus_pipeline as cp
 from rasterloom.llm import decontaminate, queries, toxicity
+from rasterloom.llm.tokens import Encoder, default_path
 
 SF = "/root/testdata/sf0.001"
 
@@ -23,8 +28,38 @@ def test_stages_against_brute_force(spark):
     fresh = stages["decontamination"](spark, apart, SF)
     items = [decontaminate.normalise(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     assert fresh.columns == docs.columns and set(texts(fresh)) == {d for d, t in texts(apart).items() if not any(i in decontaminate.normalise(t) for i in items)}
-    packed = stages["packing"](spark, fresh, SF)
-    assert {r.doc_id for r in packed.collect()} == set(texts(fresh))
+    packed = stages["packing"](spark, fresh, SF).collect()
+    whole = Encoder(default_path()).full
+    ids = {d: whole.encode(t or "", add_special_tokens=False).ids + [2] for d, t in texts(fresh).items()}
+    assert {r.doc_id for r in packed} == set(ids) and sum(r.length for r in packed) == sum(map(len, ids.values()))
+    for r in packed:
+        piece = ids[r.doc_id][r.start : r.start + r.length]
+        assert r.doc_tokens == len(ids[r.doc_id]) and r.ids_crc32 == zlib.crc32(np.array(piece, "<u4").tobytes())
+
+
+@pytest.fixture
+def small(spark, tmp_path):
+    """A folder of tables from rows of documents, with labels and benchmark items."""
+
+    def make(rows):
+        schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+        spark.createDataFrame([(r[0], 1, 0) for r in rows], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+        spark.createDataFrame([(1, "a passage of the benchmark that no training text may hold")] * bool(rows), "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+        return str(tmp_path)
+
+    return make
+
+
+def test_run_on_empty_tables(spark, small):
+    assert cp.run(spark, small([])).collect() == []
+
+
+def test_run_with_nulls_and_repeated_rows(spark, small):
+    """A row without an id or text is a document like others; repeated rows leave one."""
+    rows = [(1, "one two three four five six", None, None, None), (1, "one two three four five six", None, None, None), (2, None, "en", "s", 0), (3, "", None, None, None), (None, "a text without an id", None, None, None), (4, "x A passage of the Benchmark, that no training text may hold!", None, None, 1)]
+    got = cp.run(spark, small(rows)).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == [(False, 1), (False, 2), (True, 0)]
 
 
 def test_run(spark):
