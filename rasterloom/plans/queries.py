@@ -392,6 +392,39 @@ _ADLER_SQL = """
     e AS (SELECT doc_id, len(l) AS n, unnest(l) AS x, generate_subscripts(l, 1) - 1 AS i FROM d),
     s AS (SELECT doc_id, sum(('0x' || x)::BIGINT) AS a, sum((n - i) * ('0x' || x)::BIGINT) AS b FROM e GROUP BY doc_id)
     SELECT d.doc_id, (((len(l) + coalesce(s.b, 0)) % 65521) * 65536 + (1 + coalesce(s.a, 0)) % 65521)::BIGINT AS adler FROM d LEFT JOIN s USING (doc_id)"""
+
+
+def _coder_sql(typical: bool) -> str:
+    """The arithmetic coder as a recursion, one row an image and step: move pending bits out, code a symbol, or end."""
+    qe, likely, unlikely = (str([f(m, n, s, bit) if f else q for q, m, n, s in coder.STATES for bit in (0, 1)]) for f in (None, lambda m, n, s, bit: 2 * m + bit, lambda m, n, s, bit: 2 * n + (bit ^ s)))
+    plain = "SELECT img_id, y, x, ctx, bit FROM k"
+    symbols = f"{plain} SEMI JOIN (SELECT * FROM t WHERE same = 0) z USING (img_id, y) UNION ALL SELECT img_id, y, -1, {coder.TYPICAL}, change FROM t" if typical else plain
+    lines = f", {_TYPICAL_SQL.removeprefix(BITS + ', ')}" if typical else ""
+    return f"""WITH RECURSIVE {_context_sql()}{lines},
+    us AS (SELECT *, dense_rank() OVER (PARTITION BY img_id ORDER BY ctx) AS r FROM ({symbols})),
+    sq AS (SELECT img_id, list(r ORDER BY y, x) AS rs, list(bit ORDER BY y, x) AS bs, max(r) AS m, count(*) AS n FROM us GROUP BY img_id),
+    g AS (SELECT img_id, 0::BIGINT AS i, 32768::BIGINT AS a, 0::BIGINT AS c, 12::BIGINT AS ct, 0::BIGINT AS pend, -1::BIGINT AS last, '' AS code, list_transform(range(m), lambda z: 0::BIGINT) AS st, 0 AS ph FROM sq
+    UNION ALL SELECT img_id,
+        CASE WHEN sym THEN i + 1 ELSE i END, CASE WHEN sym THEN a2 << p2 ELSE a END,
+        CASE WHEN sym THEN c2 WHEN move AND ct1 = 0 THEN c3 & ((1::BIGINT << sh) - 1) WHEN move THEN c1 WHEN fin THEN cf ELSE c END,
+        CASE WHEN move AND ct1 = 0 THEN 27 - sh WHEN move THEN ct1 ELSE ct END,
+        CASE WHEN sym THEN p2 WHEN move THEN pend - k WHEN ph < 2 THEN ct ELSE 0 END,
+        CASE WHEN move AND ct1 = 0 THEN (c3 >> sh) & 255 ELSE last END, CASE WHEN move AND ct1 = 0 AND last >= 0 THEN code || lpad(lower(hex(l1)), 2, '0') ELSE code END,
+        CASE WHEN sym THEN list_transform(st, lambda v, j: CASE WHEN j = r THEN s2 ELSE v END) ELSE st END,
+        CASE WHEN sym OR move THEN ph ELSE ph + 1 END
+    FROM (SELECT *, CASE WHEN l1 = 255 THEN 20 ELSE 19 END AS sh, CASE WHEN a2 >= 32768 THEN 0 ELSE (15 - floor(log2(greatest(a2, 1))))::BIGINT END AS p2
+    FROM (SELECT *, last + carry AS l1, CASE WHEN carry = 1 THEN c1 & 134217727 ELSE c1 END AS c3,
+        CASE WHEN hit AND a1 >= 32768 THEN s0 WHEN hit THEN {likely}[s0 + 1] ELSE {unlikely}[s0 + 1] END AS s2,
+        CASE WHEN hit AND a1 >= 32768 THEN a1 WHEN hit = (a1 < qe) THEN qe ELSE a1 END AS a2,
+        CASE WHEN hit AND a1 >= 32768 OR hit <> (a1 < qe) THEN c ELSE c END + CASE WHEN hit AND a1 >= 32768 OR hit <> (a1 < qe) THEN qe ELSE 0 END AS c2
+    FROM (SELECT *, a - qe AS a1, CASE WHEN last >= 0 AND last <> 255 AND (c1 >> 27) > 0 THEN 1 ELSE 0 END AS carry, CASE WHEN (c | 65535) >= c + a THEN (c | 65535) - 32768 ELSE c | 65535 END AS cf
+    FROM (SELECT *, {qe}[s0 + 1] AS qe, b = s0 % 2 AS hit, CASE WHEN move THEN c << k ELSE c END AS c1, ct - k AS ct1
+    FROM (SELECT g.*, pend > 0 AS move, least(pend, ct) AS k, pend = 0 AND i < n AS sym, pend = 0 AND i = n AND ph = 0 AS fin, coalesce(rs[i + 1], 1) AS r, coalesce(st[rs[i + 1]], 0) AS s0, coalesce(bs[i + 1], 0) AS b FROM g JOIN sq USING (img_id) WHERE ph < 3))))))
+    , e AS (SELECT img_id, code || lpad(lower(hex(last)), 2, '0') || CASE WHEN last = 255 THEN 'ac' ELSE 'ffac' END AS code FROM g WHERE ph = 3)"""
+
+
+_CODE_SQL = "SELECT img_id, (length(code) // 2)::BIGINT AS size, code FROM"
+_SEGMENTS = "'00000000300001000000130000000800000008' || '0000012c0000012c010000' || '00000001260001' || lpad(lower(hex(26 + length(code) // 2)), 8, '0') || '000000080000000800000000000000000000' || '03fffdff02fefefe' || code"
 # the table from its rule: eight steps of one bit for each byte
 _CRC_SQL = """
     WITH t AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS tab FROM range(256) r(i)),
@@ -436,6 +469,10 @@ ORACLE_SQL = {
     "pnm_read_ascii": f"WITH {PX} SELECT * FROM px",
     "pnm_read_bits": f"WITH {_LINES_SQL} SELECT * FROM l",
     "container_layout": _LAYOUT_SQL,
+    "encode_bilevel": f"{_coder_sql(False)} {_CODE_SQL} e",
+    "encode_bilevel_tpgd": f"{_coder_sql(True)} {_CODE_SQL} e",
+    "container_bytes": f"{_coder_sql(False)} {_CODE_SQL} (SELECT img_id, '974a42320d0a1a0a0100000001' || {_SEGMENTS} || '0000000231000100000000' || '0000000333000100000000' AS code FROM e)",
+    "container_fragment": f"{_coder_sql(False)} {_CODE_SQL} (SELECT img_id, {_SEGMENTS} AS code FROM e)",
     "crc32": _CRC_SQL,
     "crc32_combine": _CRC_SQL,
     "set_pad_bits": f"WITH {_LINES_SQL} SELECT img_id, y, byte * 16777216 + 16777215 AS word FROM l",
