@@ -19,6 +19,7 @@ from ..operators import coder, container, kernels, pixels
 from ..sources import png
 from ..sources.images import decode_images
 from ..sources.sniff import sniff
+from .pipeline import Options, binarize_images
 
 CUT = 128
 
@@ -259,6 +260,19 @@ def crc32_combine(spark, sf):
     return parts.select("doc_id", checksums.crc32_combine_column(F.crc32("one"), F.crc32("two"), F.octet_length("two")).alias("crc"))
 
 
+def _chunk(name: bytes, body: bytes) -> bytes:
+    return struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
+
+
+def _palette_png(i: int, gray: np.ndarray) -> bytes:
+    """A bilevel PNG with a palette: black and white for even numbers, white and black for odd ones."""
+    black = kernels.threshold(gray, CUT)
+    index, palette = (1 - black, b"\0\0\0\xff\xff\xff") if i % 2 == 0 else (black, b"\xff\xff\xff\0\0\0")
+    lines = b"".join(b"\0" + kernels.pack(line[None]) for line in index)
+    head = struct.pack(">IIBBBBB", gray.shape[1], gray.shape[0], 1, 3, 0, 0, 0)
+    return png.SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"PLTE", palette) + _chunk(b"IDAT", zlib.compress(lines)) + _chunk(b"IEND", b"")
+
+
 def _png(gray: np.ndarray, turn: int = 0, interlace: bool = False, alpha: bool = False) -> bytes:
     """A PNG file of a gray image, its lines filtered by all five kinds in turn."""
     lines = bytearray()
@@ -275,9 +289,8 @@ def _png(gray: np.ndarray, turn: int = 0, interlace: bool = False, alpha: bool =
         for y in range(len(part)):
             kind = (y + turn) % 5
             lines += bytes([kind]) + ((part - guesses[kind])[y] % 256).astype(np.uint8).tobytes()
-    chunk = lambda name, body: struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
     head = struct.pack(">IIBBBBB", gray.shape[1], gray.shape[0], 8, 4 if alpha else 0, 0, 0, int(interlace))
-    return png.SIGNATURE + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(bytes(lines))) + chunk(b"IEND", b"")
+    return png.SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(bytes(lines))) + _chunk(b"IEND", b"")
 
 
 def _gray(embedding: list[float]) -> np.ndarray:
@@ -320,9 +333,36 @@ def pnm_read_ascii(spark, sf):
 
 def pnm_read_bits(spark, sf):
     """Bytes of the lines of bilevel files."""
-    files = _files(spark, sf, lambda i, gray: b"P4\n8 8\n" + kernels.pack(kernels.threshold(gray, CUT)))
+    return _line_bytes(decode_images(_files(spark, sf, lambda i, gray: b"P4\n8 8\n" + kernels.pack(kernels.threshold(gray, CUT)))), "byte")
+
+
+def _line_bytes(images: DataFrame, name: str) -> DataFrame:
     byte = lambda y: F.conv(F.hex(F.substring("data", y + 1, F.lit(1))), 16, 10).cast("long")
-    return decode_images(files).select(F.col("img_id").cast("long").alias("img_id"), F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(7)), byte)).alias("y", "byte"))
+    return images.select(F.col("img_id").cast("long").alias("img_id"), F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(7)), byte)).alias("y", name))
+
+
+def palette_bits(spark, sf):
+    """Black is 1 whatever the palette's order; the historical reading isn't, where black comes first."""
+    files = _files(spark, sf, _palette_png)
+    told = [_line_bytes(binarize_images(decode_images(files, compat), Options(compat=compat)), name) for compat, name in ((False, "byte"), (True, "compat"))]
+    return told[0].join(told[1], ["img_id", "y"])
+
+
+def palette_entries(spark, sf):
+    """Size, second entry, first channel and growth of the palettes that files carry."""
+    cmap = F.col("cmap")
+    grown = colour.add(colour.add(cmap, 1, 2, 3, 2), 4, 5, 6, 2)
+    return decode_images(_files(spark, sf, _palette_png)).select(
+        F.col("img_id").cast("long").alias("img_id"), colour.size(cmap).alias("size"), colour.entry(cmap, F.lit(1))["g"].cast("int").alias("second"), colour.entry(cmap, F.lit(2)).isNull().alias("third_absent"),
+        F.array_join(colour.channels(cmap)[0].cast("array<string>"), ",").alias("reds"), colour.size(colour.add(grown, 7, 8, 9, 2)).alias("grown"),
+    )
+
+
+def same_size(spark, sf):
+    """A PNG and a PNM of each embedding, the latter a line short for odd numbers."""
+    one = decode_images(_files(spark, sf, lambda i, gray: _png(gray)))
+    other = decode_images(_files(spark, sf, lambda i, gray: b"P5 8 %d 255\n" % (8 - i % 2) + gray[: 8 - i % 2].tobytes()))
+    return pixels.same_size(one, other).select(F.col("img_id").cast("long").alias("img_id"), "equal")
 
 
 def container_layout(spark, sf):
@@ -382,7 +422,7 @@ QUERIES = {
     for f in (
         threshold, invert, invert_box, set_pixel, pack_rows, pack_words, tpgd, contexts, context_histogram, context_histogram_tpgd, scale2x, scale2x_threshold, scale4x, scale4x_threshold,
         palette_lookup, palette_gray, palette_has_color, rgb_compose, green_channel, weighted_gray, strip16, strip_alpha, png_filter_sub, png_filter_up, png_filter_average, png_filter_paeth,
-        png_unfilter_sub, png_unfilter_up, adam7_pass, ppm_to_ppi, resolution_scale, pad_mask, format_sniff, adler32, adler32_combine, crc32, crc32_combine, png_read, png_read_adam7, pnm_read, pnm_read_ascii, pnm_read_bits, container_layout, set_pad_bits, path_name, rfc1123, encode_bilevel, encode_bilevel_tpgd, container_bytes, container_fragment,
+        png_unfilter_sub, png_unfilter_up, adam7_pass, ppm_to_ppi, resolution_scale, pad_mask, format_sniff, adler32, adler32_combine, crc32, crc32_combine, png_read, png_read_adam7, pnm_read, pnm_read_ascii, pnm_read_bits, palette_bits, palette_entries, same_size, container_layout, set_pad_bits, path_name, rfc1123, encode_bilevel, encode_bilevel_tpgd, container_bytes, container_fragment,
     )
 }
 
@@ -468,6 +508,9 @@ ORACLE_SQL = {
     "pnm_read": f"WITH {PX} SELECT * FROM px",
     "pnm_read_ascii": f"WITH {PX} SELECT * FROM px",
     "pnm_read_bits": f"WITH {_LINES_SQL} SELECT * FROM l",
+    "palette_bits": f"WITH {_LINES_SQL} SELECT img_id, y, byte, CASE WHEN img_id % 2 = 0 THEN 255 - byte ELSE byte END AS compat FROM l",
+    "palette_entries": "SELECT vec_id AS img_id, 2 AS size, CASE WHEN vec_id % 2 = 0 THEN 255 ELSE 0 END AS second, true AS third_absent, CASE WHEN vec_id % 2 = 0 THEN '0,255' ELSE '255,0' END AS reds, 4 AS grown FROM embeddings",
+    "same_size": "SELECT vec_id AS img_id, vec_id % 2 = 0 AS equal FROM embeddings",
     "container_layout": _LAYOUT_SQL,
     "encode_bilevel": f"{_coder_sql(False)} {_CODE_SQL} e",
     "encode_bilevel_tpgd": f"{_coder_sql(True)} {_CODE_SQL} e",
