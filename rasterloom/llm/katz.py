@@ -244,7 +244,7 @@ def _spread(rows: DataFrame, uni: Unigrams, parts: int) -> DataFrame:
             nth[np.flatnonzero(many)[order]] = np.arange(len(order))
             mine = many[place]
             held, held_n = np.unique(key_doc[mine] << 32 | nth[place[mine]], return_counts=True)
-            out = [(0, block % parts, block, (key_ids, np.array([i is None for i in ids], np.uint8), flag, sizes, base, known.astype(np.int64), score, hot, (held >> 32).astype(np.uint16), (held & 0xFFFFFFFF).astype(np.uint32), held_n.astype(np.uint32)))]
+            out = [(0, int(_part_of(np.array([block], np.uint64), parts)[0]), block, (key_ids, np.array([i is None for i in ids], np.uint8), flag, sizes, base, known.astype(np.int64), score, hot, (held >> 32).astype(np.uint16), (held & 0xFFFFFFFF).astype(np.uint32), held_n.astype(np.uint32)))]
             key, key_doc = key[~mine], key_doc[~mine]
             marked = (doc | flag[doc].astype(np.int64) * _TRAIN).astype(np.uint16)
             key_doc = (key_doc | flag[key_doc].astype(np.int64) * _TRAIN).astype(np.uint16)
