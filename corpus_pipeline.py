@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rasterloom.llm import decontaminate, exact_dedup, near_dedup, packing, toxicity
 from rasterloom.llm.queries import held_out, table
-from rasterloom.llm.shared import stage_table
+from rasterloom.llm.shared import scratch, stage_table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,9 +46,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pipeline's result for the documents of ``sf_dir``; each stage's table lies in the shared folder."""
+    """The pipeline's result for the documents of ``sf_dir``; each stage's table lies in the shared folder, and what it staged on the way is deleted."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = stage_table(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    name, last = STAGES[-1]
-    return stage_table(last(spark, docs, sf_dir), f"pipeline-{name}")
+    for name, stage in STAGES:
+        with scratch(spark) as keep:
+            docs = keep(stage_table(stage(spark, docs, sf_dir), f"pipeline-{name}"))
+    return docs

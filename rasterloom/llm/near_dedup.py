@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import fresh, stage_table
+from .shared import fresh, scratch, stage_table
 
 WORDS = 5
 #: Similarity in hundredths.
@@ -213,7 +213,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     # equal sets have equal sizes and sketches, so any of them will do
     sets = made.where("n > 0 and id is not null").groupBy("whole").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     reps = stage_table(sets, "reps")
-    roots = components(_links(reps, rows, words, threshold).unionByName(_other_texts(made)))
+    with scratch(docs.sparkSession) as keep:
+        links = _links(reps, rows, words, threshold).unionByName(_other_texts(made))
+        roots = keep(stage_table(components(links), "roots", "snappy"))
     rep = F.when(F.col("id").isNotNull(), F.coalesce("rep", "id"))
     out = made.select("id", "n", "whole").join(reps.select("whole", F.col("id").alias("rep")), "whole", "left").select("id", "n", rep.alias("rep"))
     out = out.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component_id", F.coalesce("root", "rep"))

@@ -9,6 +9,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -77,6 +79,26 @@ def drop_table(df: DataFrame) -> None:
         delete_path(df.sparkSession, folder)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes the tables staged inside when it is left, but for those passed to the function it gives."""
+    key = spark.sparkContext.applicationId
+    before, kept = len(_made.get(key, ())), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        files = df.inputFiles()
+        kept.update(p for p in _made[key][before:] if any(p.rsplit("/", 1)[1] in f for f in files))
+        return df
+
+    try:
+        yield keep
+    finally:
+        made = _made.get(key, [])
+        for path in [p for p in made[before:] if p not in kept]:
+            delete_path(spark, path)
+            made.remove(path)
+
+
 def release(spark: SparkSession) -> int:
     """Delete every table this application staged; call it when results are saved."""
     paths = _made.pop(spark.sparkContext.applicationId, [])

@@ -241,6 +241,20 @@ def test_op_queries(spark):
     assert set(got.columns) == {"doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"} and got.count() == len(docs)
 
 
+def test_scratch_tables(spark):
+    """What is staged inside goes, but for what is kept; also after an error, and for empty tables."""
+    at = lambda df: Path(df.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://"))
+    with shared.scratch(spark) as keep:
+        gone, kept = shared.stage_table(spark.range(5), "t"), keep(shared.stage_table(spark.range(3), "t"))
+        empty = keep(shared.stage_table(spark.range(0), "t"))
+        folder = at(gone)
+    assert not folder.exists() and kept.count() == 3 and empty.count() == 0
+    with pytest.raises(ValueError), shared.scratch(spark):
+        folder = at(shared.stage_table(spark.range(5), "t"))
+        raise ValueError
+    assert not folder.exists()
+
+
 def test_staged_tables(spark):
     df = shared.stage_table(spark.range(5), "t")
     assert df.count() == 5
