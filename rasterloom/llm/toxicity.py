@@ -2,10 +2,12 @@
 
 Voters are word lists, patterns, and words or word beginnings mined from a bounded
 labelled sample, each with an exact binomial tail that is corrected for how many were
-tried. A generative label model (one hidden label for each document, voters with their
-own hit rates under either label, voters that agree beyond what the label explains
-sharing one vote) is fitted by expectation maximisation, the known labels being one more
-voter that can err. Its posteriors are the targets of a logistic regression over the
+tried. A generative label model has one hidden label for each document; every voter has
+hit rates under either label, and voters correlate beyond what the label explains. It is
+fitted by expectation maximisation over labelled and unlabelled documents alike: the given
+labels are one more voter, whose hit rates are estimated as well, and which abstains where
+there is none. Correlations that are beyond chance weigh the voters down, so that copies
+of a voter count as one. The posteriors are the targets of a logistic regression over the
 votes, which gives the score.
 """
 
@@ -24,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .language_id import _SPACED
-from .sampling import bounded
+from .sampling import bounded, limit, place
 
 # Insults and slurs of contempt, by list.
 LEXICONS = {
@@ -47,6 +49,12 @@ PATTERNS = {
 }
 
 FIT_ROWS, FIT_BYTES = 8000, 24_000_000
+#: Bounds of the unlabelled documents that the label model also sees.
+FREE_ROWS, FREE_BYTES = 4000, 8_000_000
+#: What the given labels' hit rates are before any is seen: hits and misses under either label.
+TRUST = ((49.0, 1.0), (1.0, 49.0))
+#: Standard errors from which on a correlation counts.
+BEYOND_CHANCE = 5.0
 #: Lengths, in bytes, of the word beginnings that are mined.
 HEADS = (4, 5, 6, 7)
 #: Flukes expected among all mined voters; most mined voters.
@@ -75,6 +83,8 @@ class ToxicityModel:
     bias: float = 0.0
     #: Of the label model, for each voter: hit rate given toxic, hit rate given clean, share of a vote.
     rates: np.ndarray = field(default_factory=lambda: np.zeros((0, 3)))
+    #: Estimated share of label 1 among the given labels of toxic and of clean documents.
+    gold: np.ndarray = field(default_factory=lambda: np.array([0.98, 0.02]))
 
     def __post_init__(self):
         self.compiled = [(k, regex.compile(p)) for k, p in self.patterns]
@@ -151,28 +161,42 @@ def mine(texts: list[str], toxic: np.ndarray) -> list[bytes]:
     return chosen + more[: MOST_MINED - len(chosen)]
 
 
-def label_model(votes: np.ndarray, known: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, np.ndarray]:
-    """Posterior of the hidden label for each row of 0/1 ``votes``, and the voters' rates; ``known`` labels can err by 2 %."""
+def _shares(left: np.ndarray) -> np.ndarray:
+    """How much of a vote each voter has, from what the label leaves unexplained: 1 alone, 1/n for n copies."""
+    spread = np.sqrt((left**2).mean(0)) + 1e-9
+    tied = (left.T @ left) / len(left) / spread[:, None] / spread[None, :]
+    np.fill_diagonal(tied, 1.0)
+    tied[tied < BEYOND_CHANCE / np.sqrt(len(left))] = 0.0
+    # weights under which each voter and those it goes with add up to one vote
+    share = np.linalg.solve(tied + 0.05 * np.eye(len(tied)), np.full(len(tied), 1.05))
+    return np.clip(share, 1 / tied.sum(1), 1.0)
+
+
+def label_model(votes: np.ndarray, known: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Posterior of the hidden label for each row of 0/1 ``votes``, the voters' rates and shares, and the hit rates of the given labels ``known`` (0, 1, or -1 for none)."""
     n, j = votes.shape
-    q = np.where(known == 1, 0.98, 0.02)
-    share, rates = np.ones(j), np.zeros((j, 2))
+    given, says = known >= 0, (known == 1).astype(float)
+    start = says[given].mean() if given.any() else 0.1
+    q = np.where(given, np.where(says == 1, 0.98, 0.02), start)
+    share, rates, gold = np.ones(j), np.zeros((j, 2)), np.zeros(2)
     for turn in range(rounds):
         prior = (q.sum() + 1) / (n + 2)
         rates[:, 0] = (votes.T @ q + 0.5) / (q.sum() + 2)
         rates[:, 1] = (votes.T @ (1 - q) + 0.05) / ((1 - q).sum() + 2)
         rates = np.clip(rates, 1e-5, 1 - 1e-5)
+        for k, part in enumerate((q, 1 - q)):
+            hits, misses = TRUST[k]
+            gold[k] = ((part * says)[given].sum() + hits) / (part[given].sum() + hits + misses)
         if turn in (0, 5):
-            left = votes - (q[:, None] * rates[:, 0] + (1 - q)[:, None] * rates[:, 1])
-            spread = np.sqrt((left**2).mean(0)) + 1e-9
-            tied = (left.T @ left) / n / spread[:, None] / spread[None, :]
-            share = 1 / np.maximum(1, (np.clip(tied, 0, 1) * (tied > 0.3)).sum(1))
+            share = _shares(votes - (q[:, None] * rates[:, 0] + (1 - q)[:, None] * rates[:, 1])) if j else share
         hit, miss = np.log(rates[:, 0] / rates[:, 1]) * share, np.log((1 - rates[:, 0]) / (1 - rates[:, 1])) * share
-        z = np.log(prior / (1 - prior)) + votes @ (hit - miss) + miss.sum() + np.where(known == 1, np.log(49), -np.log(49))
+        told = np.where(says == 1, np.log(gold[0] / gold[1]), np.log((1 - gold[0]) / (1 - gold[1])))
+        z = np.log(prior / (1 - prior)) + votes @ (hit - miss) + miss.sum() + np.where(given, told, 0.0)
         newer = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
         moved, q = np.abs(newer - q).max(), newer
         if moved < 1e-4:
             break
-    return q, np.column_stack([rates, share])
+    return q, np.column_stack([rates, share]), gold
 
 
 def regress(votes: np.ndarray, target: np.ndarray, ridge: float = 0.05, rounds: int = 40) -> tuple[np.ndarray, float]:
@@ -191,8 +215,9 @@ def regress(votes: np.ndarray, target: np.ndarray, ridge: float = 0.05, rounds:
 
 
 def fit(sample: pd.DataFrame) -> ToxicityModel:
-    """A model of the sample's (text, label 0/1). Without both labels the lists alone vote, with equal weight."""
+    """A model of the sample's (text, label 0/1, or -1 for none). Without both labels the lists alone vote, with equal weight."""
     texts, y = [t or "" for t in sample["text"]], sample["label"].to_numpy(int)
+    given = y >= 0
     by_mark: dict[bytes, list[int]] = {}
     names: list[str] = []
     for name, listed in LEXICONS.items():
@@ -202,28 +227,33 @@ def fit(sample: pd.DataFrame) -> ToxicityModel:
     patterns = [(len(names) + i, p) for i, p in enumerate(PATTERNS.values())]
     names += list(PATTERNS)
     fixed = len(names)
-    for m in mine(texts, y):
+    for m in mine([t for t, k in zip(texts, given, strict=True) if k], y[given]):
         by_mark.setdefault(m, []).append(len(names))
         names.append(m.decode(errors="replace"))
     model = ToxicityModel(by_mark, patterns, names)
-    if len(set(y.tolist())) < 2:
+    if len(set(y[given].tolist())) < 2:
         model.weights, model.bias, model.rates = np.r_[np.full(fixed - len(PATTERNS), 3.0), np.zeros(len(names) - fixed + len(PATTERNS))], -2.0, np.tile([0.5, 0.1, 1.0], (len(names), 1))
         return model
-    votes = np.zeros((len(texts), len(names)))
+    votes = np.zeros((len(texts), len(names)), np.float32)
     for i, t in enumerate(texts):
         votes[i, model.votes(t)] = 1
-    target, model.rates = label_model(votes, y)
+    target, model.rates, model.gold = label_model(votes, y)
     model.weights, model.bias = regress(votes, target)
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, usable: Column, key: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_rows: int = FIT_ROWS, most_bytes: int = FIT_BYTES) -> ToxicityModel:
-    """Fit on a bounded sample of the labelled rows that are ``usable``; of several labels of one key the largest counts."""
+def train(docs: DataFrame, labels: DataFrame, usable: Column, key: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_rows: int = FIT_ROWS, most_bytes: int = FIT_BYTES, free_rows: int = FREE_ROWS, free_bytes: int = FREE_BYTES) -> ToxicityModel:
+    """Fit on bounded samples of the ``usable`` rows with and without a label; of several labels of one key the largest counts."""
     known = labels.where(F.col(label_col).isNotNull()).groupBy(key).agg(F.max(label_col).cast("int").alias("label"))
     rows = docs.where(usable & F.col(text_col).isNotNull()).select(key, F.col(text_col).alias("text"))
-    n = known.count()
-    picked = known.where(F.pmod(F.xxhash64(F.col(key)), F.lit(1_000_000)) < int(min(1.0, 2 * most_rows / max(n, 1)) * 1_000_000))
-    return fit(bounded(rows.join(F.broadcast(picked), key), key, "text", most_rows, most_bytes))
+    n, least = known.agg(F.count("*"), F.min(place(key, "labels"))).first()
+    picked = known.where(place(key, "labels") < limit(2 * most_rows / max(n, 1), least)) if n > 2 * most_rows else known
+    sample = bounded(rows.join(F.broadcast(picked), key), key, "text", most_rows, most_bytes)
+    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    top = limit(min(free_rows / max(n, 1), free_bytes / max(size, 1)), None)
+    below = lambda df: df.where(place(key, "free") <= top)
+    free = below(rows).join(F.broadcast(below(known).select(key)), key, "left_anti").toPandas().sort_values(key)
+    return fit(pd.concat([sample, free.assign(label=-1)], ignore_index=True))
 
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
