@@ -7,8 +7,8 @@ hit rates under either label, and voters correlate beyond what the label explain
 fitted by expectation maximisation over labelled and unlabelled documents alike: the given
 labels are one more voter, whose hit rates are estimated as well, and which abstains where
 there is none. Correlations that are beyond chance weigh the voters down, so that copies
-of a voter count as one. The posteriors are the targets of a logistic regression over the
-votes, which gives the score.
+of a voter count as one. The posteriors of the documents with a given label are the
+targets of a logistic regression over the votes, which gives the score.
 """
 
 from __future__ import annotations
@@ -238,7 +238,8 @@ def fit(sample: pd.DataFrame) -> ToxicityModel:
     for i, t in enumerate(texts):
         votes[i, model.votes(t)] = 1
     target, model.rates, model.gold = label_model(votes, y)
-    model.weights, model.bias = regress(votes, target)
+    # posteriors without a given label are less sharp, and would only blunt the weights
+    model.weights, model.bias = regress(votes[given], target[given])
     return model
 
 
