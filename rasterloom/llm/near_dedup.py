@@ -242,14 +242,18 @@ def _links(reps: DataFrame, rows: DataFrame, words: int, threshold: int) -> Data
     for _ in range(ROUNDS):
         live = stage_table(live, "live", "snappy")
         hubs = live.groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("less"), "id", "root")).alias("hub"))
-        met = live.join(hubs, "key").where("root != hub.root").select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct()
+        hubs = stage_table(hubs.select("key", F.col("hub.id").alias("hub"), F.col("hub.root").alias("hub_root")), "hubs", "snappy")
+        if hubs.count() <= BROADCAST_IDS:
+            # so no task gets the whole of a large bucket
+            hubs = F.broadcast(hubs)
+        met = live.join(hubs, "key").where("root != hub_root").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
         near = stage_table(_estimated(met, reps), "candidates", "snappy")
         found = stage_table(_verified(near, texts, words, threshold), "links", "snappy")
         links = found if links is None else links.unionByName(found)
         last = found.isEmpty()
         if roots is None or not last:
             roots = stage_table(components(links), "roots", "snappy")
-        rest = live.join(hubs.select("key", F.col("hub.id").alias("hub")), "key").where("id != hub").drop("root", "hub")
+        rest = live.join(hubs, "key").where("id != hub").drop("root", "hub", "hub_root")
         rest = rest.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
         apart = rest.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("key")
         live = rest.join(apart, "key", "left_semi").select("key", "id", "weight", "root")
