@@ -1,8 +1,8 @@
-"""DuckDB twins of the two scans, built from the operators' own rules and templates."""
+"""DuckDB twins: of the scans, from the operators' own rules and templates; of near duplicates by all pairs that share a shingle; of the minimax cut."""
 
 from __future__ import annotations
 
-from . import license_scan, secret_scan
+from . import license_scan, near_dedup, secret_scan, sharding
 
 
 def _literal(x: str) -> str:
@@ -39,3 +39,34 @@ def licenses() -> str:
           UNION ALL SELECT doc_id, label, false, NULL, (max(n) / max(grams))::DOUBLE FROM c GROUP BY doc_id, label HAVING max(n) / max(grams) >= {license_scan.COVERAGE}),
     g AS (SELECT doc_id, count(*) FILTER (whole) AS n_base, min(start) AS first_word, max(start) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (whole) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(coverage) AS score FROM f GROUP BY doc_id)
     SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0::DOUBLE) AS score FROM d LEFT JOIN g USING (doc_id)"""
+
+
+def near_duplicates() -> str:
+    """All pairs with a common shingle, and what they reach."""
+    k = near_dedup.WORDS
+    return rf"""
+    WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+    s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) <= {k} THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - {k} + 2), lambda i: array_to_string(w[i : i + {k - 1}], ' '))) END AS s FROM d),
+    u AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM u a JOIN u b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= {near_dedup.THRESHOLD} * (any_value(a.n) + any_value(b.n) - count(*))),
+    l AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+    r AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+    SELECT doc_id, len(any_value(s))::BIGINT AS n_shingles, min(r.b) AS component_id, doc_id = min(r.b) AS kept FROM s JOIN r ON r.a = s.doc_id GROUP BY doc_id"""
+
+
+def shards(n: int) -> str:
+    """The least capacity by halving, each time with a greedy walk over the groups' prefix sums. The CRC from its table, eight steps of one bit for each byte."""
+    walk = lambda c: f"list_reduce(list_prepend(0::BIGINT, range({n})), lambda pos, k: list_max(list_filter(sums, lambda x: x <= pos + {c})))"
+    return rf"""
+    WITH RECURSIVE t AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS tab FROM range(256) r(i)),
+    d AS (SELECT doc_id, md5(coalesce(text, '')) AS key, octet_length(encode(coalesce(text, '')))::BIGINT + 1 AS size, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT) AS bytes FROM documents),
+    g AS (SELECT key, sum(size)::BIGINT AS size FROM d GROUP BY key),
+    o AS (SELECT key, (sum(size) OVER (ORDER BY key) - size)::BIGINT AS begin FROM g),
+    p AS (SELECT list_prepend(0::BIGINT, list(b ORDER BY b)) AS sums, max(b) AS total FROM (SELECT (sum(size) OVER (ORDER BY key))::BIGINT AS b FROM g)),
+    h AS (SELECT 1::BIGINT AS low, total AS high FROM p UNION ALL SELECT CASE WHEN fits THEN low ELSE mid + 1 END, CASE WHEN fits THEN mid ELSE high END FROM (SELECT low, high, (low + high) // 2 AS mid, {walk("(low + high) // 2")} = total AS fits FROM h, p WHERE low < high)),
+    c AS (SELECT low AS room FROM h WHERE low = high),
+    w AS (SELECT 1 AS k, 0::BIGINT AS pos UNION ALL SELECT k + 1, list_max(list_filter(sums, lambda x: x <= pos + room)) FROM w, p, c WHERE k < {n}),
+    s AS (SELECT key, (SELECT count(*) FROM w WHERE k > 1 AND pos <= begin AND pos < total)::INT AS shard FROM o, p),
+    b AS (SELECT least({sharding.MOST_BUCKETS}, (count(*) // {n * sharding.SLOT_ROWS} + 1) * 4) AS buckets FROM d)
+    SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32, 'bytes' AS law, shard,
+        row_number() OVER (PARTITION BY shard ORDER BY ('0x' || md5(doc_id::VARCHAR)[1:7])::BIGINT % buckets, doc_id, key) - 1 AS slot, NULL::INT AS grown_shard FROM d JOIN s USING (key), t, b"""

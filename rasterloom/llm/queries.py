@@ -83,6 +83,8 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_near_dedup": oracle.near_duplicates(),
+    "op8_sharding": oracle.shards(8),
     "op3_license_scan": oracle.licenses(),
     "op10_secret_scan": oracle.secrets(),
     "op4_exact_dedup": r"""

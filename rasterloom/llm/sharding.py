@@ -148,7 +148,9 @@ def assign(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: s
     for cut in cuts:
         shard = shard + (F.col("key") >= F.lit(cut)).cast("int")
     buckets = min(MOST_BUCKETS, (rows // (shards * SLOT_ROWS) + 1) * 4)
-    placed = sized.select("*", shard.cast("int").alias("shard"), F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int").alias("bucket"))
+    # by a hash of the id that SQL has too
+    place = F.coalesce(F.conv(F.substring(F.md5(F.col("id").cast("string").cast("binary")), 1, 7), 16, 10).cast("long"), F.lit(0))
+    placed = sized.select("*", shard.cast("int").alias("shard"), F.pmod(place, F.lit(buckets)).cast("int").alias("bucket"))
     counts = placed.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
