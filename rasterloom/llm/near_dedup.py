@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import fresh, scratch, stage_table
+from .shared import fresh, scratch, stage_table, trim
 
 WORDS = 5
 #: Similarity in hundredths.
@@ -133,6 +133,8 @@ def signatures(rows: DataFrame, words: int) -> DataFrame:
                 kept = [next(made).tobytes() if len(s) else None for s in sets]
                 names = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.binary()), pa.array(kept, pa.binary())], names=["id", "n", "whole", "sketch"])
+        del shingles
+        trim()
 
     return rows.select("id", "text").mapInArrow(run, "id bigint, n bigint, whole binary, sketch binary")
 
@@ -187,6 +189,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, threshold: int) ->
                 both = _common(one, other)
                 keep.append(100 * both >= threshold * (len(one) + len(other) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        shingles, made = None, {}
+        trim()
 
     return held.mapInArrow(run, "a bigint, b bigint")
 

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from .language_id import _SPACED
 from .sampling import bounded, limit, place
+from .shared import trim
 
 # Insults and slurs of contempt, by list.
 LEXICONS = {
@@ -287,5 +288,6 @@ def keep_clean(docs: DataFrame, model: ToxicityModel, text_col: str = "text", th
         m = model
         for whole in batches:
             yield whole.filter(pa.array([m.score(t.as_py()) < threshold for t in whole.column(columns.index(text_col))], pa.bool_()))
+        trim()
 
     return docs.mapInArrow(run, docs.schema)
