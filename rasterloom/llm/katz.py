@@ -201,6 +201,12 @@ def _part_of(h: np.ndarray, parts: int) -> np.ndarray:
     return ((h * _GOLD) >> np.uint64(33)) % np.uint64(parts)
 
 
+def _dealt(records: DataFrame, key: str, uni: Unigrams) -> DataFrame:
+    """Dealt by a key over as many tasks as the tokens need, whatever the session's default is."""
+    least = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return records.repartition(max(least, -(-uni.total // PART_TOKENS)), key).groupBy(key)
+
+
 def _by_part(where: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     """An order by partition, and where each begins in it."""
     order = np.argsort(where, kind="stable")
@@ -389,10 +395,10 @@ def _count_pairs(records: DataFrame, uni: Unigrams, parts: int) -> DataFrame:
         out.append((3, part, part, (np.diff(names, prepend=np.uint64(0)), counts.astype(np.uint32), rare_ctx, rare_word, rare_counts.astype(np.uint32), *more)))
         return pa.concat_tables([heads, pa.Table.from_batches([_records(out)])], promote_options="permissive")
 
-    return records.groupBy("part").applyInArrow(run, _RECORD)
+    return _dealt(records, "part", uni).applyInArrow(run, _RECORD)
 
 
-def _other_contexts(counted: DataFrame) -> DataFrame:
+def _other_contexts(counted: DataFrame, uni: Unigrams) -> DataFrame:
     """Kind 5, for each block and partition of contexts without a number: the places that need alpha, the context's counts of counts and -log10 of what its seen words leave."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -415,7 +421,7 @@ def _other_contexts(counted: DataFrame) -> DataFrame:
             out.append((5, part, b, (doc[i:j], low[:, which[i:j]], left[which[i:j]])))
         return pa.Table.from_batches([_records(out)])
 
-    return counted.where("kind = 4").groupBy("part").applyInArrow(run, _RECORD)
+    return _dealt(counted.where("kind = 4"), "part", uni).applyInArrow(run, _RECORD)
 
 
 def _context_sums(counted: DataFrame) -> DataFrame:
@@ -485,7 +491,7 @@ def _summed(answers: DataFrame, uni: Unigrams, alpha: np.ndarray, d: np.ndarray)
         base -= sizes * log_total
         return pa.table([pa.array(ids, pa.int64(), mask=null.astype(bool)), pa.array(train.astype(bool)), pa.array(sizes), pa.array(known), pa.array(base), pa.array(score)], names=names)
 
-    return answers.groupBy("block").applyInArrow(run, "id bigint, train boolean, n_tokens bigint, n_known bigint, base_score double, score double")
+    return _dealt(answers, "block", uni).applyInArrow(run, "id bigint, train boolean, n_tokens bigint, n_known bigint, base_score double, score double")
 
 
 def _rows(docs: DataFrame, usable: Column, id_col: str, text_col: str) -> DataFrame:
@@ -495,7 +501,7 @@ def _rows(docs: DataFrame, usable: Column, id_col: str, text_col: str) -> DataFr
 def _evaluated(counted: DataFrame, sums, uni: Unigrams, id_col: str) -> DataFrame:
     """Scores from what the partitions answered."""
     alpha, d = backoff(sums, uni)
-    out = _summed(counted.where("kind < 2").unionByName(_other_contexts(counted)), uni, alpha, d)
+    out = _summed(counted.where("kind < 2").unionByName(_other_contexts(counted, uni)), uni, alpha, d)
     return out.withColumn("train_tokens", F.lit(uni.total).cast("long")).withColumnRenamed("id", id_col)
 
 
