@@ -4,12 +4,13 @@ Groups are equal texts, ordered by their 128-bit hash. The binary search runs on
 driver over a radix tree of that order: Spark sums sizes by hash prefix (at most 65,536
 rows), the search brackets the smallest feasible capacity, and only the few prefixes in
 which a cut may fall are refined by two more hex digits, at most 256 rows for each,
-until both brackets meet. The answer is exact and the driver never holds the groups.
+until no cut can fall inside a prefix. Capacity and cuts are then those of a greedy walk
+over the groups themselves, and the driver never holds the groups.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -79,7 +80,7 @@ def _least(nodes: list[_Node], shards: int, poured: bool, low: int, high: int) -
 
 
 def plan_cuts(sized: DataFrame, shards: int) -> tuple[list[str], int]:
-    """Hash prefixes at which shards 1, 2, … start, and the smallest capacity, exactly."""
+    """Hash prefixes at which shards 1, 2, … start, each as full as whole groups allow, and the smallest capacity, exactly."""
 
     def summed(rows: DataFrame, digits: int) -> list[_Node]:
         by = rows.groupBy(F.substring("key", 1, digits).alias("prefix")).agg(F.sum("size").alias("size"), F.min("key").alias("a"), F.max("key").alias("b"))
@@ -91,10 +92,9 @@ def plan_cuts(sized: DataFrame, shards: int) -> tuple[list[str], int]:
         floor = max([-(-total // shards), 1, *(n.size for n in nodes if n.atomic)])
         low = _least(nodes, shards, True, floor, max(total, 1))
         high = _least(nodes, shards, False, low, max(total, 1))
-        cuts = _fill(nodes, high, False, shards)
-        if low == high:
-            return [nodes[i].prefix for i, _ in cuts[1:]], high
         fine = _open(nodes, low, high, shards)
+        if not fine:  # the brackets have met too, as no cut between them divides a prefix
+            return [nodes[i].prefix for i, _ in _fill(nodes, high, False, shards)[1:]], high
         had = min(len(n.prefix) for n in fine)
         these = {n.prefix for n in fine if len(n.prefix) == had}
         finer = summed(sized.where(F.substring("key", 1, had).isin(sorted(these))), min(had + 2, KEY_DIGITS))
@@ -102,7 +102,7 @@ def plan_cuts(sized: DataFrame, shards: int) -> tuple[list[str], int]:
 
 
 def _open(nodes: list[_Node], low: int, high: int, shards: int) -> list[_Node]:
-    """Prefixes of several groups in which a cut may fall for a capacity from ``low`` to ``high``."""
+    """Prefixes of several groups inside which a cut may fall for a capacity from ``low`` to ``high``."""
     ends, at = [], 0
     for n in nodes:
         at += n.size
@@ -112,13 +112,11 @@ def _open(nodes: list[_Node], low: int, high: int, shards: int) -> list[_Node]:
     last += [at] * (shards - len(last))
     wanted: dict[str, _Node] = {}
     for a, b in zip(first, last, strict=False):
-        i = bisect_left(ends, min(a, b))
-        while i < len(nodes) and ends[i] - nodes[i].size <= max(a, b):
+        i = bisect_right(ends, a)
+        while i < len(nodes) and ends[i] - nodes[i].size < b:
             if not nodes[i].atomic:
                 wanted[nodes[i].prefix] = nodes[i]
             i += 1
-    if not wanted:
-        wanted = {n.prefix: n for n in sorted((n for n in nodes if not n.atomic), key=lambda n: -n.size)[:shards]}
     return list(wanted.values())
 
 
@@ -139,7 +137,8 @@ def assign(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: s
 
     Equal texts share a shard; the largest shard is as small as any contiguous cut of
     the ordered groups allows. Null texts count as empty. Fewer groups than shards leave
-    shards empty; an empty table gives no rows. Rows that repeat an id each get a slot.
+    shards empty; an empty table gives no rows. Rows that repeat an id each get a slot,
+    and rows without one the last slots of their shard.
     """
     sized = stage_table(digest(docs, id_col, text_col), "sizes")
     rows = sized.count()
@@ -148,12 +147,12 @@ def assign(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: s
     for cut in cuts:
         shard = shard + (F.col("key") >= F.lit(cut)).cast("int")
     buckets = min(MOST_BUCKETS, (rows // (shards * SLOT_ROWS) + 1) * 4)
-    # by a hash of the id that SQL has too
-    place = F.coalesce(F.conv(F.substring(F.md5(F.col("id").cast("string").cast("binary")), 1, 7), 16, 10).cast("long"), F.lit(0))
-    placed = sized.select("*", shard.cast("int").alias("shard"), F.pmod(place, F.lit(buckets)).cast("int").alias("bucket"))
+    # by a hash of the id that SQL has too, where nulls come last
+    place = F.conv(F.substring(F.md5(F.col("id").cast("string").cast("binary")), 1, 7), 16, 10).cast("long")
+    placed = sized.select("*", shard.cast("int").alias("shard"), F.coalesce(F.pmod(place, F.lit(buckets)).cast("int"), F.lit(buckets)).alias("bucket"))
     counts = placed.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     inner = Window.partitionBy("shard", "bucket").orderBy("id", "key")
-    out = placed.withColumn("at", F.row_number().over(inner)).join(F.broadcast(offsets) if shards * buckets <= MOST_OFFSETS else offsets, ["shard", "bucket"])
+    out = placed.withColumn("at", F.row_number().over(inner)).join(F.broadcast(offsets) if shards * (buckets + 1) <= MOST_OFFSETS else offsets, ["shard", "bucket"])
     return out.select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), "shard", (F.col("first") + F.col("at") - 1).cast("long").alias("slot"))

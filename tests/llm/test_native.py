@@ -87,6 +87,29 @@ def test_refinement_against_brute(spark):
             assert sharding.plan_cuts(sized, shards)[1] == least_capacity([s for _, s in sorted(rows)], shards)
 
 
+def test_cuts_fill_each_shard(spark):
+    """A group goes on into a shard with room for it, though its hash begins like that of the next, which has none."""
+    rows = [(begin.ljust(32, "0"), size) for begin, size in (("00000", 5), ("00010", 2), ("0001f", 6), ("00020", 10))]
+    cuts, room = sharding.plan_cuts(spark.createDataFrame(rows, "key string, size bigint"), 3)
+    assert room == 10 and [sum(k >= c for c in cuts) for k, _ in rows] == [0, 0, 1, 2]
+
+
+@pytest.mark.parametrize("case", ["larger", "null ids"])
+def test_sharding_equals_sql(spark, tmp_path, case):
+    """Where hashes begin alike, and where ids are null."""
+    path = "/root/testdata/sf0.01"
+    if case == "null ids":
+        path = str(tmp_path)
+        rows = [(None if i % 7 == 0 else i, None if i == 3 else f"text {i // 2}") for i in range(100)]
+        spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1).write.parquet(f"{path}/documents.parquet")
+    df = queries.op8_sharding(spark, path)
+    columns = sorted(df.columns)
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{path}/documents.parquet{'/*.parquet' if case == 'null ids' else ''}'")
+    told = c.sql(f"SELECT {', '.join(columns)} FROM ({queries.ORACLE_SQL['op8_sharding']})").fetchall()
+    assert sorted(map(tuple, df.select(*columns).collect()), key=str) == sorted(told, key=str)
+
+
 LICENSE_TEXTS = {
     1: "Licensed CC-BY and cc by; CC.BY: all rights  reserved.",
     2: "GNU General Public License, general public",
