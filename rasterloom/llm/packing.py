@@ -25,19 +25,21 @@ from .tokens import Encoder, default_path
 
 LENGTH = 4096
 END = 2
-#: Texts encoded at once, and the bytes after which a batch is cut short.
+#: Texts encoded at once, and the bytes after which a batch is cut short: the more at once, the fewer words come again.
+TEXT_ROWS, TEXT_BYTES = 16_384, 8_000_000
+#: The same for rows of ids that are cut.
 BATCH_ROWS, BATCH_BYTES = 256, 2_000_000
 #: Most partitions (one offset each) that are broadcast; beyond it the join shuffles.
 MOST_PARTS = 500_000
 
 
-def _slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, column: str, rows: int = BATCH_ROWS, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with bounded text."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     at = held = 0
     for i, size in enumerate(sizes):
         held += size
-        if i - at + 1 >= BATCH_ROWS or held >= BATCH_BYTES:
+        if i - at + 1 >= rows or held >= most:
             yield batch.slice(at, i + 1 - at)
             at, held = i + 1, 0
     if at < batch.num_rows:
@@ -54,7 +56,7 @@ def tokenize(docs: DataFrame, id_col: str, text_col: str, path: str | None, end:
         tail = b"" if end is None else np.array([end], encoder.dtype).tobytes()
         width, part, before = np.dtype(encoder.dtype).itemsize, TaskContext.get().partitionId(), 0
         for whole in batches:
-            for batch in _slices(whole, "text"):
+            for batch in _slices(whole, "text", TEXT_ROWS, TEXT_BYTES):
                 ids = [x + tail for x in encoder.encode(batch.column("text").to_pylist())]
                 n = np.array([len(x) // width for x in ids], "i8")
                 at = before + np.cumsum(n) - n

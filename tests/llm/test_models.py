@@ -2,6 +2,7 @@ import math
 import random
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -398,6 +399,20 @@ def test_encoder_on_any_text(encoder, text):
     assert _ids(encoder.encode([text])[0]) == encoder.full.encode(text, add_special_tokens=False).ids
 
 
+def test_words_go_through_the_model_once_a_batch(encoder, monkeypatch):
+    seen, words = Counter(), ["Garden", "fenêtre", "ÉCOLE", "straße"]
+    bare = encoder.bare
+    monkeypatch.setattr(encoder, "bare", SimpleNamespace(encode_batch_fast=lambda lines, **k: seen.update(p for x in lines for p in x.split(" ")) or bare.encode_batch_fast(lines, **k)))
+    texts = [f" {w}{s} {w.lower() if w.isascii() else w}{s}\n{w}" for w in words for s in ("", ",", ".", "'", "?!", '."', "_", ")|")] * 3
+    assert [_ids(x) for x in encoder.encode(texts)] == [e.ids for e in encoder.full.encode_batch(texts, add_special_tokens=False)]
+    assert len(seen) >= len(words) and max(seen.values()) == 1
+
+
+@pytest.mark.parametrize("texts", [[], [""], [None, " \n"], ["word"], ["..."], ["12"], ["a\x00", "\x00"], ["a<|", "<|endoftext|>", "b<|endoftext|>, <|ENDOFTEXT|>"], ["ÉCOLE's a' a'' a's' H̱ ẖ. ª º. µ, ×. a÷ c÷.", None, " x "]])
+def test_encoder_on_odd_batches(encoder, texts):
+    assert [_ids(x) for x in encoder.encode(texts)] == [encoder.full.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 @pytest.mark.parametrize("length", [16, 4096])
 def test_packing(table, corpus, encoder, length):
     docs = table(corpus).repartition(5)
