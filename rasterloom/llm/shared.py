@@ -16,16 +16,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
 _made: dict[str, list[str]] = {}
+#: The folder of each application that has none set; a session's checkpoint folder can't be set once it runs.
+_own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``; where it is unset in local mode (tests), a temporary folder."""
     path = spark.conf.get(_KEY, None)
     if not path:
-        if not spark.sparkContext.master.startswith("local"):
+        master, key = spark.sparkContext.master, spark.sparkContext.applicationId
+        if master != "local" and not master.startswith("local["):
             raise ValueError(f"set {_KEY} to a folder that all executors see")
-        path = "file://" + tempfile.mkdtemp(prefix="rasterloom-")
-        spark.conf.set(_KEY, path)
+        path = _own[key] if key in _own else _own.setdefault(key, "file://" + tempfile.mkdtemp(prefix="rasterloom-"))
     return path.rstrip("/")
 
 
