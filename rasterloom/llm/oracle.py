@@ -1,8 +1,8 @@
-"""DuckDB twins: of the scans, from the operators' own rules and templates; of near duplicates by all pairs that share a shingle; of the minimax cut."""
+"""DuckDB twins: of the scans, from the operators' own rules and templates; of near duplicates by all pairs that share a shingle; of the minimax cut; of clusters by every distance in every round; of spelling variants by words with a code point left out."""
 
 from __future__ import annotations
 
-from . import license_scan, near_dedup, secret_scan, sharding
+from . import centroids, license_scan, near_dedup, secret_scan, sharding, spelling
 
 
 def _literal(x: str) -> str:
@@ -70,3 +70,39 @@ def shards(n: int) -> str:
     b AS (SELECT least({sharding.MOST_BUCKETS}, (count(*) // {n * sharding.SLOT_ROWS} + 1) * 4) AS buckets FROM d)
     SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32, 'bytes' AS law, shard,
         row_number() OVER (PARTITION BY shard ORDER BY ('0x' || md5(doc_id::VARCHAR)[1:7])::BIGINT % buckets, doc_id, key) - 1 AS slot, NULL::INT AS grown_shard FROM d JOIN s USING (key), t, b"""
+
+
+def clusters() -> str:
+    """Each round as a table of all distances, and one of means."""
+    n, k, rounds = centroids.DIMENSIONS, centroids.CENTROIDS, centroids.ROUNDS
+    step = lambda i: rf"""
+    a{i} AS MATERIALIZED (SELECT r, min(struct_pack(d := list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, k := k)) AS m FROM q, c{i} GROUP BY r)"""
+    move = lambda i: rf""",
+    s{i} AS (SELECT m.k AS k, i, sum(v[i])::HUGEINT AS s, count(*) AS n FROM a{i} JOIN q USING (r), range(1, {n} + 1) t(i) GROUP BY ALL),
+    c{i + 1} AS MATERIALIZED (SELECT k, coalesce(m, c) AS c FROM c{i} LEFT JOIN (SELECT k, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS m FROM s{i} GROUP BY k) USING (k)),"""
+    return rf"""
+    WITH q AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor({centroids.SCALE} * x::DOUBLE)::BIGINT) AS v FROM embeddings
+        WHERE len(embedding) = {n} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {n}),
+    c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{centroids.SEED}:' || vec_id) NULLS LAST, v) - 1 AS k, v AS c FROM q QUALIFY k < {k}),{"".join(step(i) + move(i) for i in range(rounds))}{step(rounds)}
+    SELECT vec_id, m.k::INT AS cluster, m.d AS distance, (sum(m.d) OVER (PARTITION BY m.k))::BIGINT AS cluster_inertia, (sum(m.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+    FROM q JOIN a{rounds} USING (r) JOIN c{rounds} ON c{rounds}.k = m.k"""
+
+
+def variants() -> str:
+    """Two words are near if leaving out one place makes them equal, or makes one the other."""
+    run = "translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"""
+    WITH RECURSIVE t AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS tab FROM range(256) r(i)),
+    e AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(text, '{spelling.PATTERN}')) AS x FROM documents),
+    r AS (SELECT id, {run} AS run, count(*) AS n FROM e GROUP BY ALL),
+    b AS (SELECT run, n, list_transform(regexp_extract_all(hex(encode(id || ':' || run)), '..'), lambda z: ('0x' || z)::BIGINT) AS bytes FROM r),
+    h AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, z: xor(c >> 8, tab[(xor(c, z) & 255) + 1])), 4294967295) AS h FROM b, t),
+    w AS (SELECT CASE WHEN h % {spelling.SLIP} = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n FROM h),
+    v AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM w WHERE length(word) >= {spelling.LEAST_LENGTH} GROUP BY word HAVING sum(n) >= {spelling.LEAST_COUNT}),
+    d AS MATERIALIZED (SELECT word, n, i, left(word, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word)))::INT AS i FROM v)),
+    p AS (SELECT a.word AS word, a.n AS n, b.word AS other, b.n AS m FROM d a JOIN d b USING (i, rest) WHERE a.word <> b.word
+          UNION ALL SELECT DISTINCT d.word, d.n, v.word, v.n FROM d JOIN v ON rest = v.word UNION ALL SELECT DISTINCT v.word, v.n, d.word, d.n FROM d JOIN v ON rest = v.word),
+    g AS (SELECT word, count(*) AS n_near, min((-m, other)) AS best FROM p GROUP BY word),
+    f AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -best[1] >= {spelling.RATIO} * n THEN best[2] END AS form, CASE WHEN -best[1] >= {spelling.RATIO} * n THEN -best[1] END AS form_n FROM v LEFT JOIN g USING (word)),
+    c AS (SELECT word, word AS dest FROM f UNION ALL SELECT c.word, form FROM c JOIN f ON dest = f.word WHERE form IS NOT NULL)
+    SELECT f.word, f.form, dest AS root, f.n, f.n_near, f.form_n FROM f JOIN c USING (word) JOIN f l ON l.word = dest WHERE l.form IS NULL"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, katz, language_id, license_scan, near_dedup, oracle, packing, secret_scan, sharding, toxicity
+from . import bpe, centroids, decontaminate, exact_dedup, katz, language_id, license_scan, near_dedup, oracle, packing, secret_scan, sharding, spelling, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -69,6 +69,21 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned.select("doc_id", *[count(k).alias(f"n_{k}") for k in ("assign", "access", "hex")], F.sha2(told(base), 256).alias("base_sha256"), told(F.col("found")).alias("spans"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.cluster(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", centroids.digest().alias("centroid_sha256"))
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents")))
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return coded.select("doc_id", "n_tokens", F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_language_id": op2_language_id,
@@ -80,6 +95,9 @@ QUERIES: dict[str, Query] = {
     "op8_sharding": op8_sharding,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_secret_scan": op10_secret_scan,
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_bpe": op12_bpe,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -87,6 +105,8 @@ ORACLE_SQL: dict[str, str] = {
     "op8_sharding": oracle.shards(8),
     "op3_license_scan": oracle.licenses(),
     "op10_secret_scan": oracle.secrets(),
+    "op11_centroid_clustering": oracle.clusters(),
+    "op13_spelling_variants": oracle.variants(),
     "op4_exact_dedup": r"""
         WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS points, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents)
         SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size, doc_id = first_value(doc_id) OVER w AS kept, text_sha256
