@@ -86,15 +86,3 @@ def crc32_shift(crc: int, length: int) -> int:
 def crc32_combine(first: int, second: int, second_length: int) -> int:
     """The CRC of two parts one after the other."""
     return crc32_shift(first, second_length) ^ second
-
-
-def crc32_combine_column(first: Column, second: Column, second_length: Column) -> Column:
-    """The same for columns, in Arrow batches; null where any of them is."""
-    return _crc32_combine(first.cast("long"), second.cast("long"), second_length.cast("long"))
-
-
-@F.pandas_udf(T.LongType())
-def _crc32_combine(first: pd.Series, second: pd.Series, length: pd.Series) -> pd.Series:
-    rows = pd.DataFrame({"a": first, "b": second, "n": length}).astype("Int64")
-    known = rows.dropna()
-    return pd.Series([crc32_combine(*map(int, r)) for r in known.itertuples(index=False)], known.index, "Int64").reindex(rows.index)
