@@ -78,3 +78,23 @@ def palette_join(pixels: DataFrame, palette: DataFrame, index: str = "v") -> Dat
         raise ValueError(f"a palette has {MOST_ENTRIES} entries at most")
     joined = pixels.join(F.broadcast(palette), pixels[index] == palette["idx"], "left")
     return joined.select(pixels["*"], *[F.coalesce(palette[c], F.lit(0)).alias(c) for c in ("r", "g", "b")])
+
+
+def look_up(lines: DataFrame, palettes: DataFrame, values: str = "values", salts: int = 1) -> DataFrame:
+    """Lines of palette indices (img_id, y, ``values``) with ``colours`` and ``missing`` (how many indices their palette lacks), by the palette of their own image.
+
+    ``palettes`` (img_id, cmap) holds one row an image and is joined on img_id like any
+    table, so palettes of all images together may be of any size. An index that the palette
+    lacks gives black, as does every index of an image without one. ``salts`` deals the
+    lines of an image, and copies of its palette, over so many tasks.
+    """
+    if salts > 1:
+        lines = lines.withColumn("__salt", F.pmod(F.col("y"), F.lit(salts)))
+        palettes = palettes.select("img_id", "cmap", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__salt"))
+    on = ["img_id", "__salt"] if salts > 1 else ["img_id"]
+    joined = lines.join(palettes.select(*on, F.col("cmap").alias("__cmap")), on, "left")
+    black = F.struct(*[F.lit(0).cast("short").alias(c) for c in ("r", "g", "b")])
+    found = lambda v: F.coalesce(F.when(v >= 0, F.get("__cmap", v.cast("int"))), black)
+    lacks = lambda v: (v < 0) | (v >= F.coalesce(F.size("__cmap"), F.lit(0)))
+    out = joined.withColumn("colours", F.transform(values, found)).withColumn("missing", F.size(F.filter(values, lacks)))
+    return out.select(*[c for c in lines.columns if c != "__salt"], "colours", "missing")
