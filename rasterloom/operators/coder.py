@@ -86,55 +86,79 @@ class Output:
         return c & ((1 << shift) - 1), 7 if stuffed else 8
 
 
-def encode(contexts: np.ndarray, bits: np.ndarray) -> bytes:
-    """Code ``bits`` under their ``contexts``; all contexts start in state 0 with 0 likely. Ends in ff ac."""
-    state = [0] * (1 << 16)
-    qes, likely, unlikely, out = _QE, _LIKELY, _UNLIKELY, Output()
-    a, c, room = 0x8000, 0, 12
-    for ctx, bit in zip(contexts.tolist(), bits.tolist(), strict=True):
-        s = state[ctx]
-        qe = qes[s]
-        a -= qe
-        if bit == s & 1:
-            if a & 0x8000:
-                c += qe
-                continue
-            if a < qe:
-                a = qe
-            else:
-                c += qe
-            state[ctx] = likely[s]
-        else:
-            if a < qe:
-                c += qe
+class Coder:
+    """Codes an image piece by piece; all contexts start in state 0 with 0 likely."""
+
+    def __init__(self):
+        self.state, self.out = [0] * (1 << 16), Output()
+        self.a, self.c, self.room = 0x8000, 0, 12
+
+    def feed(self, contexts: np.ndarray, bits: np.ndarray) -> None:
+        """Code ``bits`` under their ``contexts``."""
+        state, out, a, c, room = self.state, self.out, self.a, self.c, self.room
+        qes, likely, unlikely = _QE, _LIKELY, _UNLIKELY
+        for ctx, bit in zip(contexts.tolist(), bits.tolist(), strict=True):
+            s = state[ctx]
+            qe = qes[s]
+            a -= qe
+            if bit == s & 1:
+                if a & 0x8000:
+                    c += qe
+                    continue
+                if a < qe:
+                    a = qe
+                else:
+                    c += qe
+                state[ctx] = likely[s]
             else:
-                a = qe
-            state[ctx] = unlikely[s]
-        shifts = 16 - a.bit_length()
-        a <<= shifts
-        while shifts >= room:
-            c <<= room
-            shifts -= room
-            c, room = out.push(c)
-        c <<= shifts
-        room -= shifts
-    top = c + a
-    c |= 0xFFFF
-    if c >= top:
-        c -= 0x8000
-    for _ in range(2):
-        c, room = out.push(c << room)
-    tail = b"\xac" if out.last == 0xFF else b"\xff\xac"
-    return bytes(out.done) + bytes([out.last]) + tail
-
-
-def symbols(bits: np.ndarray, typical: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Contexts and bits in coding order; with ``typical``, a decision before each line, and repeated lines left out."""
-    ctx = kernels.contexts(bits)
+                if a < qe:
+                    c += qe
+                else:
+                    a = qe
+                state[ctx] = unlikely[s]
+            shifts = 16 - a.bit_length()
+            a <<= shifts
+            while shifts >= room:
+                c <<= room
+                shifts -= room
+                c, room = out.push(c)
+            c <<= shifts
+            room -= shifts
+        self.a, self.c, self.room = a, c, room
+
+    def finish(self) -> bytes:
+        """The code, which ends in ff ac."""
+        out, c, room = self.out, self.c, self.room
+        top = c + self.a
+        c |= 0xFFFF
+        if c >= top:
+            c -= 0x8000
+        for _ in range(2):
+            c, room = out.push(c << room)
+        tail = b"\xac" if out.last == 0xFF else b"\xff\xac"
+        return bytes(out.done) + bytes([out.last]) + tail
+
+
+def encode(contexts: np.ndarray, bits: np.ndarray) -> bytes:
+    """The code of a whole image's ``bits`` under their ``contexts``."""
+    coder = Coder()
+    coder.feed(contexts, bits)
+    return coder.finish()
+
+
+def symbols(bits: np.ndarray, typical: bool = False, above: np.ndarray | None = None, repeated: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts and bits in coding order; with ``typical``, a decision before each line, and repeated lines left out.
+
+    ``above`` are the lines before these, two at most, and ``repeated`` whether the last of
+    them repeats the one before it.
+    """
+    n = 0 if above is None else len(above)
+    whole = bits if not n else np.concatenate((above, bits))
+    ctx = kernels.contexts(whole)[n:]
     if not typical:
         return ctx.ravel(), bits.ravel()
-    same = kernels.typical(bits)
-    change = same ^ np.concatenate((np.zeros(1, np.uint8), same[:-1]))
+    same = kernels.typical(whole)[n:]
+    change = same ^ np.concatenate((np.array([repeated], np.uint8), same[:-1]))
     ctx = np.column_stack((np.full(len(bits), TYPICAL, np.uint16), ctx))
     coded = np.column_stack((change, bits))
     keep = np.ones(coded.shape, bool)

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas
-from ..operators import container
+from ..operators import container, strips
 from ..operators.binarize import Options, binarize
-from ..sources.images import decode, decode_images, from_row, map_rows, read_files, to_row
+from ..sources.images import decode_images, from_row, map_rows, read_files, readable, to_row
 from ..sources.pnm import ImageError
 
 ENCODED = T.StructType(
@@ -70,7 +70,7 @@ def spread(files: DataFrame, parts: int) -> DataFrame:
 
 
 def convert(spark: SparkSession, path: str | list[str], options: Options = Options(), glob: str | None = None, parts: int | None = None) -> DataFrame:
-    """Read, decode, binarize and encode in one Python stage, so rasters never leave the worker."""
+    """Read, decode, binarize and encode in one Python stage, a few lines at a time: no raster leaves the worker or is held whole there."""
     options.check()
     files = read_files(spark, path, glob)
     if parts:
@@ -83,7 +83,9 @@ def convert_files(files: DataFrame, options: Options = Options()) -> DataFrame:
 
     def make(row: dict) -> dict:
         try:
-            return _encoded(row["path"], binarize(decode(row["content"], options.compat), options), options)
+            readable(row["content"])
+            page = strips.encode_file(row["content"], options)
+            return {"img_id": row["path"], **vars(page), "error": None}
         except ImageError as e:
             return _failed(row["path"], e)
 

@@ -36,16 +36,19 @@ def stream_files(spark: SparkSession, path: str, glob: str | None = None) -> Dat
     return files.withColumn("format", sniff(F.col("content"), F.col("length")))
 
 
-def decode(data: bytes | None, compat: bool = False) -> Raster:
-    """Decode a PNG or PNM file by its first bytes."""
+def readable(data: bytes | None) -> str:
+    """Whether a file is ``png`` or ``pnm`` by its first bytes; others can't be read."""
     if data is None:
         raise ImageError("no file", schemas.MISSING)
     kind = sniff_bytes(data)
-    if kind == "png":
-        return png.decode(data, compat)
-    if kind == "pnm":
-        return pnm.decode(data, compat)
-    raise ImageError(f"{kind} files can't be read" if kind else "unknown format", schemas.READ if kind else schemas.FORMAT)
+    if kind not in ("png", "pnm"):
+        raise ImageError(f"{kind} files can't be read" if kind else "unknown format", schemas.READ if kind else schemas.FORMAT)
+    return kind
+
+
+def decode(data: bytes | None, compat: bool = False) -> Raster:
+    """Decode a PNG or PNM file."""
+    return (png if readable(data) == "png" else pnm).decode(data, compat)
 
 
 def to_row(img_id: str | None, r: Raster | None, error: ImageError | None = None) -> dict:

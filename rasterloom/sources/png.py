@@ -151,66 +151,85 @@ def _text(name: bytes, body: bytes) -> str | None:
         return None
 
 
-def decode(data: bytes, compat: bool = False) -> Raster:
-    """Decode one file: gray as it is (16 bits to 8), colour to r, g, b, alpha dropped, palette kept.
-
-    A bilevel image without palette is inverted, so 1 is black. Where it has a palette the
-    indices are kept; ``compat`` inverts them if the first entry has no blue.
-    """
-    warnings: list[str] = []
-    head = palette = text = None
-    body, xres, yres, ended, closed = bytearray(), 0, 0, False, False
-    for name, part in chunks(data, warnings):
-        if head is None and name != b"IHDR":
+class File:
+    """What the chunks of a file say, taken one after the other."""
+
+    def __init__(self):
+        self.head = self.palette = self.text = None
+        self.xres = self.yres = 0
+        self.begun = self.closed = False
+        self.warnings: list[str] = []
+
+    def take(self, name: bytes, part: bytes) -> bytes:
+        """Read one chunk; what it holds of the image data."""
+        data = b""
+        if self.head is None and name != b"IHDR":
             raise ImageError("PNG doesn't begin with its header")
         if name == b"IHDR":
-            if head is not None:
+            if self.head is not None:
                 raise ImageError("PNG has a second header")
-            head = check_header(part)
+            self.head = check_header(part)
         elif name == b"PLTE":
-            if palette is not None:
-                raise ImageError("PNG has two palettes")
-            if head[3] in (0, 4):
-                warnings.append("palette of a gray image not used")
-            elif body:
-                warnings.append("palette behind the image data not used")
-            elif len(part) % 3 or len(part) > 768:
-                if head[3] == 3:
-                    raise ImageError("PNG palette of a wrong size")
-                warnings.append("palette of a wrong size not used")
-            else:
-                palette = np.frombuffer(part, np.uint8).reshape(-1, 3)
+            self._palette(part)
         elif name == b"IDAT":
-            if head[3] == 3 and palette is None:
+            if self.head[3] == 3 and self.palette is None:
                 raise ImageError("indexed PNG without a palette")
-            if closed:
-                warnings.append("image data behind other chunks not used")
+            if self.closed:
+                self.warnings.append("image data behind other chunks not used")
             else:
-                body += part
+                data = part
         elif name == b"pHYs" and len(part) == 9:
             x, y, unit = struct.unpack(">IIB", part)
-            xres, yres = (to_ppi(x), to_ppi(y)) if unit == 1 else (0, 0)
+            self.xres, self.yres = (to_ppi(x), to_ppi(y)) if unit == 1 else (0, 0)
         elif name in (b"tEXt", b"zTXt", b"iTXt"):
-            text = _text(name, part) if text is None else text
+            self.text = _text(name, part) if self.text is None else self.text
         elif name != b"IEND" and name[0] & 32 == 0:
             raise ImageError(f"unknown critical chunk {name.decode('latin-1')}")
-        closed = closed or bool(body) and name != b"IDAT"
-        ended = ended or name == b"IEND"
-    if head is None or not body:
+        self.begun = self.begun or bool(data)
+        self.closed = self.closed or self.begun and name != b"IDAT"
+        return data
+
+    def _palette(self, part: bytes) -> None:
+        if self.palette is not None:
+            raise ImageError("PNG has two palettes")
+        if self.head[3] in (0, 4):
+            self.warnings.append("palette of a gray image not used")
+        elif self.begun:
+            self.warnings.append("palette behind the image data not used")
+        elif len(part) % 3 or len(part) > 768:
+            if self.head[3] == 3:
+                raise ImageError("PNG palette of a wrong size")
+            self.warnings.append("palette of a wrong size not used")
+        else:
+            self.palette = np.frombuffer(part, np.uint8).reshape(-1, 3)
+
+    def raster(self, samples: np.ndarray, compat: bool = False) -> Raster:
+        """The raster of all samples, or of some lines of them."""
+        _, _, depth, colour, _ = self.head
+        if colour in (2, 6):
+            return Raster(np.ascontiguousarray(samples[..., :3]), 32, "png", self.xres, self.yres, self.text, None, self.warnings)
+        d, one = min(depth, 8), samples[..., 0]
+        cmap = self.palette[: 1 << depth] if colour == 3 else None
+        if d == 1 and (cmap is None or compat and len(cmap) and cmap[0, 2] == 0):
+            one = one ^ 1
+        return Raster(np.ascontiguousarray(one), d, "png", self.xres, self.yres, self.text, cmap, self.warnings)
+
+
+def decode(data: bytes, compat: bool = False) -> Raster:
+    """Decode one file: gray as it is (16 bits to 8), colour to r, g, b, alpha dropped, palette kept.
+
+    A bilevel image without palette is inverted, so 1 is black. Where it has a palette the
+    indices are kept; ``compat`` inverts them if the first entry has no blue.
+    """
+    file, body = File(), bytearray()
+    for name, part in chunks(data, file.warnings):
+        body += file.take(name, part)
+    if file.head is None or not body:
         raise ImageError("PNG without image data")
-    w, h, depth, colour, interlace = head
+    w, h, depth, colour, interlace = file.head
     try:
         # one byte more than needed tells that there is more, without inflating it
         raw = zlib.decompressobj().decompress(bytes(body), raw_size(w, h, depth * CHANNELS[colour], interlace) + 1)
     except zlib.error as e:
         raise ImageError(f"PNG image data: {e}") from e
-    out = pixels_of(raw, w, h, depth, colour, interlace, warnings)
-    if colour in (2, 6):
-        return Raster(np.ascontiguousarray(out[..., :3]), 32, "png", xres, yres, text, None, warnings)
-    d, one = min(depth, 8), out[..., 0]
-    cmap = None
-    if colour == 3:
-        cmap = palette[: 1 << depth]
-    if d == 1 and (cmap is None or compat and len(cmap) and cmap[0, 2] == 0):
-        one = one ^ 1
-    return Raster(np.ascontiguousarray(one), d, "png", xres, yres, text, cmap, warnings)
+    return file.raster(pixels_of(raw, w, h, depth, colour, interlace, file.warnings), compat)

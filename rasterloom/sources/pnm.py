@@ -63,7 +63,10 @@ def header(data: bytes, compat: bool = False) -> tuple[int, int, int, int, int,
         n = _NUMBER.match(data, at)
         if not n:
             raise ImageError("PNM header without its numbers")
-        numbers.append(int(n[1]))
+        digits = n[1].lstrip(b"0")
+        if len(digits) > 9:
+            raise ImageError(f"PNM header has a number of {len(digits)} digits")
+        numbers.append(int(digits or b"0"))
         at = n.end()
     w, h = numbers[:2]
     if not (0 < w <= MOST and 0 < h <= MOST):
@@ -85,13 +88,18 @@ def header(data: bytes, compat: bool = False) -> tuple[int, int, int, int, int,
 def decode(data: bytes, compat: bool = False) -> Raster:
     """Decode one file. ``compat`` keeps a truncated raster, filled with 0, and reads 16-bit samples little-endian."""
     kind, w, h, d, at, warnings = header(data, compat)
+    return raster(memoryview(data)[at:], kind, w, h, d, compat, warnings)
+
+
+def raster(body: memoryview, kind: int, w: int, h: int, d: int, compat: bool, warnings: list[str]) -> Raster:
+    """The raster of what follows a header."""
     per = 3 if d == 32 else 1
     if kind <= 3:
-        flat = _ascii(data[at:], kind, w * h * per)
-    elif kind == 4:
-        flat = np.frombuffer(data, np.uint8, offset=min(at, len(data)))
+        flat = _ascii(bytes(body), kind, w * h * per, 65535 if d == 16 else 255 if d == 32 else (1 << d) - 1, compat, warnings)
+    elif d == 16:
+        flat = np.frombuffer(body[: len(body) // 2 * 2], "<u2" if compat else ">u2")
     else:
-        flat = np.frombuffer(data[at : at + (len(data) - at) // 2 * 2] if d == 16 else data[at:], ("<u2" if compat else ">u2") if d == 16 else np.uint8)
+        flat = np.frombuffer(body, np.uint8)
     want = h * -(-w // 8) if kind == 4 else w * h * per
     if len(flat) < want:
         if not compat:
@@ -108,16 +116,23 @@ def decode(data: bytes, compat: bool = False) -> Raster:
     return Raster(np.ascontiguousarray(pixels), d, "pnm", warnings=warnings)
 
 
-def _ascii(body: bytes, kind: int, want: int) -> np.ndarray:
-    """Samples written as numbers; the digits of P1 may also stand together."""
+def _ascii(body: bytes, kind: int, want: int, most: int, compat: bool, warnings: list[str]) -> np.ndarray:
+    """Samples written as numbers; the digits of P1 may also stand together.
+
+    What is no number, or one above the greatest value, is an error; ``compat`` reads the
+    former as 0, so in P1 what isn't 1, and keeps the low bits of the latter.
+    """
     if kind == 1:
-        values = [48 <= c <= 49 and c - 48 for c in body if c not in b" \t\r\n\v\f"]
-        return np.array(values[:want], np.uint8)
-    found = []
-    for token in body.split():
-        if not token.isdigit():
-            break
-        found.append(int(token))
-        if len(found) == want:
-            break
-    return np.array(found, np.uint16).astype(np.uint16 if kind == 2 and max(found, default=0) > 255 else np.uint8)
+        found = [bytes([c]) for c in body if c not in b" \t\r\n\v\f"][:want]
+    else:
+        found = body.split(None, want)[:want]
+    values, odd = [], 0
+    for token in found:
+        right = token.isdigit() and len(token) < 4300 and int(token) <= most
+        if not right and not compat:
+            raise ImageError(f"PNM sample {token[:12].decode('latin-1')!r} isn't a number up to {most}")
+        odd += not right
+        values.append(int(token) if right else int(token[-4300:]) & most if token.isdigit() and kind > 1 else 0)
+    if odd:
+        warnings.append(f"{odd} PNM samples aren't numbers up to {most}")
+    return np.array(values, np.uint16 if most > 255 else np.uint8)
