@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import checksums, colour, metadata
+from ..functions import parts as parts_of
 from ..operators import coder, container, kernels, pixels
 from ..sources import png
 from ..sources.images import decode_images
@@ -257,7 +258,7 @@ def crc32_combine(spark, sf):
     data = F.encode("text", "utf-8")
     half = F.floor(F.octet_length(data) / 3).cast("int")
     parts = _table(spark, sf, "documents").select("doc_id", F.substring(data, F.lit(1), half).alias("one"), F.substring(data, half + 1, F.octet_length(data)).alias("two"))
-    return parts.select("doc_id", checksums.crc32_combine_column(F.crc32("one"), F.crc32("two"), F.octet_length("two")).alias("crc"))
+    return parts.select("doc_id", parts_of.crc32_combine(F.crc32("one"), F.crc32("two"), F.octet_length("two")).alias("crc"))
 
 
 def _chunk(name: bytes, body: bytes) -> bytes:
@@ -348,20 +349,27 @@ def palette_bits(spark, sf):
     return told[0].join(told[1], ["img_id", "y"])
 
 
+def _palette_of(gray: np.ndarray) -> bytes:
+    """A PNG of one pixel whose palette, of one to four entries, is made of the image's first numbers."""
+    v = gray.ravel()
+    head = struct.pack(">IIBBBBB", 1, 1, 2, 3, 0, 0, 0)
+    return png.SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"PLTE", v[: 3 * (int(v[12]) % 4 + 1)].tobytes()) + _chunk(b"IDAT", zlib.compress(b"\0\0")) + _chunk(b"IEND", b"")
+
+
 def palette_entries(spark, sf):
     """Size, second entry, first channel and growth of the palettes that files carry."""
     cmap = F.col("cmap")
     grown = colour.add(colour.add(cmap, 1, 2, 3, 2), 4, 5, 6, 2)
-    return decode_images(_files(spark, sf, _palette_png)).select(
+    return decode_images(_files(spark, sf, lambda i, gray: _palette_of(gray))).select(
         F.col("img_id").cast("long").alias("img_id"), colour.size(cmap).alias("size"), colour.entry(cmap, F.lit(1))["g"].cast("int").alias("second"), colour.entry(cmap, F.lit(2)).isNull().alias("third_absent"),
         F.array_join(colour.channels(cmap)[0].cast("array<string>"), ",").alias("reds"), colour.size(colour.add(grown, 7, 8, 9, 2)).alias("grown"),
     )
 
 
 def same_size(spark, sf):
-    """A PNG and a PNM of each embedding, the latter a line short for odd numbers."""
+    """A PNG and a PNM of each embedding, the latter a line short where the first number is odd."""
     one = decode_images(_files(spark, sf, lambda i, gray: _png(gray)))
-    other = decode_images(_files(spark, sf, lambda i, gray: b"P5 8 %d 255\n" % (8 - i % 2) + gray[: 8 - i % 2].tobytes()))
+    other = decode_images(_files(spark, sf, lambda i, gray: b"P5 8 %d 255\n" % (8 - gray[0, 0] % 2) + gray[: 8 - gray[0, 0] % 2].tobytes()))
     return pixels.same_size(one, other).select(F.col("img_id").cast("long").alias("img_id"), "equal")
 
 
@@ -509,8 +517,9 @@ ORACLE_SQL = {
     "pnm_read_ascii": f"WITH {PX} SELECT * FROM px",
     "pnm_read_bits": f"WITH {_LINES_SQL} SELECT * FROM l",
     "palette_bits": f"WITH {_LINES_SQL} SELECT img_id, y, byte, CASE WHEN img_id % 2 = 0 THEN 255 - byte ELSE byte END AS compat FROM l",
-    "palette_entries": "SELECT vec_id AS img_id, 2 AS size, CASE WHEN vec_id % 2 = 0 THEN 255 ELSE 0 END AS second, true AS third_absent, CASE WHEN vec_id % 2 = 0 THEN '0,255' ELSE '255,0' END AS reds, 4 AS grown FROM embeddings",
-    "same_size": "SELECT vec_id AS img_id, vec_id % 2 = 0 AS equal FROM embeddings",
+    "palette_entries": f"""WITH {PX}, g AS (SELECT img_id, list(v ORDER BY y, x) AS v FROM px GROUP BY img_id), n AS (SELECT *, (v[13] % 4 + 1)::INT AS size FROM g)
+        SELECT img_id, size, CASE WHEN size > 1 THEN v[5] END::INT AS second, size < 3 AS third_absent, array_to_string([v[1], v[4], v[7], v[10]][:size], ',') AS reds, least(4, size + 3)::INT AS grown FROM n""",
+    "same_size": f"WITH {PX} SELECT img_id, v % 2 = 0 AS equal FROM px WHERE x = 0 AND y = 0",
     "container_layout": _LAYOUT_SQL,
     "encode_bilevel": f"{_coder_sql(False)} {_CODE_SQL} e",
     "encode_bilevel_tpgd": f"{_coder_sql(True)} {_CODE_SQL} e",
