@@ -8,7 +8,8 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from rasterloom.functions import checksums
+from rasterloom.functions import checksums, parts
+from rasterloom.plans import file_queries, table_queries
 from rasterloom.plans import queries as raster
 
 SF = "/root/testdata/sf0.001"
@@ -23,26 +24,30 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", list(raster.ORACLE_SQL))
+QUERIES = raster.QUERIES | table_queries.QUERIES | file_queries.QUERIES
+ORACLE_SQL = raster.ORACLE_SQL | table_queries.ORACLE_SQL | file_queries.ORACLE_SQL
+
+
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_equals_sql(spark, duck, name):
-    df = raster.QUERIES[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     columns = sorted(df.columns)
     got = sorted(map(tuple, df.select(*columns).collect()), key=str)
-    told = duck.sql(f"SELECT {', '.join(columns)} FROM ({raster.ORACLE_SQL[name]})")
+    told = duck.sql(f"SELECT {', '.join(columns)} FROM ({ORACLE_SQL[name]})")
     assert got == sorted(told.fetchall(), key=str)
 
 
 def test_checksums(spark):
-    parts = [b"", b"a", b"Wikipedia", bytes(range(256)) * 300, b"\xff" * 70_000]
-    rows = spark.createDataFrame([(i, j, bytearray(a), bytearray(b)) for i, a in enumerate(parts) for j, b in enumerate(parts)], "i int, j int, a binary, b binary")
+    made = [b"", b"a", b"Wikipedia", bytes(range(256)) * 300, b"\xff" * 70_000]
+    rows = spark.createDataFrame([(i, j, bytearray(a), bytearray(b)) for i, a in enumerate(made) for j, b in enumerate(made)], "i int, j int, a binary, b binary")
     one, two = checksums.adler32(F.col("a")), checksums.adler32(F.col("b"))
     size = F.octet_length("b").cast("long")
-    crc = checksums.crc32_combine_column(checksums.crc32(F.col("a")), checksums.crc32(F.col("b")), size)
+    crc = parts.crc32_combine(checksums.crc32(F.col("a")), checksums.crc32(F.col("b")), size)
     for r in rows.select("i", "j", one.alias("x"), checksums.adler32_native(F.col("a")).alias("n"), checksums.adler32_combine(one, two, size).alias("y"), checksums.crc32(F.col("a")).alias("c"), crc.alias("d")).collect():
-        a, b = parts[r.i], parts[r.j]
+        a, b = made[r.i], made[r.j]
         assert (r.x, r.n, r.y, r.c, r.d) == (zlib.adler32(a), zlib.adler32(a), zlib.adler32(a + b), zlib.crc32(a), zlib.crc32(a + b))
         assert checksums.crc32_combine(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
-    none = rows.limit(1).select(checksums.adler32(F.lit(None).cast("binary")).alias("x"), checksums.crc32_combine_column(F.lit(1), F.lit(None).cast("long"), F.lit(2)).alias("y")).first()
+    none = rows.limit(1).select(checksums.adler32(F.lit(None).cast("binary")).alias("x"), parts.crc32_combine(F.lit(1), F.lit(None).cast("long"), F.lit(2)).alias("y")).first()
     assert none.x is None and none.y is None
 
 
