@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import fresh, scratch, stage_table, trim
+from .shared import fresh, join_split, scratch, stage_table, trim
 
 WORDS = 5
 #: Similarity in hundredths.
@@ -40,6 +40,8 @@ BASE, RATE, TOP = 1.001, 20.0, 65534
 ESTIMATE = 0.55
 #: Most ids that are broadcast to fetch texts or to drop rows (some 30 MB); beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
+#: Members of a bucket that a task gets at most; a larger one is dealt over several, each with its hub.
+MEMBERS = 256
 #: Most rounds of hubs; the bounded join takes what they leave.
 ROUNDS = 6
 _MEMO = 300_000
@@ -146,9 +148,9 @@ def _bands(sketch: Column) -> Column:
 
 
 def _estimated(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Of distinct pairs (a, b), those that share a band and whose sketches don't rule them out."""
+    """Of a written table of distinct pairs (a, b), those that share a band and whose sketches don't rule them out."""
     of = lambda c: reps.select(F.col("id").alias(c), F.col("sketch").alias(f"s{c}"), F.col("n").alias(f"n{c}"))
-    held = pairs.join(of("a"), "a").join(of("b"), "b")
+    held = join_split(join_split(pairs, of("a"), "a", "b"), of("b"), "b", "a", pairs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -164,9 +166,9 @@ def _estimated(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, threshold: int) -> DataFrame:
-    """Of pairs (a, b), those whose full shingle sets are similar enough."""
+    """Of a written table of pairs (a, b), those whose full shingle sets are similar enough."""
     of = lambda c: texts.select(F.col("id").alias(c), F.col("text").alias(f"t{c}"))
-    held = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "ta", "tb")
+    held = join_split(join_split(pairs, of("a"), "a", "b"), of("b"), "b", "a", pairs).select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, made, size = Shingler(words), {}, 0
@@ -233,33 +235,46 @@ def _other_texts(made: DataFrame) -> DataFrame:
     return made.where("id is not null").join(whole, "whole", "left_semi").groupBy("whole").agg(F.min("id").alias("a"), F.collect_set("id").alias("b")).select("a", F.explode("b").alias("b"))
 
 
+def _lane(size: str) -> Column:
+    """Which of its bucket's lanes an id is in."""
+    return F.pmod(F.xxhash64("id"), F.ceil(F.col(size) / MEMBERS)).cast("int").alias("lane")
+
+
+def _lanes(buckets: DataFrame) -> DataFrame:
+    """A row for each lane of each bucket (key, size)."""
+    lanes = F.sequence(F.lit(0), F.ceil(F.col("size") / MEMBERS).cast("int") - 1)
+    return buckets.withColumn("lane", F.explode(lanes)).drop("size")
+
+
 def _links(reps: DataFrame, rows: DataFrame, words: int, threshold: int) -> DataFrame:
     """Links that join what belongs together: of each component found by hubs a star, and what crosses these."""
     spread = reps.select("id", F.explode(_bands(F.col("sketch"))).alias("key"))
     full = spread.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    inside = stage_table(spread.join(full, "key").select("key", "id", "size"), "buckets")
+    inside = stage_table(spread.join(full, "key").select("key", _lane("size"), "id", "size"), "buckets")
     weight = inside.groupBy("id").agg(F.sum("size").alias("weight"))
     ids = inside.select("id").distinct()
     texts = stage_table(rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi"), "texts")
-    live = inside.join(weight, "id").select("key", "id", "weight", F.col("id").alias("root"))
+    live = inside.join(weight, "id").select("key", "lane", "id", "size", "weight", F.col("id").alias("root"))
+    bucket = ["key", "lane"]
     links = roots = None
     for _ in range(ROUNDS):
         live = stage_table(live, "live", "snappy")
-        hubs = live.groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("less"), "id", "root")).alias("hub"))
-        met = live.join(hubs, "key").where("root != hub.root").select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct()
-        near = stage_table(_estimated(met, reps), "candidates", "snappy")
+        best = F.max(F.struct("weight", (-F.col("id")).alias("less"), "id", "root"))
+        hubs = _lanes(live.groupBy("key").agg(best.alias("hub"), F.first("size").alias("size")))
+        met = live.join(hubs, bucket).where("root != hub.root").select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct()
+        near = stage_table(_estimated(stage_table(met, "met", "snappy"), reps), "candidates", "snappy")
         found = stage_table(_verified(near, texts, words, threshold), "links", "snappy")
         links = found if links is None else links.unionByName(found)
         last = found.isEmpty()
         if roots is None or not last:
             roots = stage_table(components(links), "roots", "snappy")
-        rest = live.join(hubs.select("key", F.col("hub.id").alias("hub")), "key").where("id != hub").drop("root", "hub")
+        rest = live.join(hubs.select(*bucket, F.col("hub.id").alias("hub")), bucket).where("id != hub").drop("root", "hub")
         rest = rest.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        apart = rest.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("key")
-        live = rest.join(apart, "key", "left_semi").select("key", "id", "weight", "root")
+        apart = _lanes(rest.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.first("size").alias("size")).where("x != y"))
+        live = rest.join(apart, bucket, "left_semi").select(*bucket, "id", "size", "weight", "root")
         if last:
             break
-    met = _crossing(stage_table(live.select("id", "root").distinct(), "apart", "snappy"), texts, words, threshold)
+    met = stage_table(_crossing(stage_table(live.select("id", "root").distinct(), "apart", "snappy"), texts, words, threshold), "met", "snappy")
     crossing = _verified(stage_table(_estimated(met, reps), "candidates", "snappy"), texts, words, threshold)
     return crossing.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
 

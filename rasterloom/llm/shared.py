@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _KEY = "spark.checkpoint.dir"
 _made: dict[str, list[str]] = {}
@@ -47,6 +48,31 @@ def stage_table(df: DataFrame, name: str, codec: str = "zstd", by: str | None =
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of one key that a task gets at most; what has more is dealt over several.
+SPLIT = 1_024
+#: Most keys with more rows than that which are broadcast; beyond it they are joined by a shuffle.
+MOST_SPLIT = 200_000
+
+
+def join_split(rows: DataFrame, side: DataFrame, key: str, spread_by: str, counted: DataFrame | None = None) -> DataFrame:
+    """``rows.join(side, key)`` where ``side`` has few rows for each key and any key may have very many ``rows``.
+
+    Keys with more than ``SPLIT`` rows are dealt over several tasks by a hash of
+    ``spread_by``, and each gets a copy of the side's row; others are joined as they are.
+    ``counted`` is a written table to count keys in, where ``rows`` would be computed for it.
+    """
+    often = (rows if counted is None else counted).groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > SPLIT)
+    n = often.count()
+    if not n:
+        return rows.join(side, key)
+    often = stage_table(often.select(key, F.ceil(F.col("__n") / SPLIT).cast("int").alias("__parts")), "often", "snappy")
+    often = F.broadcast(often) if n <= MOST_SPLIT else often
+    parts = F.coalesce("__parts", F.lit(1))
+    dealt = rows.join(often, key, "left").withColumn("__part", F.pmod(F.xxhash64(spread_by), parts).cast("int")).drop("__parts")
+    copies = side.join(often, key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
+    return dealt.join(copies, [key, "__part"]).drop("__part")
+
+
 def fresh(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` doesn't have."""
     taken = {c.lower() for c in df.columns}
