@@ -17,7 +17,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-GRAM = 2
 SLACK = 3
 #: Share of a notice's 2-grams that must vote.
 COVERAGE = 0.6
@@ -61,14 +60,25 @@ def _templates(spark: SparkSession, phrases: dict[str, str], notices: dict[str,
     return table.withColumn("h", F.xxhash64("t1", "t2"))
 
 
+def _row(id_col: str, text_col: str) -> Column:
+    """What votes are counted by: rows of one id are told apart by their texts, and rows of one id and text have the same spans anyway."""
+    return F.struct(F.col(id_col).alias("id"), F.substring(F.sha2(F.coalesce(text_col, F.lit("")), 256), 1, 32).alias("hash"))
+
+
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] | None = None, notices: dict[str, str] | None = None) -> DataFrame:
     """One row per found span: id, label, whole, start word, words covered, coverage.
 
-    Null and empty texts have no spans. ``phrases`` maps a phrase of two or more words to
+    Null and empty texts have no spans. Texts that share an id, or have none, are scanned
+    each; equal texts under one id are told once. ``phrases`` maps a phrase of two or more words to
     its label, ``notices`` a label to its text; both tables are literals, and broadcast.
     """
+    found = _spans(docs, id_col, text_col, phrases, notices)
+    return found.select("id.id", *found.columns[1:])
+
+
+def _spans(docs: DataFrame, id_col: str, text_col: str, phrases: dict[str, str] | None, notices: dict[str, str] | None) -> DataFrame:
     grams = _templates(docs.sparkSession, PHRASES if phrases is None else phrases, NOTICES if notices is None else notices)
-    words = docs.select(F.col(id_col).alias("id"), words_of(F.col(text_col)).alias("w"))
+    words = docs.select(_row(id_col, text_col).alias("id"), words_of(F.col(text_col)).alias("w"))
     pairs = F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))).alias("b"))
     each = words.select("id", F.posexplode(pairs).alias("pos", "p")).select("id", "pos", F.col("p.a").alias("a"), F.col("p.b").alias("b"))
     votes = each.withColumn("h", F.xxhash64("a", "b")).join(F.broadcast(grams), "h").where("a = t1 and b = t2")
@@ -111,17 +121,16 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
 
     Base figures count whole phrases only; ``labels`` adds the notices; ``score`` is the
     best coverage (1 for a whole phrase, 0 without any). Texts that are null, empty or
-    without words give zeros, null places and empty labels. Ids are taken as unique; rows
-    that repeat an id, or have none, share their spans.
+    without words give zeros, null places and empty labels. Rows that repeat an id, or have
+    none, are each told by their own text.
     """
-    found = spans(docs, id_col, text_col, phrases, notices)
+    found = _spans(docs, id_col, text_col, phrases, notices)
     base = lambda c: F.when(F.col("whole"), F.col(c))
     told = found.groupBy("id").agg(
         F.count(base("start")).alias("n_base"), F.min(base("start")).alias("first_word"), F.max(base("start")).alias("last_word"),
         F.array_join(F.array_sort(F.collect_set(base("label"))), ",").alias("base_labels"), F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"), F.max("coverage").alias("score"),
     )
-    rows = docs.select(F.col(id_col).alias("id"), F.size(words_of(F.col(text_col))).cast("long").alias("n_words"))
-    told = told.withColumnRenamed("id", "of")
-    out = rows.join(told, F.col("id").eqNullSafe(F.col("of")), "left")
+    rows = docs.select(_row(id_col, text_col).alias("id"), F.size(words_of(F.col(text_col))).cast("long").alias("n_words"))
+    out = rows.join(told, "id", "left")
     zero, none = F.lit(0).cast("long"), F.lit("")
-    return out.select(F.col("id").alias(id_col), "n_words", F.coalesce("n_base", zero).alias("n_base"), "first_word", "last_word", F.coalesce("base_labels", none).alias("base_labels"), F.coalesce("labels", none).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    return out.select(F.col("id.id").alias(id_col), "n_words", F.coalesce("n_base", zero).alias("n_base"), "first_word", "last_word", F.coalesce("base_labels", none).alias("base_labels"), F.coalesce("labels", none).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"))
