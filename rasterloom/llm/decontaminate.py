@@ -35,8 +35,8 @@ WALKS, ROUNDS, BITS = 2, 64, 2
 #: Length of a walk, in lengths of the piece; a step moves on every other time.
 STEPS = 1.8
 PIECE = 128
-#: Items shorter than this, normalised, are matched exactly.
-SHORTEST = 24
+#: Items shorter than this, normalised, are matched as whole words: a tenth of them is no edit.
+WHOLE_WORDS = 10
 #: Items held by a task at once: more are taken in blocks, each a pass over the documents.
 BLOCK_BYTES = 8_000_000
 BATCH_BYTES = 3_000_000
@@ -81,17 +81,13 @@ class Finder:
     """Finds a block of items in texts."""
 
     def __init__(self, items: list[tuple[int, bytes]], edits: float = EDITS, seed: int = 11):
-        self.items = sorted(((k, t) for k, t in items if len(t) >= SEGMENT), key=lambda x: (len(x[1]), x[1]))
-        self.whole: dict[bytes, list] = {}
-        for k, t in items:
-            if 0 < len(t) < SEGMENT:
-                self.whole.setdefault(t, []).append(k)
-        limit = lambda n, whole: int(edits * n) if whole >= SHORTEST else 0
-        self.edits = [limit(len(t), len(t)) for _, t in self.items]
+        self.items = sorted(((k, t) for k, t in items if t), key=lambda x: (len(x[1]), x[1]))
+        limit = lambda n: int(edits * n)
+        self.edits = [limit(len(t)) for _, t in self.items]
         # by length, so windows that are embedded together need much the same steps
         pieces = sorted((n, i, at) for i, (_, t) in enumerate(self.items) for at, n in _pieces(t))
         self.sizes, self.of, self.at = (np.array([p[c] for p in pieces], np.int64) for c in range(3))
-        self.limits = np.array([limit(n, len(self.items[i][1])) for n, i, _ in pieces], np.int64)
+        self.limits = np.array([limit(n) for n, _, _ in pieces], np.int64)
         body = [self.items[i][1][at : at + n] for n, i, at in pieces]
         keys, whose, offsets, lengths, widths = [], [], [], [], set()
         for j, t in enumerate(body):
@@ -111,13 +107,13 @@ class Finder:
         self.bits = max(16, int(np.ceil(np.log2(max(len(keys), 1) * 64))))
         self.maybe = np.zeros(1 << self.bits, bool)
         self.maybe[self._slot(self.keys)] = True
-        self.longest = max((len(t) for _, t in self.items), default=0)
         rng = np.random.default_rng(seed)
         steps = int(STEPS * max(self.sizes, default=0)) + 2
         self.moves = rng.integers(0, 2, (WALKS, steps, 256), dtype=np.uint8)
         # positions are drawn as shares of the piece's own walk, so short ones are sampled over their length
         self.draws = rng.random((WALKS, ROUNDS, BITS)) * STEPS
-        gap = b"\0" * (self.longest + SEGMENT)
+        # a walk goes no further than its steps
+        self.gap = gap = b"\0" * (steps + SEGMENT)
         self.text = np.frombuffer(gap.join([*body, b""]), np.uint8)
         self.places = np.cumsum(self.sizes + len(gap)) - self.sizes - len(gap)
         self.grams = [_grams(np.frombuffer(t, np.uint8)) for t in body]
@@ -154,11 +150,9 @@ class Finder:
 
     def find(self, texts: list[bytes]) -> list[tuple[int, int, int, int]]:
         """(text, item id, place, edits) of what is within its edits; of several places of an item in a text the best, then first."""
-        whole = [(d, k, 0, 0) for d, t in enumerate(texts) if len(t) < SEGMENT for k in self.whole.get(t, ())]
-        return whole + self._near(texts) if self.items else whole
-
-    def _near(self, texts: list[bytes]) -> list[tuple[int, int, int, int]]:
-        gap = b"\0" * (self.longest + SEGMENT)
+        if not self.items:
+            return []
+        gap = self.gap
         joined = gap + gap.join(texts) + gap
         text = np.frombuffer(joined, np.uint8)
         begins = np.cumsum([len(gap)] + [len(t) + len(gap) for t in texts[:-1]])
@@ -197,22 +191,21 @@ class Finder:
         # the 4-grams first: they lose nothing, and leave few windows to embed
         least, four = self.sizes[piece] - 3 - 4 * limits, _grams(text)
         able = [self._held(j, four[a : max(b - 3, a)]) >= n for j, a, b, n in zip(piece.tolist(), lows.tolist(), highs.tolist(), least.tolist(), strict=True)]
-        piece, start = piece[able], start[able]
+        piece, start, of = piece[able], start[able], of[able]
         best: dict[tuple[int, int], tuple[int, int]] = {}
         for at in range(0, len(piece), 20_000):
-            j, s = piece[at : at + 20_000], start[at : at + 20_000]
+            j, s, there = piece[at : at + 20_000], start[at : at + 20_000], of[at : at + 20_000]
             same = (self._signatures(text, s, j) == self.signs[j]).any(1)
-            for k, p in sorted(set(zip(self.of[j[same]].tolist(), (s[same] - self.at[j[same]]).tolist(), strict=True))):
+            for k, p, d in sorted(set(zip(self.of[j[same]].tolist(), (s[same] - self.at[j[same]]).tolist(), there[same].tolist(), strict=True))):
                 body, limit = self.items[k][1], self.edits[k]
-                d = int(np.searchsorted(begins, p + len(body) // 2, "right")) - 1
-                if d < 0:
-                    continue
                 a = max(p - 2 * limit, int(begins[d]))
                 b = min(p + len(body) + 2 * limit, int(begins[d]) + len(texts[d]))
                 if (had := best.get((d, k))) and had[0] == 0:
                     continue
                 window = joined[a:b]
                 exact = window.find(body)
+                if exact < 0 and not limit or len(body) < WHOLE_WORDS and not (joined[a - 1] in b" \0" and joined[b] in b" \0"):
+                    continue
                 edits, place = (0, a + exact - int(begins[d])) if exact >= 0 else (infix_distance(body, window), p - int(begins[d]))
                 if edits <= limit and (not had or (edits, max(place, 0)) < had):
                     best[(d, k)] = (edits, max(place, 0))
@@ -231,17 +224,19 @@ def _pieces(item: bytes) -> list[tuple[int, int]]:
 
 def blocks(items: DataFrame, item_col: str, text_col: str) -> list[DataFrame]:
     """The items in blocks that a task can hold."""
+    items = items.select(item_col, text_col).distinct()
     held = items.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
     n = max(1, -(-held // BLOCK_BYTES))
-    return [items.where(F.pmod(F.xxhash64(F.col(item_col)), F.lit(n)) == k) for k in range(n)] if n > 1 else [items]
+    return [items.where(F.pmod(F.xxhash64(item_col, text_col), F.lit(n)) == k) for k in range(n)] if n > 1 else [items]
 
 
 def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", edits: float = EDITS) -> DataFrame:
     """One row per (document, item) found: id, item id, place (in the normalised text), edits.
 
-    Null and empty texts match nothing. Items of fewer than 24 normalised bytes match
-    exactly, those of fewer than 8 only texts that are nothing else. Items repeated under
-    one id count once; an item without an id is found under a null one. Of several places
+    Null and empty texts match nothing, nor do items without a letter or digit. Items of
+    fewer than ten normalised bytes, too short for a tenth of edits, match as whole words.
+    Items repeated under one id count once, different ones each; an item without an id is
+    found under a null one. Of several places
     of an item in a text the one with the fewest edits, then the first, is told. Repeated
     documents are each matched. Either table may be empty.
     """
@@ -259,7 +254,7 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
                 at = size = 0
                 out = []
                 for i, t in enumerate(texts):
-                    size += len(t or "") + finder.longest
+                    size += len(t or "") + len(finder.gap)
                     if size >= BATCH_BYTES or i + 1 == len(texts):
                         out += [(ids[at + d], k, p, e) for d, k, p, e in finder.find([normalise(x) for x in texts[at : i + 1]])]
                         at, size = i + 1, 0
@@ -271,12 +266,12 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def _key(id_col: str, text_col: str) -> Column:
-    """What findings are joined back by: the id, or the text of a row without one."""
-    return F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("\0"), F.sha2(F.coalesce(text_col, F.lit("")), 256)))
+    """What findings are joined back by: id and text, so rows that share an id are told apart, and only rows that are alike aren't."""
+    return F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.sha2(F.coalesce(text_col, F.lit("")), 256))
 
 
 def report(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", edits: float = EDITS) -> DataFrame:
-    """One row per input row: id, contaminated, items (sorted ids found; one without an id isn't named), least_edits (null without a find). Rows without an id are answered by their text."""
+    """One row per input row: id, contaminated, items (sorted ids found; one without an id isn't named), least_edits (null without a find). Rows that share an id, or have none, are each answered by their own text."""
     keyed = docs.select(id_col, _key(id_col, text_col).alias("__key"), F.col(text_col).alias("text"))
     found = stage_table(matches(keyed, items, "__key", "text", item_col, item_text, edits), "matches", "snappy")
     told = found.groupBy("__key").agg(F.array_sort(F.collect_set(item_col)).alias("items"), F.min("edits").alias("least_edits"))
@@ -286,7 +281,7 @@ def report(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def survivors(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", edits: float = EDITS) -> DataFrame:
-    """The rows of ``docs`` in which no item is found, with all their columns; rows without an id go by their text."""
+    """The rows of ``docs`` in which no item is found, with all their columns; a row stays or goes by its own text, whatever else has its id."""
     keyed = docs.select(_key(id_col, text_col).alias("__key"), F.col(text_col).alias("text"))
     hit = stage_table(matches(keyed, items, "__key", "text", item_col, item_text, edits).select("__key").distinct(), "hit", "snappy")
     return docs.join(hit, _key(id_col, text_col) == hit["__key"], "left_anti")
