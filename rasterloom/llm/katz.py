@@ -270,7 +270,7 @@ def _spread(rows: DataFrame, uni: Unigrams, parts: int) -> DataFrame:
 
 _KINDS = ("u2", "u4", "u1", "u2", "u8", "u4", "u8", "u2", "u8", "u4", "u8", "u4")
 #: Of a stored partition: pairs of numbers; number and word; two words; word and number; each with counts.
-_STORED = ("u8", "u4", "u4", "u8", "u4", "u8", "u8", "u4", "u8", "u4", "u4")
+_STORED = ("u8", "u8", "u4", "u8", "u8", "u8", "u8", "u8", "u8", "u4", "u8")
 
 
 def _count_pairs(records: DataFrame, uni: Unigrams, parts: int) -> DataFrame:
@@ -338,7 +338,7 @@ def _count_pairs(records: DataFrame, uni: Unigrams, parts: int) -> DataFrame:
         key = np.concatenate((joined(1).astype(np.uint64) | joined(2).astype(np.uint64) << np.uint64(32), hot, of_model[0]))
         ctx, w = (key >> np.uint64(BITS)).astype(np.int64), key & np.uint64((1 << BITS) - 1)
         names, counts, own = pairs(ctx, np.concatenate((key_doc, none(hot), none(of_model[0]))), np.concatenate((trains[0], hot_n, of_model[1])), key, numbered(w))
-        hot_c = own[len(key_doc) : len(key_doc) + len(hot)].astype(np.uint32)
+        hot_c = own[len(key_doc) : len(key_doc) + len(hot)]
         # words without a number, behind a number or another such word
         here = joined(5)
         h = np.concatenate((joined(4), of_model[3], of_model[6]))
@@ -391,8 +391,8 @@ def _count_pairs(records: DataFrame, uni: Unigrams, parts: int) -> DataFrame:
                 out.append((2, s, part, (mine.astype(np.uint32), sums[: LOW + 1, mine].astype(np.uint32), sums[LOW + 1, mine])))
         rare_ctx, rare_word = (rare_names >> np.uint64(40)).astype(np.uint32), words[(rare_names & np.uint64((1 << 40) - 1)).astype(np.int64)]
         two, two_w, next_, next_w = (x for names_of in (two_names, after_names) for x in (others[(names_of >> np.uint64(32)).astype(np.int64)], names_of & np.uint64(0xFFFFFFFF)))
-        more = (two, words[two_w.astype(np.int64)], two_counts.astype(np.uint32), next_, next_w.astype(np.uint32), after_counts.astype(np.uint32))
-        out.append((3, part, part, (np.diff(names, prepend=np.uint64(0)), counts.astype(np.uint32), rare_ctx, rare_word, rare_counts.astype(np.uint32), *more)))
+        more = (two, words[two_w.astype(np.int64)], two_counts.astype(np.uint64), next_, next_w.astype(np.uint32), after_counts.astype(np.uint64))
+        out.append((3, part, part, (np.diff(names, prepend=np.uint64(0)), counts.astype(np.uint64), rare_ctx, rare_word, rare_counts.astype(np.uint64), *more)))
         return pa.concat_tables([heads, pa.Table.from_batches([_records(out)])], promote_options="permissive")
 
     return _dealt(records, "part", uni).applyInArrow(run, _RECORD)
@@ -479,7 +479,7 @@ def _summed(answers: DataFrame, uni: Unigrams, alpha: np.ndarray, d: np.ndarray)
             score += np.bincount(np.repeat(at, np.frombuffer(x[6], "u4")), log_alpha[np.frombuffer(x[7], "u4")], len(ids))
         if len(hot):
             # in the order of the partitions, as the block has them
-            c = np.concatenate([np.frombuffer(x[0], "u4") for x in answers]).astype(np.int64)
+            c = np.concatenate([np.frombuffer(x[0], "i8") for x in answers])
             ctx, w = (hot >> np.uint64(BITS)).astype(np.int64), (hot & np.uint64((1 << BITS) - 1)).astype(np.int64)
             seen = np.log10(np.maximum(c, 1) / (contexts[ctx] + 1)) + np.where((c > 0) & (c <= LOW), log_d[np.clip(c, 1, LOW) - 1], 0)
             value = np.where(c > 0, seen, log_alpha[ctx] + np.log10(uni.p(uni.counts[w])))
