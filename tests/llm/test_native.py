@@ -1,5 +1,8 @@
 import hashlib
+import os
 import random
+import subprocess
+import sys
 import zlib
 from pathlib import Path
 
@@ -39,12 +42,43 @@ def test_exact_repeated_rows(table):
     assert sorted(r.doc_id for r in exact_dedup.survivors(twice).collect()) == [1, 3]
 
 
+def test_folder_of_a_session_without_one(tmp_path):
+    """A stock local session has no checkpoint folder; operators that stage tables work in it, and a cluster's session is told."""
+    code = f"""
+import sys
+sys.path.insert(0, {str(Path(__file__).resolve().parents[2])!r})
+from pyspark.sql import SparkSession
+from rasterloom.llm import exact_dedup, shared
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+assert spark.conf.get("spark.checkpoint.dir", None) is None
+docs = spark.createDataFrame([(1, "a b"), (2, "ab"), (3, "c")], "doc_id bigint, text string")
+assert sorted((r.doc_id, r.keep_id) for r in exact_dedup.groups(docs).collect()) == [(1, 1), (2, 1), (3, 3)]
+assert shared.shared_dir(spark) == shared.shared_dir(spark)
+assert shared.release(spark) > 0
+"""
+    env = os.environ | {"SPARK_CONF_DIR": str(tmp_path)}
+    told = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, env=env)
+    assert told.returncode == 0, told.stderr[-2000:]
+
+
+def test_licenses_of_rows_that_share_an_id(table):
+    """Words of two texts under one id, or none, make no phrase together."""
+    docs = table({1: "all rights"}).unionByName(table({1: "x rights reserved"}))
+    docs = docs.unionByName(table({None: "general public"})).unionByName(table({None: "y public license"})).unionByName(table({2: "all rights reserved"})).unionByName(table({2: "cc by"}))
+    got = sorted((r.doc_id or 0, r.n_base, r.base_labels) for r in license_scan.scan(docs).collect())
+    assert got == [(0, 0, ""), (0, 0, ""), (1, 0, ""), (1, 0, ""), (2, 1, "cc-by"), (2, 1, "reserved")]
+    assert sorted((r.id, r.label) for r in license_scan.spans(docs).where("whole").collect()) == [(2, "cc-by"), (2, "reserved")]
+    twice = table({5: "all rights reserved all rights reserved"})
+    assert [(r.n_base, r.first_word, r.last_word) for r in license_scan.scan(twice.unionByName(twice)).collect()] == [(2, 0, 3)] * 2
+
+
 @pytest.mark.parametrize("name", list(queries.ORACLE_SQL))
 def test_equals_sql(spark, name):
     df = queries.QUERIES[name](spark, SF)
     columns = sorted(df.columns)
     c = duckdb.connect()
-    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for view in ("documents", "embeddings"):
+        c.sql(f"CREATE VIEW {view} AS SELECT * FROM '{SF}/{view}.parquet'")
     told = c.sql(f"SELECT {', '.join(columns)} FROM ({queries.ORACLE_SQL[name]})").fetchall()
     assert sorted(map(tuple, df.select(*columns).collect()), key=str) == sorted(told, key=str)
 
