@@ -53,7 +53,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     options = Options(threshold=a.T, scale=2 if a.up2 else 4 if a.up4 else 1, typical=a.duplicate_line_removal, full=not a.pdf, compat=a.compat)
     if a.v:
         for r in read_images(spark, a.files, compat=a.compat).select("img_id", "w", "h", "d", "xres", "yres").toLocalIterator():
-            print(f"{r.img_id}: {r.w} x {r.h} ({r.d} bits) {r.xres}dpi x {r.yres}dpi", file=sys.stderr)
+            print(f"{r.img_id}: width {r.w}, height {r.h}, {r.d} bits a pixel, {r.xres} by {r.yres} pixels an inch", file=sys.stderr)
     pages = convert(spark, a.files, options)
     if a.o:
         pages = pages.persist()

@@ -19,7 +19,7 @@ def test_files(spark, tmp_path, capfdbinary):
     assert main(["-d", "-v", "-o", f"{tmp_path}/out", f"{tmp_path}/a.pbm", f"{tmp_path}/b.pgm"], spark) == 0
     assert (decode_file((tmp_path / "out/a.pbm.jb2").read_bytes()) == bits).all()
     assert (decode_file((tmp_path / "out/b.pgm.jb2").read_bytes()) == 1 - bits).all()
-    assert b"20 x 9 (1 bits)" in capfdbinary.readouterr().err
+    assert b"width 20, height 9, 1 bits a pixel" in capfdbinary.readouterr().err
     assert main([f"{tmp_path}/c.pgm"], spark) == 3
     assert main(["-p", f"{tmp_path}/a.pbm"], spark) == 0
     assert (decode_file(capfdbinary.readouterr().out) == bits).all()
