@@ -181,7 +181,10 @@ def variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     Words are what ``vocabulary`` counts. A word's form is the most frequent of the words
     one edit away, if it is ``ratio`` times as frequent; a word without one is its own root.
     Repeated rows count each. Null texts, empty texts and an empty table have no words.
+    ``ratio`` is above 1, so forms never lead back.
     """
+    if ratio <= 1:
+        raise ValueError("ratio must be above 1")
     words = stage_table(vocabulary(docs, id_col, text_col, slip), "words")
     near = neighbours(words, shard, owners)
     has = F.coalesce(F.col("times") >= ratio * F.col("n"), F.lit(False))
