@@ -40,6 +40,8 @@ WHOLE_WORDS = 10
 #: Items held by a task at once: more are taken in blocks, each a pass over the documents.
 BLOCK_BYTES = 8_000_000
 BATCH_BYTES = 3_000_000
+#: Most keys of contaminated rows that are broadcast to drop them (some 40 MB); beyond it the join shuffles.
+BROADCAST_HITS = 1_000_000
 _TABLE = bytes((c | 32 if 65 <= c <= 90 else c) if c >= 128 or 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 else 32 for c in range(256))
 
 
@@ -266,8 +268,9 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def _key(id_col: str, text_col: str) -> Column:
-    """What findings are joined back by: id and text, so rows that share an id are told apart, and only rows that are alike aren't."""
-    return F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.sha2(F.coalesce(text_col, F.lit("")), 256))
+    """What findings are joined back by: 128 bits of id and text, so rows that share an id are told apart, and only rows that are alike aren't."""
+    both = F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(text_col, F.lit("")))
+    return F.unhex(F.substring(F.sha2(both, 256), 1, 32))
 
 
 def report(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", edits: float = EDITS) -> DataFrame:
@@ -284,4 +287,5 @@ def survivors(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_co
     """The rows of ``docs`` in which no item is found, with all their columns; a row stays or goes by its own text, whatever else has its id."""
     keyed = docs.select(_key(id_col, text_col).alias("__key"), F.col(text_col).alias("text"))
     hit = stage_table(matches(keyed, items, "__key", "text", item_col, item_text, edits).select("__key").distinct(), "hit", "snappy")
-    return docs.join(hit, _key(id_col, text_col) == hit["__key"], "left_anti")
+    small = hit.count() <= BROADCAST_HITS
+    return docs.join(F.broadcast(hit) if small else hit, _key(id_col, text_col) == hit["__key"], "left_anti")

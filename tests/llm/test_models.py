@@ -391,10 +391,14 @@ def test_items_without_ids_and_repeated_rows(spark, table):
     assert got == [(1, True, [1]), (1, True, [1]), (2, True, []), (3, True, [6]), (4, True, [6]), (5, True, [1])]
 
 
-def test_rows_that_share_an_id(spark, table):
-    """A row stays or goes by its own text."""
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_rows_that_share_an_id(spark, table, monkeypatch, most):
+    """A row stays or goes by its own text, whether the keys of the hits are broadcast or shuffled."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_HITS", most)
     docs = table({1: ITEMS[1], 2: "clean too"}).unionByName(table({1: "a clean text of one id"})).unionByName(table({None: ITEMS[2]})).unionByName(table({None: "clean"}))
-    kept = decontaminate.survivors(docs, _items(spark)).collect()
+    kept = decontaminate.survivors(docs, _items(spark))
+    assert ("BroadcastHashJoin" in kept._jdf.queryExecution().sparkPlan().toString()) or not most
+    kept = kept.collect()
     assert sorted(r.text for r in kept) == ["a clean text of one id", "clean", "clean too"]
     told = decontaminate.report(docs, _items(spark)).collect()
     assert sorted((r.doc_id is None, r.doc_id or 0, r.contaminated) for r in told) == [(False, 1, False), (False, 1, True), (False, 2, False), (True, 0, False), (True, 0, True)]
