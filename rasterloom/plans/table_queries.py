@@ -61,11 +61,11 @@ def line_context_histogram(spark, sf):
 
 def _parts(spark, sf) -> DataFrame:
     """Texts in parts of 700 bytes, each with its own checksums; they carry their number, and no order."""
-    data = F.encode("text", "utf-8")
-    size = F.octet_length(data)
-    numbers = F.sequence(F.lit(0), F.floor(F.greatest(size - 1, F.lit(0)) / 700).cast("int"))
-    each = _table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", F.explode(numbers).alias("seq"), data.alias("data")).select("doc_id", "seq", F.substring("data", F.col("seq") * 700 + 1, F.lit(700)).alias("part"))
-    return each.select("doc_id", "seq", F.octet_length("part").cast("long").alias("length"), F.crc32("part").alias("crc"), checksums.adler32_native(F.col("part")).alias("adler"))
+    # as in the SQL, rows without an id fall out; bytes are taken from a text once, below the explode: above it, they would be for each part anew
+    texts = _table(spark, sf, "documents").where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.col("text").cast("binary").alias("data"))
+    numbers = F.sequence(F.lit(0), F.floor(F.greatest(F.octet_length("data") - 1, F.lit(0)) / 700).cast("int"))
+    each = texts.select("doc_id", "data", F.explode(numbers).alias("seq")).select("doc_id", "seq", F.substring("data", F.col("seq") * 700 + 1, F.lit(700)).alias("part"))
+    return each.select("doc_id", "seq", F.octet_length("part").cast("long").alias("length"), F.crc32("part").alias("crc"), checksums.adler32(F.col("part")).alias("adler"))
 
 
 def checksum_parts(spark, sf):
@@ -77,7 +77,9 @@ def checksum_parts_damaged(spark, sf):
     """A part is lost where the id leaves 1 modulo 3, and one comes twice where it leaves 2; texts of one part lose or double all they have."""
     each = parts.with_offsets(_parts(spark, sf), ["doc_id"])
     lost = each.where(~((F.col("doc_id") % 3 == 1) & (F.col("offset") == 0)))
-    twice = lost.unionByName(each.where((F.col("doc_id") % 3 == 2) & (F.col("offset") == 0)))
+    # copies by an explode: a union would cut, sum up and deal all texts once more
+    copies = F.when((F.col("doc_id") % 3 == 2) & (F.col("offset") == 0), 2).otherwise(1)
+    twice = lost.withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
     return parts.combine(twice, ["doc_id"]).select("doc_id", "parts", "complete", F.col("crc").isNull().alias("none"))
 
 
