@@ -11,7 +11,7 @@ before it shuffles.
 
 from __future__ import annotations
 
-from functools import cache
+from functools import cache, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,15 +35,15 @@ def _back(crc: int) -> int:
 
 
 @cache
-def _columns(back: bool) -> str:
-    """For each k and bit, where carrying a register with that bit alone over 2^k zero bytes leads: a JSON list, the bits of one k after the other."""
+def _table(back: bool) -> str:
+    """For each k, each four bits of a register and each value of them, where carrying these over 2^k zero bytes leads: a JSON list, 128 numbers of one k after the other."""
     step = _back if back else _forth
     column = [1 << bit for bit in range(32)]
     for _ in range(8):
         column = [step(c) for c in column]
     out = []
     for _ in range(LENGTH_BITS):
-        out += column
+        out += [_sum(column[at + b] for b in range(4) if value >> b & 1) for at in range(0, 32, 4) for value in range(16)]
         # twice the way: what the bits of the one result give
         column = [_sum(column[b] for b in range(32) if c >> b & 1) for c in column]
     return str(out)
@@ -58,13 +58,14 @@ def _sum(values) -> int:
 
 def carried(crc: Column, length: Column, back: bool = False) -> Column:
     """``crc`` over ``length`` zero bytes (below 2^40), or ``back`` over them."""
-    table = F.from_json(F.lit(_columns(back)), "array<bigint>")
-    bit = lambda x, k: F.call_function("shiftright", x, k).bitwiseAND(F.lit(1)) == 1
+    table = F.from_json(F.lit(_table(back)), "array<bigint>")
     size = length.cast("long")
-    steps = F.filter(F.sequence(F.lit(0), F.lit(LENGTH_BITS - 1)), lambda k: bit(size, k))
+    steps = F.filter(F.sequence(F.lit(0), F.lit(LENGTH_BITS - 1)), lambda k: F.call_function("shiftright", size, k).bitwiseAND(F.lit(1)) == 1)
 
     def over(register: Column, k: Column) -> Column:
-        return F.aggregate(F.sequence(F.lit(0), F.lit(31)), F.lit(0).cast("long"), lambda s, b: s.bitwiseXOR(F.when(bit(register, b), F.get(table, k * 32 + b)).otherwise(F.lit(0))))
+        # eight look-ups, not a lambda for each bit: it runs for every part and bit of its end
+        at = lambda i: F.get(table, k * 128 + 16 * i + F.call_function("shiftright", register, F.lit(4 * i)).bitwiseAND(F.lit(15)).cast("int"))
+        return reduce(Column.bitwiseXOR, [at(i) for i in range(8)])
 
     return F.aggregate(steps, crc.cast("long"), over)
 
@@ -91,6 +92,8 @@ def combine(parts: DataFrame, by: list[str], offset: str = "offset", length: str
     rows = parts.select(*by, *[F.col(c).cast("long").alias(f"__{k}") for k, c in (("n", length), ("start", offset), ("crc", crc), ("adler", adler))])
     n, start = F.col("__n"), F.col("__start")
     stop = start + n
+    # carried before the sums: bit_xor asks for its column twice
+    rows = rows.withColumn("__carried", carried(F.col("__crc"), stop, back=True))
     known = n.isNotNull() & start.isNotNull() & F.col("__crc").isNotNull() & F.col("__adler").isNotNull()
     a, b = F.col("__adler") % 65536 - 1, F.floor(F.col("__adler") / 65536)
     mark = lambda x: F.xxhash64(x.cast("long")).cast("decimal(20,0)")
@@ -100,7 +103,7 @@ def combine(parts: DataFrame, by: list[str], offset: str = "offset", length: str
         F.max(stop).alias("length"),
         F.bool_and(known & (n >= 0) & (start >= 0)).alias("known"),
         F.sum(mark(start) - mark(stop)).alias("marks"),
-        F.bit_xor(carried(F.col("__crc"), stop, back=True)).alias("crc"),
+        F.bit_xor("__carried").alias("crc"),
         F.sum(F.pmod(a, F.lit(MODULUS))).alias("a"),
         F.sum(F.pmod(b - n, F.lit(MODULUS))).alias("b"),
         F.sum(F.pmod(a, F.lit(MODULUS)) * F.pmod(stop, F.lit(MODULUS)) % MODULUS).alias("c"),

@@ -139,6 +139,19 @@ def test_damaged_texts_are_read_once(spark, tmp_path):
     assert {r.doc_id: (r.parts, r.complete, r.none) for r in df.collect()} == want
 
 
+def test_whole_texts_by_parts(spark, tmp_path):
+    texts = long_texts(spark, tmp_path)
+    df = table_queries.checksum_parts(spark, str(tmp_path))
+    above, below = above_parts(df)
+    assert "text" not in above and "regexp" not in above and "text" in below
+    # a sum that asks for its column twice gets it worked out, and no lambda runs for each bit of a register
+    sums = [line for line in above.splitlines() if "bit_xor(" in line]
+    assert sums and all("bit_xor(__carried" in line and "lambda" not in line.split("bit_xor(")[1].split(") AS")[0] for line in sums)
+    back = next(line for line in above.splitlines() if "__carried#" in line and "bit_xor" not in line)
+    assert back.count("aggregate(") == 1
+    assert {r.doc_id: (r.length, r.complete, r.crc, r.adler) for r in df.collect()} == {i: (len(d), True, zlib.crc32(d), zlib.adler32(d)) for i, d in texts.items()}
+
+
 @pytest.mark.parametrize("bpp", [1, 2, 3])
 def test_unfilter(spark, bpp):
     rng = np.random.default_rng(5)
