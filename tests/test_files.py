@@ -19,6 +19,7 @@ from rasterloom import schemas
 from rasterloom.operators import strips
 from rasterloom.operators.binarize import Options, binarize
 from rasterloom.operators.container import encode_image
+from rasterloom.plans import file_queries
 from rasterloom.plans.pipeline import convert_files
 from rasterloom.sources import balanced, chunks, images, pnm, sinks
 from rasterloom.sources.pnm import ImageError
@@ -254,5 +255,30 @@ def test_parts_of_a_stream(spark, tmp_path):
     assert sorted(r.path for r in told if r.content is not None) == sorted([*files, "new"])
 
 
+def test_stream_of_many_files_keeps_few_states(spark, tmp_path):
+    """Files share calls and states of a few buckets; each is still given out once, and times out by itself."""
+    first = [(f"f{i}", k, 2, bytearray(b"%d:%d" % (i, k)), datetime(2024, 1, 1, 0, 0, i % 50)) for i in range(300) for k in range(2) if i % 10 or not k]
+    late = [("f0", 1, 2, bytearray(b"0:1"), datetime(2024, 1, 1, 0, 1, 30)), ("f1", 0, 2, bytearray(b"again"), datetime(2024, 1, 1, 0, 1, 30))]
+    later = [("new", 0, 1, bytearray(b"n"), datetime(2024, 1, 1, 0, 3))]
+    at = tmp_path / "parts"
+    at.mkdir()
+    stream = spark.readStream.schema(parts.PARTS).parquet(str(at))
+    query = parts.assemble(stream, "2 minutes", buckets=3).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state"))
+    for put in (first, late, later):
+        spark.createDataFrame(put, parts.PARTS).coalesce(1).write.mode("append").parquet(str(at))
+        going = query.trigger(availableNow=True).start()
+        assert going.awaitTermination(120)
+        assert all(s.numRowsTotal <= 3 for p in going.recentProgress for s in p.stateOperators)
+    told = spark.read.schema(parts.FILE).parquet(str(tmp_path / "out")).collect()
+    whole = {f"f{i}": b"%d:0%d:1" % (i, i) for i in range(300) if i % 10 or not i} | {"new": b"n"}
+    assert sorted((r.path, bytes(r.content)) for r in told if r.error is None) == sorted(whole.items())
+    assert sorted((r.path, r.content, r.error.msg) for r in told if r.error) == sorted((f"f{i}", None, "1 of 2 parts came") for i in range(10, 300, 10))
+
+
+def test_parts_are_cut_from_files_made_once(spark):
+    plan = file_queries._file_parts(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
 def test_crc_of_chunks_is_right():
     assert zlib.crc32(b"IEND") == struct.unpack(">I", make_png(np.zeros((1, 1, 1), int), 8, 0)[-4:])[0]
